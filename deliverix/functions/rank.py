@@ -33,5 +33,5 @@ def avg_pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 def dense_code(df: DataFrame, value: str, out: str) -> DataFrame:
     """0-based alphabetical code of ``value`` (pandas category codes)."""
     codes = df.select(value).where(F.col(value).isNotNull()).distinct()
-    codes = codes.select(value, (F.dense_rank().over(Window.orderBy(value)) - 1).alias(out))
+    codes = codes.select(value, (F.dense_rank().over(Window.orderBy(value)) - 1).cast("bigint").alias(out))
     return df.join(codes, on=value, how="left")

@@ -10,8 +10,10 @@ integers and all sums are exact; only the final division is floating point.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -97,6 +99,11 @@ def pearson_p(r: float | None, n: int | None) -> float | None:
     return regularized_beta(df / 2.0, 0.5, df / (df + t2))
 
 
+# The UDF is shipped to Python workers by value, so executors do not need
+# this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @F.pandas_udf(DoubleType())
 def pearson_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """Vectorised wrapper; applied to the one-row correlation result."""

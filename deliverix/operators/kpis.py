@@ -24,8 +24,13 @@ from deliverix.functions.columns import (
 )
 from deliverix.params import DEFAULT, Params
 
-LATE = F.col("is_late")
-N = F.count(F.lit(1))
+def LATE() -> F.Column:
+    return F.col("is_late")
+
+
+def N() -> F.Column:
+    """COUNT(*)."""
+    return F.count(F.lit(1))
 
 
 def _pct(num: F.Column, den: F.Column) -> F.Column:
@@ -33,17 +38,17 @@ def _pct(num: F.Column, den: F.Column) -> F.Column:
 
 
 def _late_sum() -> F.Column:
-    return F.sum(LATE).cast("bigint")
+    return F.sum(LATE()).cast("bigint")
 
 
 def otdr_monthly(core: DataFrame) -> DataFrame:
     """On-time delivery rate per purchase month."""
     return core.groupBy("purchase_month").agg(
-        N.alias("total_orders"),
+        N().alias("total_orders"),
         _late_sum().alias("late_orders"),
-        (N - _late_sum()).alias("on_time_orders"),
-        round_half_away(_pct(N - _late_sum(), N), 2).alias("otdr_pct"),
-        round_half_away(F.avg(F.when(LATE == 1, F.col("delay_days"))), 1).alias("avg_delay_when_late_days"),
+        (N() - _late_sum()).alias("on_time_orders"),
+        round_half_away(_pct(N() - _late_sum(), N()), 2).alias("otdr_pct"),
+        round_half_away(F.avg(F.when(LATE() == 1, F.col("delay_days"))), 1).alias("avg_delay_when_late_days"),
         round_stable(F.percentile("actual_lead_time_days", 0.95), 1).alias("p95_lead_time"),
     )
 
@@ -58,11 +63,11 @@ def lead_time_category(lines_cat: DataFrame, params: Params = DEFAULT) -> DataFr
     qs = F.percentile("actual_lead_time_days", [0.5, 0.75, 0.90, 0.99])
     lead = F.col("actual_lead_time_days")
     agg = order_categories(lines_cat).groupBy("category_en").agg(
-        N.alias("total_orders"),
+        N().alias("total_orders"),
         round_half_away(F.avg(lead), 1).alias("avg_lead_time"),
         qs.alias("_q"),
         round_stable(F.stddev_samp(lead), 1).alias("lead_time_std"),
-        round_half_away(_pct(_late_sum(), N), 1).alias("late_rate_pct"),
+        round_half_away(_pct(_late_sum(), N()), 1).alias("late_rate_pct"),
     )
     return agg.where(F.col("total_orders") >= params.min_category_orders).select(
         "category_en", "total_orders", "avg_lead_time",
@@ -94,17 +99,17 @@ def seller_scorecard(lines_seller: DataFrame, reviews: DataFrame, params: Params
     )
     review = F.avg("review_score")
     bad = F.sum(F.when(F.col("review_score") <= params.bad_review_max, 1).otherwise(0)).cast("bigint")
-    late_pct = _pct(_late_sum(), N)
+    late_pct = _pct(_late_sum(), N())
     composite = (F.lit(100.0) - late_pct) * F.lit(0.5) + (
         F.coalesce(review, F.lit(0.0)) / F.lit(5.0) * F.lit(100.0)) * F.lit(0.5)
     out = seller_order.groupBy("seller_id", "seller_state", "seller_city").agg(
-        N.alias("total_orders"),
+        N().alias("total_orders"),
         round_half_away(F.sum("order_gmv").cast("double"), 0).alias("total_gmv"),
         round_half_away(F.avg("actual_lead_time_days"), 1).alias("avg_lead_time"),
         round_half_away(late_pct, 1).alias("late_rate_pct"),
         round_half_away(review, 2).alias("avg_review_score"),
         bad.alias("bad_reviews"),
-        round_half_away(_pct(bad, N), 1).alias("bad_review_rate_pct"),
+        round_half_away(_pct(bad, N()), 1).alias("bad_review_rate_pct"),
         round_half_away(composite, 1).alias("seller_composite_score"),
     )
     return out.where(F.col("total_orders") >= params.min_seller_orders)
@@ -113,10 +118,10 @@ def seller_scorecard(lines_seller: DataFrame, reviews: DataFrame, params: Params
 def sla_breach_geo(core: DataFrame) -> DataFrame:
     """SLA breach per customer state and month."""
     return core.groupBy("customer_state", "purchase_month").agg(
-        N.alias("total_orders"),
+        N().alias("total_orders"),
         _late_sum().alias("late_orders"),
-        round_half_away(_pct(_late_sum(), N), 1).alias("breach_rate_pct"),
-        round_half_away(F.avg(F.when(LATE == 1, F.col("delay_days"))), 1).alias("avg_delay_days"),
+        round_half_away(_pct(_late_sum(), N()), 1).alias("breach_rate_pct"),
+        round_half_away(F.avg(F.when(LATE() == 1, F.col("delay_days"))), 1).alias("avg_delay_days"),
         round_half_away(F.avg("actual_lead_time_days"), 1).alias("avg_lead_time"),
     )
 
@@ -124,11 +129,11 @@ def sla_breach_geo(core: DataFrame) -> DataFrame:
 def sla_breach_state(core: DataFrame) -> DataFrame:
     """SLA breach per customer state."""
     return core.groupBy("customer_state").agg(
-        N.alias("total_orders"),
+        N().alias("total_orders"),
         _late_sum().alias("late_orders"),
-        round_half_away(_pct(_late_sum(), N), 1).alias("breach_rate_pct"),
+        round_half_away(_pct(_late_sum(), N()), 1).alias("breach_rate_pct"),
         round_half_away(F.avg("actual_lead_time_days"), 1).alias("avg_lead_time"),
-        round_half_away(F.avg(F.when(LATE == 1, F.col("delay_days"))), 1).alias("avg_delay_when_late"),
+        round_half_away(F.avg(F.when(LATE() == 1, F.col("delay_days"))), 1).alias("avg_delay_when_late"),
     )
 
 
@@ -144,16 +149,16 @@ def customer_months(core: DataFrame) -> DataFrame:
 
 
 def cohort_retention(core: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Share of each first-purchase cohort active N months later (sparse: no zero fill)."""
+    """Share of each first-purchase cohort active N() months later (sparse: no zero fill)."""
     per = customer_months(core)
-    sizes = per.groupBy("cohort_month").agg(N.alias("cohort_customers"))
+    sizes = per.groupBy("cohort_month").agg(N().alias("cohort_customers"))
     start = F.lit(params.cohort_start).cast("date").cast("timestamp_ntz")
     active = (
         per.where(F.col("cohort_month") >= start)
         .select("cohort_month", F.explode("active_months").alias("activity_month"))
         .select("cohort_month", month_diff("cohort_month", "activity_month").alias("month_number"))
         .where(F.col("month_number") <= params.cohort_max_month)
-        .groupBy("cohort_month", "month_number").agg(N.alias("active_customers"))
+        .groupBy("cohort_month", "month_number").agg(N().alias("active_customers"))
     )
     # one row per cohort month: bounded by the calendar
     return active.join(F.broadcast(sizes), on="cohort_month", how="inner").select(
@@ -179,7 +184,7 @@ def volume_trend(lines: DataFrame) -> DataFrame:
     """Weekly orders, customers, GMV (price + freight) and freight share."""
     g = order_grain(lines)
     return g.groupBy("purchase_week").agg(
-        N.alias("orders"),
+        N().alias("orders"),
         F.count_distinct("customer_unique_id").alias("unique_customers"),
         round_half_away(F.sum("order_value").cast("double"), 0).alias("total_gmv"),
         round_half_away(F.try_divide(F.sum("sum_price").cast("double"), F.sum("n_price").cast("double")), 2)
@@ -206,7 +211,7 @@ def product_velocity(lines_cat: DataFrame) -> DataFrame:
     )
     agg = per_order.groupBy("category_en").agg(
         F.sum("units").alias("units_sold"),
-        N.alias("orders"),
+        N().alias("orders"),
         F.sum("sum_price").alias("_price"), F.sum("n_price").alias("_n_price"),
         F.min("first_ts").alias("_first"), F.max("last_ts").alias("_last"),
         F.sum("sum_weight").alias("_weight"), F.sum("n_weight").alias("_n_weight"),
@@ -230,11 +235,11 @@ def freight_efficiency(lines_cat_seller: DataFrame, params: Params = DEFAULT) ->
     """Freight cost and reliability per seller state x customer state x category lane."""
     lanes = lines_cat_seller.where(F.col("freight_value") > 0)
     agg = lanes.groupBy("seller_state", "customer_state", "category_en").agg(
-        N.alias("shipments"),
+        N().alias("shipments"),
         round_half_away(exact_avg("freight_value"), 2).alias("avg_freight_cost"),
         round_half_away(exact_avg("price"), 2).alias("avg_item_value"),
         round_half_away(F.avg(ratio("freight_value", "price")) * F.lit(100.0), 1).alias("freight_pct_of_value"),
         round_half_away(F.avg("actual_lead_time_days"), 1).alias("avg_lead_time"),
-        round_half_away(_pct(_late_sum(), N), 1).alias("late_rate_pct"),
+        round_half_away(_pct(_late_sum(), N()), 1).alias("late_rate_pct"),
     )
     return agg.where(F.col("shipments") >= params.min_lane_shipments)

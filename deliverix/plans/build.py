@@ -17,7 +17,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from deliverix.operators import base, kpis
+from deliverix.operators import base, charts, derived, kpis, quality, summary, views, writeup
 from deliverix.params import DEFAULT, Params
 from deliverix.sources.tables import MarketTables
 from deliverix.sources.testdata import load_testdata
@@ -114,6 +114,212 @@ class Build:
     def freight(self) -> DataFrame:
         return kpis.freight_efficiency(self.lines_cat_seller, self.params)
 
+    # -- derived analytics (J17-J30) ---------------------------------------------
+    @cached_property
+    def order_grain(self) -> DataFrame:
+        return kpis.order_grain(self.lines)
+
+    @cached_property
+    def corridors(self) -> DataFrame:
+        return derived.freight_corridors(self.freight, self.params)
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        return derived.overall_otdr(self.core)
+
+    @cached_property
+    def trend(self) -> DataFrame:
+        return derived.otdr_trend(self.otdr, self.params)
+
+    @cached_property
+    def bottom(self) -> DataFrame:
+        return derived.seller_bottom_decile(self.seller, self.params)
+
+    @cached_property
+    def state_corr(self) -> DataFrame:
+        return derived.state_lead_breach_corr(self.sla_state)
+
+    @cached_property
+    def state_corr_p(self) -> DataFrame:
+        return derived.state_lead_breach_pvalue(self.sla_state)
+
+    @cached_property
+    def retention_matrix(self) -> DataFrame:
+        return derived.retention_matrix(self.cohort, self.params)
+
+    @cached_property
+    def retention(self) -> DataFrame:
+        return derived.retention_summary(self.cohort)
+
+    @cached_property
+    def ltv(self) -> DataFrame:
+        return derived.customer_ltv_proxy(self.order_grain)
+
+    @cached_property
+    def financials(self) -> DataFrame:
+        return derived.order_financials(self.order_grain)
+
+    @cached_property
+    def volume_wow(self) -> DataFrame:
+        return derived.volume_wow_growth(self.volume)
+
+    @cached_property
+    def top_weeks(self) -> DataFrame:
+        return derived.top_gmv_weeks(self.volume)
+
+    @cached_property
+    def velocity_inventory(self) -> DataFrame:
+        return derived.product_velocity_inventory(self.velocity, self.lead_category, self.params)
+
+    @cached_property
+    def median_freight(self) -> DataFrame:
+        return derived.median_freight_cost(self.freight)
+
+    def _metric_rows(self, with_p: bool) -> list[DataFrame]:
+        return [self.overall, self.trend.drop("reporting_months"),
+                self.bottom.drop("scored_sellers"),
+                (self.state_corr_p if with_p else self.state_corr).drop("n_states"),
+                self.retention, self.ltv, self.financials, self.median_freight]
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        """The summary metrics computable without the p-value."""
+        return summary.summary_metrics(self._metric_rows(False))
+
+    @cached_property
+    def kpi_summary(self) -> DataFrame:
+        return summary.summary_metrics(self._metric_rows(True))
+
+    # -- quality (J01, J03-J06, J53) ------------------------------------------------
+    @cached_property
+    def ingest_counts(self) -> DataFrame:
+        return quality.ingest_row_counts(self.t)
+
+    @cached_property
+    def status_distribution(self) -> DataFrame:
+        return quality.status_distribution(self.t.orders)
+
+    @cached_property
+    def review_distribution(self) -> DataFrame:
+        return quality.review_distribution(self.t.reviews)
+
+    @cached_property
+    def validation(self) -> DataFrame:
+        return quality.schema_validation(self.t, self.core)
+
+    @cached_property
+    def gates(self) -> DataFrame:
+        return quality.quality_gates(self.core, self.t, self.metrics, self.cohort, self.bottom,
+                                     self.sla_state, self.otdr, self.params)
+
+    @cached_property
+    def consistency(self) -> DataFrame:
+        return quality.consistency_checks(self.core, self.otdr, self.sla_geo, self.sla_state)
+
+    # -- chart data (J32-J39, J45) ------------------------------------------------
+    @cached_property
+    def otdr_ci(self) -> DataFrame:
+        return charts.otdr_rolling_ci(self.otdr, self.params)
+
+    @cached_property
+    def lead_top_distribution(self) -> DataFrame:
+        return charts.lead_time_top_distribution(self.lead_category, self.lead_detail, self.params.top_categories)
+
+    @cached_property
+    def seller_scatter(self) -> DataFrame:
+        return charts.seller_scatter(self.seller)
+
+    @cached_property
+    def state_map(self) -> DataFrame:
+        return charts.state_breach_map_values(self.t.regions, self.sla_state)
+
+    @cached_property
+    def outlier_lanes(self) -> DataFrame:
+        return charts.freight_outlier_lanes(self.freight)
+
+    @cached_property
+    def velocity_top20(self) -> DataFrame:
+        return charts.velocity_top(self.velocity_inventory, 20)
+
+    @cached_property
+    def p90_benchmark(self) -> DataFrame:
+        return charts.p90_vs_benchmark(self.lead_category, 20)
+
+    @cached_property
+    def score_histogram(self) -> DataFrame:
+        return charts.seller_score_histogram(self.seller, self.params)
+
+    @cached_property
+    def weekly_combo(self) -> DataFrame:
+        return charts.volume_weekly_combo(self.volume)
+
+    # -- write-up figures (J40-J44) -------------------------------------------------
+    @cached_property
+    def category_extremes(self) -> DataFrame:
+        return writeup.category_extremes(self.lead_category)
+
+    @cached_property
+    def seller_worst5(self) -> DataFrame:
+        return writeup.seller_worst(self.seller, 5)
+
+    @cached_property
+    def state_extremes(self) -> DataFrame:
+        return writeup.state_extremes(self.sla_state)
+
+    @cached_property
+    def corridor_premium(self) -> DataFrame:
+        return writeup.corridor_cost_premium(self.corridors, self.median_freight)
+
+    @cached_property
+    def impact(self) -> DataFrame:
+        clean_rows = self.core.agg(kpis.N().alias("orders_clean_rows"))
+        return writeup.impact_sizing(clean_rows, self.overall, self.bottom, self.financials,
+                                     self.sla_state, self.cohort, self.ltv, self.params)
+
+    # -- views (J46-J52) ------------------------------------------------------------
+    @cached_property
+    def kpi_cards(self) -> DataFrame:
+        return views.kpi_cards(self.metrics, self.validation)
+
+    @cached_property
+    def filter_domains(self) -> DataFrame:
+        return views.filter_domains(self.seller, self.sla_state, self.lead_category, self.params)
+
+    def view_categories(self, categories=None) -> DataFrame:
+        return views.view_categories(self.lead_category, categories, self.params)
+
+    def view_sellers(self, min_orders=None, n: int = 20) -> DataFrame:
+        return views.view_sellers(self.seller, min_orders, n, self.params)
+
+    def view_states(self, states=None) -> DataFrame:
+        return views.view_states(self.sla_state, states)
+
+    def view_corridors(self, n: int = 20) -> DataFrame:
+        return views.view_corridors(self.corridors, n)
+
+    def view_velocity(self, n: int = 30) -> DataFrame:
+        return views.view_velocity(self.velocity_inventory, n)
+
+    # -- sinks (J31) -------------------------------------------------------------------
+    def export_frames(self) -> dict[str, DataFrame]:
+        return {
+            "kpi_summary": self.kpi_summary, "otdr": self.otdr, "lead_category": self.lead_category,
+            "lead_time_detail": self.lead_detail, "seller": self.seller, "sla_geo": self.sla_geo,
+            "sla_state": self.sla_state, "cohort": self.cohort, "volume": self.volume_wow,
+            "velocity": self.velocity_inventory, "freight": self.freight, "corridors": self.corridors,
+        }
+
+    def export(self, out_dir: str | None = None, fmt: str = "csv") -> DataFrame:
+        """Write every frame and the validation report; return the read-back manifest."""
+        from deliverix.sources import sinks
+        from deliverix.session import ensure_checkpoint_dir
+        import uuid
+        out_dir = out_dir or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/deliverix-export-{uuid.uuid4().hex}"
+        frames = self.export_frames()
+        sinks.write_frames(frames, out_dir, fmt)
+        sinks.write_report(self.validation, out_dir)
+        return sinks.read_back_counts(self.spark, out_dir, list(frames), fmt, ("schema_validation",))
+
 
 _CACHE: dict[tuple[int, str], Build] = {}
 _LOCK = threading.Lock()

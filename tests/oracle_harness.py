@@ -48,6 +48,16 @@ def _norm(v, tol: bool):
     return v
 
 
+def _kind(s: pd.Series) -> str:
+    if s.isna().all():
+        return "null"
+    k = s.dtype.kind
+    if k == "O":
+        v = s.dropna().iloc[0]
+        return type(v).__name__
+    return {"i": "int", "u": "int", "f": "float", "M": "datetime", "b": "bool"}.get(k, k) + str(s.dtype.itemsize)
+
+
 def rows(df: pd.DataFrame, tol: bool) -> list[tuple]:
     cols = sorted(df.columns)
     out = [tuple(_norm(r[c], tol) for c in cols) for _, r in df[cols].iterrows()]
@@ -60,6 +70,13 @@ def compare(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> dict:
         "rows_spark": len(spark_pdf), "rows_oracle": len(duck_pdf),
     }
     res["rows_match"] = res["rows_spark"] == res["rows_oracle"]
+    kinds = {}
+    for c in set(spark_pdf.columns) & set(duck_pdf.columns):
+        a, b = _kind(spark_pdf[c]), _kind(duck_pdf[c])
+        if a != b and "null" not in (a, b):
+            kinds[c] = (a, b)
+    if kinds:
+        res["dtype_diff"] = kinds
     if res["cols_match"]:
         a, b = rows(spark_pdf, False), rows(duck_pdf, False)
         res["exact"] = a == b
