@@ -39,6 +39,11 @@ class Build:
             self._persisted.append(df)
         return df
 
+    def _keep_small(self, df: DataFrame) -> DataFrame:
+        """Persist a KPI-level result: its size is bounded by calendar, geography,
+        catalogue or seller count, not by the fact tables, and many jobs reuse it."""
+        return self._keep(df)
+
     def release(self) -> None:
         for df in self._persisted:
             df.unpersist()
@@ -76,11 +81,11 @@ class Build:
     # -- KPI tables (J07-J16) -----------------------------------------------------
     @cached_property
     def otdr(self) -> DataFrame:
-        return kpis.otdr_monthly(self.core)
+        return self._keep_small(kpis.otdr_monthly(self.core))
 
     @cached_property
     def lead_category(self) -> DataFrame:
-        return kpis.lead_time_category(self.lines_cat, self.params)
+        return self._keep_small(kpis.lead_time_category(self.lines_cat, self.params))
 
     @cached_property
     def lead_detail(self) -> DataFrame:
@@ -88,31 +93,31 @@ class Build:
 
     @cached_property
     def seller(self) -> DataFrame:
-        return kpis.seller_scorecard(self.lines_seller, self.t.reviews, self.params)
+        return self._keep_small(kpis.seller_scorecard(self.lines_seller, self.t.reviews, self.params))
 
     @cached_property
     def sla_geo(self) -> DataFrame:
-        return kpis.sla_breach_geo(self.core)
+        return self._keep_small(kpis.sla_breach_geo(self.core))
 
     @cached_property
     def sla_state(self) -> DataFrame:
-        return kpis.sla_breach_state(self.core)
+        return self._keep_small(kpis.sla_breach_state(self.core))
 
     @cached_property
     def cohort(self) -> DataFrame:
-        return kpis.cohort_retention(self.core, self.params)
+        return self._keep_small(kpis.cohort_retention(self.core, self.params))
 
     @cached_property
     def volume(self) -> DataFrame:
-        return kpis.volume_trend(self.lines)
+        return self._keep_small(kpis.volume_trend(self.lines))
 
     @cached_property
     def velocity(self) -> DataFrame:
-        return kpis.product_velocity(self.lines_cat)
+        return self._keep_small(kpis.product_velocity(self.lines_cat))
 
     @cached_property
     def freight(self) -> DataFrame:
-        return kpis.freight_efficiency(self.lines_cat_seller, self.params)
+        return self._keep_small(kpis.freight_efficiency(self.lines_cat_seller, self.params))
 
     # -- derived analytics (J17-J30) ---------------------------------------------
     @cached_property
@@ -121,23 +126,23 @@ class Build:
 
     @cached_property
     def corridors(self) -> DataFrame:
-        return derived.freight_corridors(self.freight, self.params)
+        return self._keep_small(derived.freight_corridors(self.freight, self.params))
 
     @cached_property
     def overall(self) -> DataFrame:
-        return derived.overall_otdr(self.core)
+        return self._keep_small(derived.overall_otdr(self.core))
 
     @cached_property
     def trend(self) -> DataFrame:
-        return derived.otdr_trend(self.otdr, self.params)
+        return self._keep_small(derived.otdr_trend(self.otdr, self.params))
 
     @cached_property
     def bottom(self) -> DataFrame:
-        return derived.seller_bottom_decile(self.seller, self.params)
+        return self._keep_small(derived.seller_bottom_decile(self.seller, self.params))
 
     @cached_property
     def state_corr(self) -> DataFrame:
-        return derived.state_lead_breach_corr(self.sla_state)
+        return self._keep_small(derived.state_lead_breach_corr(self.sla_state))
 
     @cached_property
     def state_corr_p(self) -> DataFrame:
@@ -149,15 +154,15 @@ class Build:
 
     @cached_property
     def retention(self) -> DataFrame:
-        return derived.retention_summary(self.cohort)
+        return self._keep_small(derived.retention_summary(self.cohort))
 
     @cached_property
     def ltv(self) -> DataFrame:
-        return derived.customer_ltv_proxy(self.order_grain)
+        return self._keep_small(derived.customer_ltv_proxy(self.order_grain))
 
     @cached_property
     def financials(self) -> DataFrame:
-        return derived.order_financials(self.order_grain)
+        return self._keep_small(derived.order_financials(self.order_grain))
 
     @cached_property
     def volume_wow(self) -> DataFrame:
@@ -169,11 +174,11 @@ class Build:
 
     @cached_property
     def velocity_inventory(self) -> DataFrame:
-        return derived.product_velocity_inventory(self.velocity, self.lead_category, self.params)
+        return self._keep_small(derived.product_velocity_inventory(self.velocity, self.lead_category, self.params))
 
     @cached_property
     def median_freight(self) -> DataFrame:
-        return derived.median_freight_cost(self.freight)
+        return self._keep_small(derived.median_freight_cost(self.freight))
 
     def _metric_rows(self, with_p: bool) -> list[DataFrame]:
         return [self.overall, self.trend.drop("reporting_months"),
@@ -184,7 +189,7 @@ class Build:
     @cached_property
     def metrics(self) -> DataFrame:
         """The summary metrics computable without the p-value."""
-        return summary.summary_metrics(self._metric_rows(False))
+        return self._keep_small(summary.summary_metrics(self._metric_rows(False)))
 
     @cached_property
     def kpi_summary(self) -> DataFrame:
@@ -205,7 +210,7 @@ class Build:
 
     @cached_property
     def validation(self) -> DataFrame:
-        return quality.schema_validation(self.t, self.core)
+        return self._keep_small(quality.schema_validation(self.t, self.core))
 
     @cached_property
     def gates(self) -> DataFrame:
