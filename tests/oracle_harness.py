@@ -64,19 +64,30 @@ def rows(df: pd.DataFrame, tol: bool) -> list[tuple]:
     return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
 
 
+SPARK_TYPES = {"LongType": "int64", "IntegerType": "int32", "DoubleType": "double", "StringType": "string",
+               "TimestampNTZType": "timestamp", "BooleanType": "bool", "DateType": "date", "ShortType": "int16",
+               "ByteType": "int8", "FloatType": "float"}
+DUCK_TYPES = {"BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "double", "VARCHAR": "string",
+              "TIMESTAMP": "timestamp", "BOOLEAN": "bool", "DATE": "date", "SMALLINT": "int16",
+              "TINYINT": "int8", "FLOAT": "float", "HUGEINT": "int128"}
+
+
+def engine_types(spark_schema, duck_rel) -> dict:
+    """Column -> (spark type, duckdb type) where they differ."""
+    s = {f.name: SPARK_TYPES.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in spark_schema.fields}
+    d = {}
+    for name, t in zip(duck_rel.columns, duck_rel.types):
+        t = str(t)
+        d[name] = DUCK_TYPES.get(t, "decimal" if t.startswith("DECIMAL") else t)
+    return {c: (s[c], d[c]) for c in s if c in d and s[c] != d[c]}
+
+
 def compare(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> dict:
     res = {
         "cols_match": sorted(spark_pdf.columns) == sorted(duck_pdf.columns),
         "rows_spark": len(spark_pdf), "rows_oracle": len(duck_pdf),
     }
     res["rows_match"] = res["rows_spark"] == res["rows_oracle"]
-    kinds = {}
-    for c in set(spark_pdf.columns) & set(duck_pdf.columns):
-        a, b = _kind(spark_pdf[c]), _kind(duck_pdf[c])
-        if a != b and "null" not in (a, b):
-            kinds[c] = (a, b)
-    if kinds:
-        res["dtype_diff"] = kinds
     if res["cols_match"]:
         a, b = rows(spark_pdf, False), rows(duck_pdf, False)
         res["exact"] = a == b
@@ -100,7 +111,8 @@ def run_all(spark, sf_dir: str, keys=None, verbose=True) -> dict[str, dict]:
     out = {}
     for key in keys or list(qs):
         try:
-            sp = qs[key](spark, sf_dir).toPandas()
+            sdf = qs[key](spark, sf_dir)
+            sp = sdf.toPandas()
         except Exception as ex:  # noqa: BLE001
             out[key] = {"error": f"spark: {type(ex).__name__}: {str(ex)[:400]}"}
             if verbose:
@@ -117,6 +129,9 @@ def run_all(spark, sf_dir: str, keys=None, verbose=True) -> dict[str, dict]:
                     print(key, out[key], flush=True)
                 continue
             out[key] = compare(sp, dk)
+            diff = engine_types(sdf.schema, con.sql(sqls[key]))
+            if diff:
+                out[key]["dtype_diff"] = diff
         if verbose:
             print(key, out[key], flush=True)
     return out
