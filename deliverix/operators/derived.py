@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from deliverix.functions.columns import exact_avg, round_half_away
 from deliverix.functions.rank import avg_pct_rank
-from deliverix.functions.stats import exact_pearson_r, exact_slope, pearson_p_value
+from deliverix.functions.stats import exact_pearson_r, exact_slope, student_t_pvalue
 from deliverix.operators.kpis import N, _pct
 from deliverix.params import DEFAULT, Params
 
@@ -137,7 +137,7 @@ def state_lead_breach_corr(sla_state: DataFrame) -> DataFrame:
 def state_lead_breach_pvalue(sla_state: DataFrame) -> DataFrame:
     """J21 with the two-sided p-value (Student t, n-2 dof) on the one-row result."""
     r = state_lead_breach_corr(sla_state)
-    return r.withColumn("state_breach_corr_pvalue", pearson_p_value(F.col("state_breach_corr"), F.col("n_states")))
+    return r.withColumn("state_breach_corr_pvalue", student_t_pvalue(F.col("state_breach_corr"), F.col("n_states")))
 
 
 def retention_matrix(cohort: DataFrame, params: Params = DEFAULT) -> DataFrame:

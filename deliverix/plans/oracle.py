@@ -322,6 +322,28 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
                / nullif(sqrt(CAST(n * sxx - sx * sx AS DOUBLE) * CAST(n * syy - sy * sy AS DOUBLE)), 0)
                  AS state_breach_corr
         FROM d_corr_sums"""
+    step = ("{'term': acc.term * c2 * ratio_k, 'total': acc.total + acc.term * c2 * ratio_k}")
+    ratio_k = ("(CASE WHEN odd THEN CAST(2 * k AS DOUBLE) / (CAST(2 * k AS DOUBLE) + 1.0::DOUBLE) "
+               "ELSE (CAST(2 * k AS DOUBLE) - 1.0::DOUBLE) / CAST(2 * k AS DOUBLE) END)")
+    step = step.replace("ratio_k", ratio_k)
+    corr_p = f"""
+        SELECT n_states, state_breach_corr,
+               CASE WHEN state_breach_corr IS NULL OR n_states < 3 THEN CAST(NULL AS DOUBLE)
+                    WHEN abs(state_breach_corr) >= 1.0 THEN 0.0::DOUBLE
+                    ELSE round(1.0::DOUBLE - CASE WHEN odd
+                         THEN (asin(abs(state_breach_corr))
+                               + CASE WHEN nu >= 3 THEN abs(state_breach_corr) * sqrt(c2) * total
+                                      ELSE 0.0::DOUBLE END) * 2.0::DOUBLE / pi()
+                         ELSE abs(state_breach_corr) * total END, 12)
+               END AS state_breach_corr_pvalue
+        FROM (SELECT *, list_reduce(CASE WHEN k_max >= 1 THEN range(1, k_max + 1) ELSE [] END,
+                                    lambda acc, k: {step},
+                                    {{'term': 1.0::DOUBLE, 'total': 1.0::DOUBLE}}).total AS total
+              FROM (SELECT *, CASE WHEN odd THEN (nu - 3) // 2 ELSE (nu - 2) // 2 END AS k_max
+                    FROM (SELECT *, CAST(n_states - 2 AS INTEGER) AS nu,
+                                 (n_states - 2) % 2 = 1 AS odd,
+                                 1.0::DOUBLE - state_breach_corr * state_breach_corr AS c2
+                          FROM d_corr)))"""
     matrix = ("SELECT cohort_month, "
               + ", ".join(f"max(CASE WHEN month_number = {m} THEN retention_rate_pct END) AS m{m}"
                           for m in range(p.cohort_max_month + 1))
@@ -379,19 +401,18 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
                coalesce({demand} > v.units_per_week * {wpm}, false) AS stockout_risk
         FROM k_velocity v LEFT JOIN k_lead_category l ON l.category_en = v.category_en"""
     median = "SELECT round(quantile_cont(avg_freight_cost, 0.5), 6) AS median_freight_cost FROM k_freight"
-    metric_row = ("SELECT * FROM d_overall, d_trend, d_bottom, d_corr, d_retention, d_ltv, d_financials, "
+    metric_row = ("SELECT * FROM d_overall, d_trend, d_bottom, d_corr_p, d_retention, d_ltv, d_financials, "
                   "d_median")
     parts = []
     for pos, name in enumerate(METRICS, start=1):
-        if name == "state_breach_corr_pvalue":
-            continue
         if name in TEXT_METRICS:
             parts.append(f"SELECT {pos} AS position, '{name}' AS metric, CAST(NULL AS DOUBLE) AS value_num, "
                          f"CAST({name} AS VARCHAR) AS value_text FROM d_metric_row")
         else:
             parts.append(f"SELECT {pos} AS position, '{name}' AS metric, CAST({name} AS DOUBLE) AS value_num, "
                          f"CAST(NULL AS VARCHAR) AS value_text FROM d_metric_row")
-    metrics = "\n        UNION ALL ".join(parts)
+    metrics_all = "\n        UNION ALL ".join(parts)
+    metrics = "SELECT * FROM d_metrics_all WHERE metric <> 'state_breach_corr_pvalue'"
 
     val_row = """
         SELECT o.null_ids, o.dmin, o.dmax, o.orig_rows, a.orphans, c.clean_rows, c.cmin, c.cmax
@@ -492,10 +513,10 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
     return [
         ("d_route", route), ("d_corridors", corridors), ("d_overall", overall), ("d_rep", rep),
         ("d_trend_sums", trend_sums), ("d_trend", trend), ("d_seller_rank", seller_rank), ("d_bottom", bottom),
-        ("d_corr_sums", corr_sums), ("d_corr", corr), ("d_matrix", matrix), ("d_retention", retention),
+        ("d_corr_sums", corr_sums), ("d_corr", corr), ("d_corr_p", corr_p), ("d_matrix", matrix), ("d_retention", retention),
         ("d_order_value", order_value), ("d_ltv", ltv), ("d_financials", financials), ("d_wow", wow),
         ("d_top_weeks", top_weeks), ("d_velocity_inventory", velocity_inv), ("d_median", median),
-        ("d_metric_row", metric_row), ("d_metrics", metrics), ("d_val_row", val_row),
+        ("d_metric_row", metric_row), ("d_metrics_all", metrics_all), ("d_metrics", metrics), ("d_val_row", val_row),
         ("d_validation", validation), ("d_gate_row", gate_row), ("d_gates", gates),
         ("d_consistency", consistency), ("d_cards", cards),
     ]
@@ -512,7 +533,7 @@ def _final(p: Params) -> dict[str, str]:
     canon = ["orders", "customers", "items", "products", "translations", "sellers", "reviews"]
     ingest = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM m_{t}" for t in canon)
     exports = {
-        "kpi_summary": "SELECT count(*) + 1 FROM d_metrics",  # plus the p-value row
+        "kpi_summary": "SELECT count(*) FROM d_metrics_all",
         "otdr": "SELECT count(*) FROM k_otdr", "lead_category": "SELECT count(*) FROM k_lead_category",
         "lead_time_detail": "SELECT count(*) FROM k_lead_detail", "seller": "SELECT count(*) FROM k_seller",
         "sla_geo": "SELECT count(*) FROM k_sla_geo", "sla_state": "SELECT count(*) FROM k_sla_state",
@@ -602,6 +623,8 @@ def _final(p: Params) -> dict[str, str]:
         "otdr_trend": "SELECT * FROM d_trend",
         "seller_bottom_decile": "SELECT * FROM d_bottom",
         "state_lead_breach_corr": "SELECT * FROM d_corr",
+        "state_lead_breach_pvalue": "SELECT * FROM d_corr_p",
+        "kpi_summary": "SELECT * FROM d_metrics_all",
         "retention_matrix": "SELECT * FROM d_matrix",
         "retention_summary": "SELECT * FROM d_retention",
         "customer_ltv_proxy": "SELECT * FROM d_ltv",

@@ -73,3 +73,34 @@ def test_bottom_sellers_match_sort(spark):
     assert out.bottom_seller_count == k
     assert out.bottom_seller_order_share_pct == round(100.0 * sum(r[2] for r in expect) / sum(r[2] for r in rows), 1)
     assert abs(out.bottom_seller_breach_share_pct - 100.0 * late(expect) / late(rows)) <= 0.05 + 1e-9
+
+
+def test_student_t_pvalue_expression(spark):
+    import duckdb
+    from deliverix.functions.stats import student_t_pvalue
+    rnd = random.Random(21)
+    cases = [(round(rnd.uniform(-0.999, 0.999), 6), rnd.randint(3, 300)) for _ in range(1500)]
+    cases += [(0.0, 12), (0.27919443, 27), (1.0, 10), (0.5, 2), (None, 10), (0.3, 3), (0.3, 4)]
+    df = spark.createDataFrame(cases, "r double, n long")
+    got = [row.p for row in df.select(student_t_pvalue(F.col("r"), F.col("n")).alias("p")).collect()]
+    for (r, n), p in zip(cases, got):
+        ref = pearson_p(r, n)
+        if ref is None:
+            assert p is None
+        else:
+            assert abs(p - ref) < 1e-11, (r, n, p, ref)
+    # the SQL form used by the oracle gives the same bits
+    from deliverix.plans.oracle import derived_ctes
+    from deliverix.params import Params
+    sql = dict(derived_ctes(Params()))["d_corr_p"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d_corr AS SELECT * FROM (VALUES " + ", ".join(
+        f"({n}, {('NULL' if r is None else repr(r))}::DOUBLE)" for r, n in cases) + ") t(n_states, state_breach_corr)")
+    exp = {(r, n): p for n, r, p in con.execute(sql).fetchall()}
+    # asin may differ in the last bit between math libraries; the 12-decimal
+    # rounding absorbs it except exactly at a rounding boundary
+    mism = [(r, n) for (r, n), p in zip(cases, got)
+            if (p is None) != (exp[(r, n)] is None) or (p is not None and abs(exp[(r, n)] - p) > 1e-12)]
+    assert not mism, mism[:5]
+    same = sum(1 for (r, n), p in zip(cases, got) if exp[(r, n)] == p)
+    assert same >= len(cases) - 3
