@@ -182,7 +182,11 @@ def order_grain(lines: DataFrame) -> DataFrame:
 
 def volume_trend(lines: DataFrame) -> DataFrame:
     """Weekly orders, customers, GMV (price + freight) and freight share."""
-    g = order_grain(lines)
+    return volume_from_orders(order_grain(lines))
+
+
+def volume_from_orders(g: DataFrame) -> DataFrame:
+    """J14 from the order-grain sums."""
     return g.groupBy("purchase_week").agg(
         N().alias("orders"),
         F.count_distinct("customer_unique_id").alias("unique_customers"),

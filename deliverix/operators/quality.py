@@ -120,9 +120,11 @@ def quality_gates(clean: DataFrame, t: MarketTables, summary_metrics: DataFrame,
     dup_customers = t.customers.groupBy("customer_id").agg(N().alias("_c")).agg(F.count_if(F.col("_c") > 1).alias("dup_c"))
     dup_categories = (t.translations.groupBy("product_category_name").agg(N().alias("_c"))
                       .agg(F.count_if(F.col("_c") > 1).alias("dup_t")))
+    dup_products = t.products.groupBy("product_id").agg(N().alias("_c")).agg(F.count_if(F.col("_c") > 1).alias("dup_p"))
+    dup_sellers = t.sellers.groupBy("seller_id").agg(N().alias("_c")).agg(F.count_if(F.col("_c") > 1).alias("dup_s"))
     b = bottom.select("bottom_seller_breach_share_pct", "bottom_seller_order_share_pct")
     row = (rows.crossJoin(m).crossJoin(m0).crossJoin(st).crossJoin(ot).crossJoin(b)
-           .crossJoin(dup_customers).crossJoin(dup_categories))
+           .crossJoin(dup_customers).crossJoin(dup_categories).crossJoin(dup_products).crossJoin(dup_sellers))
     share, oshare = F.col("bottom_seller_breach_share_pct"), F.col("bottom_seller_order_share_pct")
     minrows = float(params.min_clean_rows)
     gates = [
@@ -140,6 +142,8 @@ def quality_gates(clean: DataFrame, t: MarketTables, summary_metrics: DataFrame,
         gate("state_orders_min", F.col("st_orders"), minrows, F.col("st_orders") >= minrows),
         gate("customers_unique", F.col("dup_c"), 0.0, F.col("dup_c") == 0),
         gate("translations_unique", F.col("dup_t"), 0.0, F.col("dup_t") == 0),
+        gate("products_unique", F.col("dup_p"), 0.0, F.col("dup_p") == 0),
+        gate("sellers_unique", F.col("dup_s"), 0.0, F.col("dup_s") == 0),
     ]
     return _unpivot(row, gates)
 

@@ -58,25 +58,25 @@ class Build:
     def core(self) -> DataFrame:
         return self._keep(base.clean_core(self.clean))
 
-    @cached_property
-    def lines(self) -> DataFrame:
-        return self._keep(base.order_lines(self.t.items, self.core))
-
     @cached_property
     def categories(self) -> DataFrame:
         return base.product_categories(self.t.products, self.t.translations)
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        return self._keep(base.enriched_lines(self.t.items, self.core, self.categories, self.t.sellers))
+
     @cached_property
     def lines_cat(self) -> DataFrame:
-        return base.lines_with_category(self.lines, self.categories)
+        return base.with_product(self.lines)
 
     @cached_property
     def lines_seller(self) -> DataFrame:
-        return base.lines_with_seller(self.lines, self.t.sellers)
+        return base.with_seller(self.lines)
 
     @cached_property
     def lines_cat_seller(self) -> DataFrame:
-        return base.lines_with_seller(self.lines_cat, self.t.sellers)
+        return base.with_seller(self.lines_cat)
 
     # -- KPI tables (J07-J16) -----------------------------------------------------
     @cached_property
@@ -109,7 +109,7 @@ class Build:
 
     @cached_property
     def volume(self) -> DataFrame:
-        return self._keep_small(kpis.volume_trend(self.lines))
+        return self._keep_small(kpis.volume_from_orders(self.order_grain))
 
     @cached_property
     def velocity(self) -> DataFrame:
@@ -122,7 +122,8 @@ class Build:
     # -- derived analytics (J17-J30) ---------------------------------------------
     @cached_property
     def order_grain(self) -> DataFrame:
-        return kpis.order_grain(self.lines)
+        """Order-level sums of the lines (orders-sized; reused by J14, J24, J25)."""
+        return self._keep(kpis.order_grain(self.lines))
 
     @cached_property
     def corridors(self) -> DataFrame:

@@ -460,7 +460,11 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
            FROM (SELECT customer_id, count(*) AS c FROM m_customers GROUP BY customer_id)) dc,
           (SELECT count(*) FILTER (WHERE c > 1) AS dup_t
            FROM (SELECT product_category_name, count(*) AS c FROM m_translations
-                 GROUP BY product_category_name)) dt"""
+                 GROUP BY product_category_name)) dt,
+          (SELECT count(*) FILTER (WHERE c > 1) AS dup_p
+           FROM (SELECT product_id, count(*) AS c FROM m_products GROUP BY product_id)) dp,
+          (SELECT count(*) FILTER (WHERE c > 1) AS dup_s
+           FROM (SELECT seller_id, count(*) AS c FROM m_sellers GROUP BY seller_id)) ds"""
     mr = float(p.min_clean_rows)
     exp_otdr = "round(100.0::DOUBLE * CAST(o_orders - o_late AS DOUBLE) / CAST(o_orders AS DOUBLE), 2)"
 
@@ -482,6 +486,8 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
         g("state_orders_min", "st_orders", str(mr), f"st_orders >= {mr}"),
         g("customers_unique", "dup_c", "0.0", "dup_c = 0"),
         g("translations_unique", "dup_t", "0.0", "dup_t = 0"),
+        g("products_unique", "dup_p", "0.0", "dup_p = 0"),
+        g("sellers_unique", "dup_s", "0.0", "dup_s = 0"),
     ])
     consistency = """
         SELECT "check", mismatches, mismatches = 0 AS passed FROM (

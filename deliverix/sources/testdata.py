@@ -25,8 +25,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
-
 from deliverix.functions.columns import round_half_away
 from deliverix.sources.tables import MarketTables
 
@@ -63,11 +61,12 @@ def _case(col: str, mapping: dict) -> F.Column:
 
 
 def translations_frame(spark: SparkSession) -> DataFrame:
-    schema = StructType([
-        StructField("product_category_name", StringType(), False),
-        StructField("product_category_name_english", StringType(), False),
-    ])
-    return spark.createDataFrame(CATEGORY_TRANSLATIONS, schema)
+    """The translation table as a literal relation (keeps real size statistics,
+    unlike a frame created from a Python list, whose size is unknown to the
+    planner and would block broadcast decisions downstream)."""
+    rows = [F.struct(F.lit(a).alias("product_category_name"), F.lit(b).alias("product_category_name_english"))
+            for a, b in CATEGORY_TRANSLATIONS]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def load_testdata(spark: SparkSession, sf_dir: str) -> MarketTables:
