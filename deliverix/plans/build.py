@@ -24,19 +24,37 @@ from deliverix.sources.testdata import load_testdata
 
 
 class Build:
+    """Memoized frames of one analytics run.
+
+    ``materialize`` decides how the shared relations are kept:
+
+    * ``"persist"`` (default): MEMORY_AND_DISK cache; blocks lost with an
+      executor are recomputed from lineage;
+    * ``"checkpoint"``: reliable checkpoint into ``spark.checkpoint.dir`` (the
+      cluster's shared folder), which also cuts the lineage -- the choice for
+      long runs on clusters that lose executors;
+    * ``"none"``: every job recomputes from the sources.
+    """
+
     def __init__(self, spark: SparkSession, tables: MarketTables, params: Params = DEFAULT,
-                 persist: bool = True, sf_dir: str | None = None):
+                 persist: bool = True, sf_dir: str | None = None, materialize: str | None = None):
         self.spark = spark
         self.t = tables
         self.params = params
         self.sf_dir = sf_dir
-        self._persist = persist
+        self.materialize = materialize or ("persist" if persist else "none")
+        if self.materialize not in ("persist", "checkpoint", "none"):
+            raise ValueError(f"unknown materialize mode {self.materialize!r}")
         self._persisted: list[DataFrame] = []
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        if self._persist:
+        if self.materialize == "persist":
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self._persisted.append(df)
+        elif self.materialize == "checkpoint":
+            from deliverix.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(self.spark)
+            df = df.checkpoint(eager=True)
         return df
 
     def _keep_small(self, df: DataFrame) -> DataFrame:

@@ -142,3 +142,12 @@ def test_histogram_maximum_in_last_bin(spark):
     assert len(h) == 30 and h[30].sellers == 1 and h[1].sellers == 1
     assert sum(r.sellers for r in h.values()) == 4
     assert h[30].bin_high == 40.0
+
+
+def test_checkpoint_mode_gives_same_results(spark):
+    from deliverix.sources.testdata import load_testdata
+    t = load_testdata(spark, "/root/testdata/sf0.001")
+    a = Build(spark, t, materialize="checkpoint")
+    b = Build(spark, t, materialize="none")
+    for name in ("otdr", "seller", "cohort", "freight"):
+        assert sorted(getattr(a, name).collect()) == sorted(getattr(b, name).collect())
