@@ -88,14 +88,15 @@ def lead_time_detail(lines_cat: DataFrame) -> DataFrame:
 def seller_scorecard(lines_seller: DataFrame, reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Per-seller delivery, revenue and review scorecard (sellers with enough orders)."""
     per_order_review = reviews.groupBy("order_id").agg(F.avg("review_score").alias("review_score"))
+    # lines -> seller x order grain first (map-side partial aggregation, so an
+    # order with very many lines collapses before any shuffle), then attach the
+    # order-level review; every line of an order carries the same review, so
+    # this equals averaging it over the lines as the reference does
     seller_order = (
-        lines_seller.join(per_order_review, on="order_id", how="left")
+        lines_seller
         .groupBy("seller_id", "seller_state", "seller_city", "order_id", "actual_lead_time_days", "is_late")
-        .agg(
-            F.sum(F.col("price").cast("decimal(18,2)")).alias("order_gmv"),
-            # every line of the order carries the same order-level review
-            F.max("review_score").alias("review_score"),
-        )
+        .agg(F.sum(F.col("price").cast("decimal(18,2)")).alias("order_gmv"))
+        .join(per_order_review, on="order_id", how="left")
     )
     review = F.avg("review_score")
     bad = F.sum(F.when(F.col("review_score") <= params.bad_review_max, 1).otherwise(0)).cast("bigint")

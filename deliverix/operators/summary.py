@@ -40,3 +40,15 @@ def summary_metrics(one_row_frames: list[DataFrame], exclude: tuple[str, ...] =
             (F.col(name).cast("string") if is_text else F.lit(None).cast("string")).alias("value_text"),
         ))
     return row.select(F.explode(F.array(*cells)).alias("m")).select("m.*")
+
+
+def summary_map(summary: DataFrame) -> DataFrame:
+    """One row, one map column ``metric -> value`` (text metrics as text, numbers
+    rendered as strings), the form the dashboard reads the summary file in."""
+    value = F.coalesce(F.col("value_text"), F.col("value_num").cast("string"))
+    return summary.agg(F.map_from_entries(F.collect_list(F.struct(F.col("metric"), value))).alias("metrics"))
+
+
+def summary_values(summary: DataFrame) -> dict:
+    """Edge action: the (at most a few dozen) summary metrics as a Python dict."""
+    return {r.metric: (r.value_text if r.value_text is not None else r.value_num) for r in summary.collect()}

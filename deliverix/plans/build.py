@@ -324,6 +324,21 @@ class Build:
     def view_velocity(self, n: int = 30) -> DataFrame:
         return views.view_velocity(self.velocity_inventory, n)
 
+    # -- SQL access -----------------------------------------------------------------
+    VIEWS = {
+        "orders_clean": "clean", "kpi_otdr_monthly": "otdr", "kpi_lead_time_category": "lead_category",
+        "kpi_seller_scorecard": "seller", "kpi_sla_breach_geo": "sla_geo", "kpi_sla_breach_state": "sla_state",
+        "kpi_cohort_retention": "cohort", "kpi_volume_trend": "volume", "kpi_product_velocity": "velocity",
+        "kpi_freight_efficiency": "freight", "freight_corridors": "corridors", "kpi_summary": "kpi_summary",
+    }
+
+    def register_views(self) -> list[str]:
+        """Register the base and KPI frames as temp views (CREATE OR REPLACE VIEW
+        semantics), so reports can be written in Spark SQL against the same plans."""
+        for view, attr in self.VIEWS.items():
+            getattr(self, attr).createOrReplaceTempView(view)
+        return list(self.VIEWS)
+
     # -- sinks (J31) -------------------------------------------------------------------
     def export_frames(self) -> dict[str, DataFrame]:
         return {

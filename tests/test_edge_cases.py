@@ -151,3 +151,16 @@ def test_checkpoint_mode_gives_same_results(spark):
     b = Build(spark, t, materialize="none")
     for name in ("otdr", "seller", "cohort", "freight"):
         assert sorted(getattr(a, name).collect()) == sorted(getattr(b, name).collect())
+
+
+def test_views_and_summary_map(spark):
+    from deliverix.operators.summary import summary_map, summary_values
+    from deliverix.plans.build import build_for
+    b = build_for(spark, "/root/testdata/sf0.01")
+    names = b.register_views()
+    assert "kpi_otdr_monthly" in names
+    n = spark.sql("SELECT sum(total_orders) AS n FROM kpi_otdr_monthly").first().n
+    assert n == spark.sql("SELECT count(*) AS n FROM orders_clean").first().n
+    m = summary_map(b.kpi_summary).first().metrics
+    vals = summary_values(b.kpi_summary)
+    assert len(m) == 28 and float(m["total_orders"]) == vals["total_orders"] == n
