@@ -44,7 +44,7 @@ def skew_conf(spark):
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
     }
     old = {k: spark.conf.get(k, None) for k in keys}
