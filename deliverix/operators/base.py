@@ -21,14 +21,20 @@ CORE_COLUMNS = (
 )
 
 
-def orders_clean(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """Delivered orders with a delivery and purchase time, joined to the customer."""
+def orders_clean(orders: DataFrame, customers: DataFrame, broadcast_max_rows: int | None = None) -> DataFrame:
+    """Delivered orders with a delivery and purchase time, joined to the customer.
+
+    With ``broadcast_max_rows`` the customer table is broadcast when its row
+    count is within the bound; otherwise both sides shuffle on customer_id.
+    """
     o = orders.where(
         (F.col("order_status") == F.lit("delivered"))
         & F.col("order_delivered_customer_date").isNotNull()
         & F.col("order_purchase_timestamp").isNotNull()
     )
     c = customers.select("customer_id", "customer_unique_id", "customer_state", "customer_city")
+    if broadcast_max_rows is not None:
+        c = broadcast_if_small(c, broadcast_max_rows)
     j = o.join(c, on="customer_id", how="inner").select(
         "order_id", "customer_id", "customer_unique_id", "customer_state", "customer_city",
         "order_status",

@@ -71,7 +71,7 @@ class Build:
     # -- base relations -----------------------------------------------------
     @cached_property
     def clean(self) -> DataFrame:
-        return base.orders_clean(self.t.orders, self.t.customers)
+        return base.orders_clean(self.t.orders, self.t.customers, self.params.broadcast_max_rows)
 
     @cached_property
     def core(self) -> DataFrame:
