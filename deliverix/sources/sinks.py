@@ -10,13 +10,29 @@ from pyspark.sql import functions as F
 from deliverix.functions.columns import round_half_away
 
 
-def write_frames(frames: dict[str, DataFrame], out_dir: str, fmt: str = "csv") -> None:
-    for name, df in frames.items():
-        w = df.write.mode("overwrite")
-        if fmt == "csv":
-            w.option("header", True).csv(f"{out_dir}/{name}")
-        else:
-            w.format(fmt).save(f"{out_dir}/{name}")
+def write_frame(df: DataFrame, path: str, fmt: str = "csv") -> None:
+    w = df.write.mode("overwrite")
+    if fmt == "csv":
+        w.option("header", True).csv(path)
+    else:
+        w.format(fmt).save(path)
+
+
+def write_frames(frames: dict[str, DataFrame], out_dir: str, fmt: str = "csv", parallel: int = 4) -> None:
+    """Write independent frames as concurrent Spark jobs (one thread each, bounded).
+
+    Overwrite mode makes every write idempotent, so a retried write after a
+    failure leaves the same files.
+    """
+    if parallel <= 1:
+        for name, df in frames.items():
+            write_frame(df, f"{out_dir}/{name}", fmt)
+        return
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        futures = [pool.submit(write_frame, df, f"{out_dir}/{name}", fmt) for name, df in frames.items()]
+        for f in futures:
+            f.result()
 
 
 def validation_report(validation: DataFrame) -> DataFrame:
@@ -42,3 +58,13 @@ def read_back_counts(spark: SparkSession, out_dir: str, names: list[str], fmt: s
         parts.append(spark.read.text(f"{out_dir}/{name}").agg(F.count(F.lit(1)).alias("rows"))
                      .select(F.lit(name).alias("table_name"), "rows"))
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def read_exported(spark: SparkSession, out_dir: str, name: str, schema, fmt: str = "csv") -> DataFrame:
+    """Read an exported frame back with its schema (timestamps parsed, no
+    inference pass) -- how the report views load the exported files."""
+    if fmt == "csv":
+        return (spark.read.schema(schema).option("header", True)
+                .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSS]")
+                .option("mode", "FAILFAST").csv(f"{out_dir}/{name}"))
+    return spark.read.schema(schema).format(fmt).load(f"{out_dir}/{name}")
