@@ -326,6 +326,22 @@ class Build:
     def view_velocity(self, n: int = 30) -> DataFrame:
         return views.view_velocity(self.velocity_inventory, n)
 
+    def csv_ingest_roundtrip(self, work_dir: str | None = None) -> DataFrame:
+        """J01 in its CSV form: the canonical tables are written as raw CSV
+        exports and ingested back (fixed schemas, quarantine); returns the
+        good / bad row counts per table."""
+        import uuid
+        from pyspark.sql import functions as F
+        from deliverix.session import ensure_checkpoint_dir
+        from deliverix.sources import csv_ingest
+        root = work_dir or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/deliverix-ingest-{uuid.uuid4().hex}"
+        regions = self.t.regions if self.t.regions is not None else self.t.customers.select(
+            F.col("customer_state").alias("region_code"))
+        geo = regions.select(F.col("region_code").alias("geolocation_city"),
+                             F.col("region_code").alias("geolocation_state"))
+        csv_ingest.export_raw_csv(self.t, geo, f"{root}/raw")
+        return csv_ingest.ingest_csv(self.spark, f"{root}/raw", f"{root}/tables").counts
+
     # -- SQL access -----------------------------------------------------------------
     VIEWS = {
         "orders_clean": "clean", "kpi_otdr_monthly": "otdr", "kpi_lead_time_category": "lead_category",

@@ -604,8 +604,12 @@ def _final(p: Params) -> dict[str, str]:
                (SELECT CAST(coalesce(sum(cohort_customers), 0) AS BIGINT) AS eligible_cohort_customers
                 FROM k_cohort WHERE month_number = 0) e,
                d_ltv l)"""
+    csv_ingest = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS good_rows, CAST(0 AS BIGINT) AS bad_rows FROM m_{t}"
+        for t in canon) + " UNION ALL SELECT 'geo', count(*), CAST(0 AS BIGINT) FROM m_regions"
     return {
         "ingest_raw_tables": ingest,
+        "ingest_csv_exports": csv_ingest,
         "orders_clean": "SELECT * FROM orders_clean",
         "status_distribution": f"""
             SELECT order_status, count(*) AS cnt,

@@ -13,7 +13,8 @@ from deliverix.plans.build import Build, build_for
 
 JOBS: dict[str, Callable[[Build], DataFrame]] = {
     # ingest and quality
-    "ingest_raw_tables": lambda b: b.ingest_counts,                 # J01
+    "ingest_raw_tables": lambda b: b.ingest_counts,                 # J01 (row counts of the inputs)
+    "ingest_csv_exports": lambda b: b.csv_ingest_roundtrip(),       # J01 (CSV ingest with quarantine)
     "orders_clean": lambda b: b.clean,                              # J02
     "status_distribution": lambda b: b.status_distribution,         # J03
     "review_distribution": lambda b: b.review_distribution,         # J04

@@ -98,3 +98,21 @@ def market_tables(result: IngestResult) -> MarketTables:
                         products=t["products"], translations=t["translations"], sellers=t["sellers"],
                         reviews=t["reviews"],
                         regions=t["customers"].select(F.col("customer_state").alias("region_code")).distinct())
+
+
+def export_raw_csv(tables: MarketTables, geo: DataFrame, out_dir: str, files: dict | None = None) -> dict[str, str]:
+    """Write canonical tables as raw exports: every column of the raw schema in
+    order (absent ones empty), values as text, one folder per file name."""
+    files = files or RAW_FILES
+    frames = dict(tables.as_dict(), geo=geo)
+    paths = {}
+    for table, (names, schema) in files.items():
+        names = (names,) if isinstance(names, str) else names
+        df = frames[table]
+        cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast("string").alias(f.name)
+                for f in schema.fields]
+        path = f"{out_dir.rstrip('/')}/{names[0]}"
+        (df.select(*cols).write.mode("overwrite").option("header", True)
+         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+        paths[table] = path
+    return paths
