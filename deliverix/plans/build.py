@@ -238,6 +238,11 @@ class Build:
         return quality.quality_gates(self.core, self.t, self.metrics, self.cohort, self.bottom,
                                      self.sla_state, self.otdr, self.params)
 
+    def check_gates(self, names: list[str] | None = None) -> None:
+        """Raise if any (or any named) quality gate failed -- the build's stop
+        condition (the reference stops below its minimum of clean orders)."""
+        quality.raise_on_failed_gates(self.gates, names)
+
     @cached_property
     def consistency(self) -> DataFrame:
         return quality.consistency_checks(self.core, self.otdr, self.sla_geo, self.sla_state)

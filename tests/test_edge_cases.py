@@ -164,3 +164,11 @@ def test_views_and_summary_map(spark):
     m = summary_map(b.kpi_summary).first().metrics
     vals = summary_values(b.kpi_summary)
     assert len(m) == 28 and float(m["total_orders"]) == vals["total_orders"] == n
+
+
+def test_gate_raises_below_minimum(spark):
+    from deliverix.sources.testdata import load_testdata
+    t = load_testdata(spark, "/root/testdata/sf0.001")
+    Build(spark, t, Params(min_clean_rows=10), persist=False).check_gates(["orders_clean_min_rows"])
+    with pytest.raises(RuntimeError, match="orders_clean_min_rows"):
+        Build(spark, t, Params(min_clean_rows=10**9), persist=False).check_gates(["orders_clean_min_rows"])
