@@ -19,3 +19,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def cross_one_row(left: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """Attach one-row frames (global aggregates, ``limit(1)``) to ``left``.
+
+    Each one-row side is broadcast explicitly: its size is fixed by
+    construction, and without the hint a side with unknown statistics would
+    turn the cross join into a cartesian product of partitions.
+    """
+    out = left
+    for df in one_row:
+        out = out.crossJoin(F.broadcast(df))
+    return out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from deliverix.functions.columns import round_half_away
 from deliverix.functions.rank import avg_pct_rank, dense_code
 from deliverix.operators.kpis import N
+from deliverix.functions.joins import cross_one_row
 from deliverix.params import DEFAULT, Params
 
 
@@ -108,7 +109,7 @@ def p90_vs_benchmark(lead_category: DataFrame, n: int = 20) -> DataFrame:
     """First n categories by P90 lead time, flagged against the median P90 of all categories."""
     bench = lead_category.agg(round_half_away(F.percentile("p90_lead_time", 0.5), 6).alias("category_median_p90"))
     top = lead_category.orderBy(F.desc_nulls_last("p90_lead_time"), F.asc("category_en")).limit(n)
-    return top.crossJoin(F.broadcast(bench)).select(
+    return cross_one_row(top, bench).select(
         "category_en", "p90_lead_time", "category_median_p90",
         (F.col("p90_lead_time") > F.col("category_median_p90")).alias("above_benchmark"),
     )
@@ -128,7 +129,7 @@ def seller_score_histogram(seller: DataFrame, params: Params = DEFAULT) -> DataF
     )
     norm = F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))
     idx = F.least(F.floor((score - F.col("_lo")) * norm).cast("int") + F.lit(1), F.lit(bins))
-    counts = (seller.select(score).crossJoin(F.broadcast(st)).select(idx.alias("bin"))
+    counts = (cross_one_row(seller.select(score), st).select(idx.alias("bin"))
               .groupBy("bin").agg(N().alias("sellers")))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     edges = st.select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "_lo", "_hi",

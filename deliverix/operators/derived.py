@@ -16,6 +16,7 @@ from deliverix.functions.columns import exact_avg, round_half_away
 from deliverix.functions.rank import avg_pct_rank
 from deliverix.functions.stats import exact_pearson_r, exact_slope, student_t_pvalue
 from deliverix.operators.kpis import N, _pct
+from deliverix.functions.joins import cross_one_row
 from deliverix.params import DEFAULT, Params
 
 
@@ -116,7 +117,7 @@ def seller_bottom_decile(seller: DataFrame, params: Params = DEFAULT) -> DataFra
                      F.sum(late).alias("_late"))
     bottom = bottom_sellers(seller, params).agg(
         N().alias("bottom_seller_count"), F.sum("total_orders").alias("_b_orders"), F.sum(late).alias("_b_late"))
-    j = tot.crossJoin(bottom)
+    j = cross_one_row(tot, bottom)
     return j.select(
         "scored_sellers", "bottom_seller_count",
         round_half_away(F.try_divide(F.lit(100.0) * F.col("_b_late").cast("double"), F.col("_late").cast("double")), 1)
@@ -175,7 +176,7 @@ def customer_ltv_proxy(order_grain: DataFrame) -> DataFrame:
     a = per_customer.agg((F.sum("lifetime_orders").cast("double") / N().cast("double")).alias("avg_orders_per_customer"))
     b = order_grain.agg(F.try_divide(F.sum("order_value").cast("double"), F.count("order_value").cast("double"))
                         .alias("average_order_value"))
-    return a.crossJoin(b).withColumn(
+    return cross_one_row(a, b).withColumn(
         "ltv_proxy", F.col("avg_orders_per_customer") * F.col("average_order_value"))
 
 
@@ -199,7 +200,7 @@ def top_gmv_weeks(volume: DataFrame, n: int = 3) -> DataFrame:
     """The n highest-GMV weeks, their AOV and what drove them."""
     med = volume.agg(F.percentile("orders", 0.5).alias("_median_orders"))
     top = volume.orderBy(F.desc("total_gmv"), F.asc("purchase_week")).limit(n)
-    return top.crossJoin(F.broadcast(med)).select(
+    return cross_one_row(top, med).select(
         "purchase_week", "orders", "total_gmv",
         (F.col("total_gmv") / F.col("orders").cast("double")).alias("aov"),
         F.when(F.col("orders").cast("double") > F.col("_median_orders"), F.lit("High order volume"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from deliverix.functions.columns import round_half_away
 from deliverix.operators.kpis import N
+from deliverix.functions.joins import cross_one_row
 from deliverix.params import DEFAULT, Params
 from deliverix.sources.tables import MarketTables
 
@@ -72,7 +73,7 @@ def schema_validation(t: MarketTables, clean: DataFrame) -> DataFrame:
     )
     orphans = t.items.join(t.orders.select("order_id"), on="order_id", how="left_anti").agg(N().alias("orphans"))
     c = clean.agg(N().alias("clean_rows"), F.min("purchase_ts").alias("cmin"), F.max("purchase_ts").alias("cmax"))
-    row = o.crossJoin(orphans).crossJoin(c)
+    row = cross_one_row(o, orphans, c)
     retained = round_half_away(F.try_divide(F.lit(100.0) * F.col("clean_rows").cast("double"),
                                             F.col("orig_rows").cast("double")), 2)
     parts = [
@@ -123,8 +124,7 @@ def quality_gates(clean: DataFrame, t: MarketTables, summary_metrics: DataFrame,
     dup_products = t.products.groupBy("product_id").agg(N().alias("_c")).agg(F.count_if(F.col("_c") > 1).alias("dup_p"))
     dup_sellers = t.sellers.groupBy("seller_id").agg(N().alias("_c")).agg(F.count_if(F.col("_c") > 1).alias("dup_s"))
     b = bottom.select("bottom_seller_breach_share_pct", "bottom_seller_order_share_pct")
-    row = (rows.crossJoin(m).crossJoin(m0).crossJoin(st).crossJoin(ot).crossJoin(b)
-           .crossJoin(dup_customers).crossJoin(dup_categories).crossJoin(dup_products).crossJoin(dup_sellers))
+    row = cross_one_row(rows, m, m0, st, ot, b, dup_customers, dup_categories, dup_products, dup_sellers)
     share, oshare = F.col("bottom_seller_breach_share_pct"), F.col("bottom_seller_order_share_pct")
     minrows = float(params.min_clean_rows)
     gates = [
@@ -175,9 +175,9 @@ def consistency_checks(clean: DataFrame, otdr: DataFrame, sla_geo: DataFrame, sl
                  .where(~F.col("g_orders").eqNullSafe(F.col("m_orders")) | ~F.col("g_late").eqNullSafe(F.col("m_late")))
                  .agg(N().alias("mismatches")))
     base = clean.agg(N().alias("c_orders"), F.sum("is_late").cast("bigint").alias("c_late"))
-    totals = (base.crossJoin(otdr.agg(F.sum("total_orders").alias("o"), F.sum("late_orders").alias("ol")))
-              .crossJoin(sla_state.agg(F.sum("total_orders").alias("s"), F.sum("late_orders").alias("sl")))
-              .crossJoin(sla_geo.agg(F.sum("total_orders").alias("g"), F.sum("late_orders").alias("gl"))))
+    totals = cross_one_row(base, otdr.agg(F.sum("total_orders").alias("o"), F.sum("late_orders").alias("ol")),
+                           sla_state.agg(F.sum("total_orders").alias("s"), F.sum("late_orders").alias("sl")),
+                           sla_geo.agg(F.sum("total_orders").alias("g"), F.sum("late_orders").alias("gl")))
     tot_bad = (F.when(F.col("o") != F.col("c_orders"), 1).otherwise(0)
                + F.when(F.col("s") != F.col("c_orders"), 1).otherwise(0)
                + F.when(F.col("g") != F.col("c_orders"), 1).otherwise(0)

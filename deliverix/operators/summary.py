@@ -7,11 +7,11 @@ unpivoted, so the whole summary is a single Spark plan.  Text metrics carry
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deliverix.functions.joins import cross_one_row
+
 # Metric names and order of the reference's summary table.
 METRICS = [
     "overall_otdr_pct", "otdr_min_pct", "otdr_max_pct", "otdr_slope_pct_per_month",
@@ -27,7 +27,7 @@ TEXT_METRICS = {"otdr_trend_direction", "worst_otdr_month", "best_m3_cohort", "w
 
 def summary_metrics(one_row_frames: list[DataFrame], exclude: tuple[str, ...] = ()) -> DataFrame:
     """Unpivot the metrics found in the one-row frames to (position, metric, value_num, value_text)."""
-    row = reduce(lambda a, b: a.crossJoin(b), one_row_frames)
+    row = cross_one_row(one_row_frames[0], *one_row_frames[1:])
     cells = []
     for pos, name in enumerate(METRICS, start=1):
         if name in exclude or name not in row.columns:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from deliverix.functions.joins import cross_one_row
 from deliverix.params import DEFAULT, Params
 
 
@@ -22,7 +23,7 @@ def category_extremes(lead_category: DataFrame, n: int = 5) -> DataFrame:
     ext = _extremes(lead_category, "p90_lead_time", "category_en", cols, n)
     cv = F.try_divide(F.col("lead_time_std"), F.col("avg_lead_time"))
     high = lead_category.agg(F.count_if(cv > F.lit(0.5)).alias("high_variability_categories"))
-    return ext.crossJoin(F.broadcast(high))
+    return cross_one_row(ext, high)
 
 
 def seller_worst(seller: DataFrame, n: int = 5) -> DataFrame:
@@ -44,7 +45,7 @@ def corridor_cost_premium(corridors: DataFrame, median_freight: DataFrame, n: in
     top = top.withColumn("corridor_rank", F.row_number().over(
         Window.orderBy(F.desc("cost_late_index"), "seller_state", "customer_state")).cast("bigint"))
     premium = (F.try_divide(F.col("avg_freight_cost"), F.col("median_freight_cost")) - F.lit(1.0)) * F.lit(100.0)
-    return top.crossJoin(F.broadcast(median_freight)).select(
+    return cross_one_row(top, median_freight).select(
         "corridor_rank", "seller_state", "customer_state", "shipments", "avg_freight_cost",
         "late_rate_pct", "avg_lead_time", premium.alias("cost_premium_pct"),
     )
@@ -58,9 +59,9 @@ def impact_sizing(clean_rows: DataFrame, overall: DataFrame, bottom: DataFrame,
         F.col("total_orders").alias("_ws_orders"), F.col("late_orders").alias("_ws_late"))
     eligible = cohort.where(F.col("month_number") == 0).agg(
         F.coalesce(F.sum("cohort_customers"), F.lit(0)).cast("bigint").alias("eligible_cohort_customers"))
-    row = (clean_rows.crossJoin(overall).crossJoin(bottom.select("bottom_seller_breach_share_pct"))
-           .crossJoin(financials.select("total_gmv", "aov")).crossJoin(worst).crossJoin(eligible)
-           .crossJoin(ltv.select("avg_orders_per_customer")))
+    row = cross_one_row(clean_rows, overall, bottom.select("bottom_seller_breach_share_pct"),
+                        financials.select("total_gmv", "aov"), worst, eligible,
+                        ltv.select("avg_orders_per_customer"))
     share = F.col("bottom_seller_breach_share_pct")
     total_late = F.bround(F.col("orders_clean_rows").cast("double")
                           * (F.lit(100.0) - F.col("overall_otdr_pct")) / F.lit(100.0), 0).cast("bigint")
