@@ -64,28 +64,36 @@ class IngestResult:
     counts: DataFrame  # table_name, good_rows, bad_rows
 
 
+def _ingest_one(spark: SparkSession, table: str, path: str, schema: StructType, out_dir: str,
+                multiline: bool) -> DataFrame:
+    parsed_path = f"{out_dir}/_parsed/{table}"
+    read_csv_permissive(spark, path, schema, multiline=multiline).write.mode("overwrite").parquet(parsed_path)
+    parsed = spark.read.parquet(parsed_path)
+    parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT).write.mode("overwrite").parquet(f"{out_dir}/{table}")
+    parsed.where(F.col(CORRUPT).isNotNull()).write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{table}")
+    return parsed.agg(
+        F.count_if(F.col(CORRUPT).isNull()).alias("good_rows"),
+        F.count_if(F.col(CORRUPT).isNotNull()).alias("bad_rows"),
+    ).select(F.lit(table).alias("table_name"), "good_rows", "bad_rows")
+
+
 def ingest_csv(spark: SparkSession, data_dir: str, out_dir: str, files: dict | None = None,
-               multiline_tables: tuple[str, ...] = ("reviews",)) -> IngestResult:
+               multiline_tables: tuple[str, ...] = ("reviews",), parallel: int = 4) -> IngestResult:
     """Parse every raw CSV once, write good rows to ``out_dir/<table>`` and bad ones to
-    ``out_dir/_quarantine/<table>``; return the written tables and per-table counts."""
+    ``out_dir/_quarantine/<table>``; return the written tables and per-table counts.
+
+    Tables are independent, so up to ``parallel`` of them are ingested as
+    concurrent Spark jobs; overwrite mode keeps every step idempotent.
+    """
+    from concurrent.futures import ThreadPoolExecutor
     files = files or RAW_FILES
     paths = resolve_inputs(spark, data_dir, files)
-    tables, counts = {}, []
-    for table, path in paths.items():
-        schema = files[table][1]
-        parsed_path = f"{out_dir}/_parsed/{table}"
-        (read_csv_permissive(spark, path, schema, multiline=table in multiline_tables)
-         .write.mode("overwrite").parquet(parsed_path))
-        parsed = spark.read.parquet(parsed_path)
-        good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-        bad = parsed.where(F.col(CORRUPT).isNotNull())
-        good.write.mode("overwrite").parquet(f"{out_dir}/{table}")
-        bad.write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{table}")
-        tables[table] = spark.read.parquet(f"{out_dir}/{table}")
-        counts.append(parsed.agg(
-            F.count_if(F.col(CORRUPT).isNull()).alias("good_rows"),
-            F.count_if(F.col(CORRUPT).isNotNull()).alias("bad_rows"),
-        ).select(F.lit(table).alias("table_name"), "good_rows", "bad_rows"))
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        futures = {table: pool.submit(_ingest_one, spark, table, path, files[table][1], out_dir,
+                                      table in multiline_tables)
+                   for table, path in paths.items()}
+        counts = [futures[t].result() for t in paths]
+    tables = {table: spark.read.parquet(f"{out_dir}/{table}") for table in paths}
     total = counts[0]
     for c in counts[1:]:
         total = total.unionByName(c)
@@ -103,10 +111,12 @@ def market_tables(result: IngestResult) -> MarketTables:
 def export_raw_csv(tables: MarketTables, geo: DataFrame, out_dir: str, files: dict | None = None) -> dict[str, str]:
     """Write canonical tables as raw exports: every column of the raw schema in
     order (absent ones empty), values as text, one folder per file name."""
+    from concurrent.futures import ThreadPoolExecutor
     files = files or RAW_FILES
     frames = dict(tables.as_dict(), geo=geo)
-    paths = {}
-    for table, (names, schema) in files.items():
+
+    def write(table: str) -> str:
+        names, schema = files[table]
         names = (names,) if isinstance(names, str) else names
         df = frames[table]
         cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast("string").alias(f.name)
@@ -114,5 +124,8 @@ def export_raw_csv(tables: MarketTables, geo: DataFrame, out_dir: str, files: di
         path = f"{out_dir.rstrip('/')}/{names[0]}"
         (df.select(*cols).write.mode("overwrite").option("header", True)
          .option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
-        paths[table] = path
-    return paths
+        return path
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        futures = {table: pool.submit(write, table) for table in files}
+        return {table: f.result() for table, f in futures.items()}
