@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -23,9 +24,13 @@ CORRUPT = "_corrupt_record"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """True if ``path`` exists (file or folder); resolving a reader lists the
+    path without running a job and fails with PATH_NOT_FOUND otherwise."""
+    try:
+        spark.read.text(path)
+        return True
+    except AnalysisException:
+        return False
 
 
 def resolve_inputs(spark: SparkSession, data_dir: str, files: dict | None = None) -> dict[str, str]:
