@@ -2,9 +2,9 @@
 
 ``orders_clean`` (J02) is the order-grain view of delivered orders.  Most
 jobs need only nine of its 22 columns, so :func:`clean_core` is the narrow
-projection that the build keeps persisted; :func:`order_lines` joins it to
-the order lines once (the join every item-level KPI repeats in the
-reference) and is persisted as well.
+projection that the build materializes; :func:`enriched_lines` joins it to
+the order lines and to the product and seller dimensions once (the joins
+every item-level KPI repeats in the reference) and is materialized as well.
 """
 
 from __future__ import annotations

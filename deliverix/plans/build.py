@@ -1,12 +1,14 @@
 """One build of the analytics: memoized DataFrames over one set of inputs.
 
 The reference evaluates its cleaned view 16 times per run because views are
-not materialized.  Here the two relations every KPI starts from -- the narrow
-clean-order projection and clean orders joined to their lines -- are
-persisted once (MEMORY_AND_DISK, so they spill rather than fail, and are
-recomputed from lineage if an executor is lost).  Everything else is a lazy
-DataFrame built on top of them; Spark only runs what is finally written or
-collected.
+not materialized.  Here the relations every KPI starts from -- the narrow
+clean-order projection, the order lines enriched with order, product and
+seller attributes, and their order-grain sums -- are materialized once
+(persisted MEMORY_AND_DISK by default, so they spill rather than fail and are
+recomputed from lineage if an executor is lost; or checkpointed).  KPI
+results, whose size is bounded by calendar, geography or catalogue, are kept
+as well.  Everything else is a lazy DataFrame built on top of them; Spark
+only runs what is finally written or collected.
 """
 
 from __future__ import annotations
