@@ -35,3 +35,30 @@ def dense_code(df: DataFrame, value: str, out: str) -> DataFrame:
     codes = df.select(value).where(F.col(value).isNotNull()).distinct()
     codes = codes.select(value, (F.dense_rank().over(Window.orderBy(value)) - 1).cast("bigint").alias(out))
     return df.join(codes, on=value, how="left")
+
+
+def distributed_rank(df: DataFrame, key: str, out: str, partitions: int | None = None) -> DataFrame:
+    """1-based rank of each row by a unique ``key``, without a global window.
+
+    Rows are range-partitioned and sorted by ``key``; each row's position
+    inside its partition comes from ``monotonically_increasing_id`` (record
+    number in the lower 33 bits).  The result is checkpointed to the cluster's
+    checkpoint folder so partition ids are fixed once, then each partition's
+    offset is the number of rows in the partitions before it (one row per
+    partition).  No task holds more than one key range.
+    """
+    spark = df.sparkSession
+    from deliverix.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n_parts, key).sortWithinPartitions(key)
+    pid = F.spark_partition_id()
+    r = r.withColumn("_pid", pid).withColumn(
+        "_local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
+    r = r.checkpoint(eager=True)
+    sizes = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (r.join(F.broadcast(offsets), on="_pid", how="inner")
+            .withColumn(out, F.col("_off") + F.col("_local") + 1)
+            .drop("_pid", "_local", "_off"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deliverix.functions.columns import exact_avg, round_half_away
-from deliverix.functions.rank import avg_pct_rank
+from deliverix.functions.rank import avg_pct_rank, distributed_rank
 from deliverix.functions.stats import exact_pearson_r, exact_slope, student_t_pvalue
 from deliverix.operators.kpis import N, _pct
 from deliverix.functions.joins import cross_one_row
@@ -81,7 +81,8 @@ def bottom_sellers(seller: DataFrame, params: Params = DEFAULT) -> DataFrame:
     Distributed without a global sort: the composite score is rounded to one
     decimal in [0, 100], so a histogram over it has at most 1,001 rows.  The
     cumulative histogram fixes the boundary score; groups below it are taken
-    whole, and only the sellers sharing the boundary score are ordered by id.
+    whole, and only the sellers sharing the boundary score are ranked by id
+    (range-partitioned, see :func:`distributed_rank`).
     """
     score = "seller_composite_score"
     hist = seller.groupBy(score).agg(N().alias("_n"))
@@ -94,15 +95,15 @@ def bottom_sellers(seller: DataFrame, params: Params = DEFAULT) -> DataFrame:
                    .cast("bigint")).alias("_k"),
     ).where(F.col("_before") < F.col("_k"))
     # groups wholly inside the bottom set are taken without ordering; only the
-    # boundary group (at most one score value) is ordered by seller_id
+    # boundary group (at most one score value) is ranked by seller_id, with a
+    # range-partitioned rank so no single task orders the whole group
     hist = hist.select(score, "_n", F.least(F.col("_n"), F.col("_k") - F.col("_before")).alias("_take"))
     whole = seller.join(F.broadcast(hist.where(F.col("_take") == F.col("_n")).select(score)),
                         on=score, how="left_semi")
     edge = seller.join(F.broadcast(hist.where(F.col("_take") < F.col("_n")).select(score, "_take")),
                        on=score, how="inner")
-    by_id = Window.partitionBy(score).orderBy("seller_id")
-    edge = (edge.withColumn("_rn", F.row_number().over(by_id))
-            .where(F.col("_rn") <= F.col("_take")).drop("_rn", "_take"))
+    edge = distributed_rank(edge, "seller_id", "_rn")
+    edge = edge.where(F.col("_rn") <= F.col("_take")).drop("_rn", "_take")
     return whole.unionByName(edge)
 
 

@@ -104,3 +104,13 @@ def test_student_t_pvalue_expression(spark):
     assert not mism, mism[:5]
     same = sum(1 for (r, n), p in zip(cases, got) if exp[(r, n)] == p)
     assert same >= len(cases) - 3
+
+
+def test_distributed_rank_matches_sort(spark):
+    from deliverix.functions.rank import distributed_rank
+    rnd = random.Random(13)
+    ids = list({f"id{rnd.randint(0, 10**6):07d}" for _ in range(3000)})
+    df = spark.createDataFrame([(i,) for i in ids], "k string").repartition(7)
+    got = {r.k: r.rk for r in distributed_rank(df, "k", "rk", partitions=5).collect()}
+    expect = {k: i + 1 for i, k in enumerate(sorted(ids))}
+    assert got == expect
