@@ -349,6 +349,13 @@ class Build:
         csv_ingest.export_raw_csv(self.t, geo, f"{root}/raw")
         return csv_ingest.ingest_csv(self.spark, f"{root}/raw", f"{root}/tables").counts
 
+    def write_clean(self, path: str) -> DataFrame:
+        """Materialize ``orders_clean`` as Parquet partitioned by purchase month
+        (replace-table semantics) and return the table read back; month filters
+        on it prune partitions instead of scanning every order."""
+        (self.clean.write.mode("overwrite").partitionBy("purchase_month").parquet(path))
+        return self.spark.read.parquet(path)
+
     # -- SQL access -----------------------------------------------------------------
     VIEWS = {
         "orders_clean": "clean", "kpi_otdr_monthly": "otdr", "kpi_lead_time_category": "lead_category",

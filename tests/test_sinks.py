@@ -19,3 +19,16 @@ def test_export_round_trip(spark):
         assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, src.collect()), key=repr), name
     report = [r.value for r in spark.read.text(f"{out}/schema_validation").collect()]
     assert any(line.startswith("orders_clean_rows: ") for line in report)
+
+
+def test_clean_table_partition_pruning(spark):
+    from pyspark.sql import functions as F
+    b = build_for(spark, "/root/testdata/sf0.01")
+    out = tempfile.mkdtemp(prefix="deliverix-clean-")
+    t = b.write_clean(out)
+    assert t.count() == b.clean.count()
+    month = b.otdr.agg(F.max("purchase_month")).first()[0]
+    q = t.where(F.col("purchase_month") == F.lit(month))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(purchase_month" in plan
+    assert q.count() == b.otdr.where(F.col("purchase_month") == F.lit(month)).first().total_orders
