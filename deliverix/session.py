@@ -32,17 +32,21 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
+    """Return the shared folder for intermediate data (``spark.checkpoint.dir``).
 
-    On a cluster this must be a shared folder configured by the operator;
-    it is only filled in here when unset, which is the local/test case.
+    Executors of a cluster can only exchange files through a folder that all
+    of them see, so an unset ``spark.checkpoint.dir`` is an error there.  Only
+    a ``local*`` master (driver and executors are one process) gets a
+    temporary folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="deliverix-ckpt-")
-    sc.setCheckpointDir(local)
-    return local
+    if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is not set and the master is {sc.master}: "
+                "name a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="deliverix-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current
