@@ -19,8 +19,11 @@ most ``RECORDS_PER_FILE`` records.  Position sums need one row per shard.
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,11 +38,19 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 RECORDS_PER_FILE = 4000
 MASK = 0xA282EAD8
-CACHE = 300_000
+CACHE = 400_000
 
-# A space between two characters that are surely not white space is always the start of a token of
-# this tokenizer, so texts may be cut there; other texts are encoded in one piece.
-_UNSAFE = re.compile(r"(?:^|[^!-~¡-ɏ]) | (?:$|[^!-~¡-ɏ])")
+# A space between two characters that are no white space always starts a token of this tokenizer, so
+# texts may be cut there.  Pieces are cut further here if all their characters are of a range whose
+# classes are the same in every Unicode version; texts with other pieces are encoded as a whole.
+_PLAIN = re.compile(r"[!-~¡-ɏ](?:[\n!-~¡-ɏ]*[!-~¡-ɏ])?")
+# The byte-level pre-tokenizer's pattern, with its letters and numbers in that range,
+# and its characters for the 256 bytes.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_BYTE_CHARS = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -85,22 +96,51 @@ class Encoder:
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2") if self._t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self._known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        self._known: dict[str, bytes | None] = {}  # by piece
+        self._tokens: dict[str, bytes] = {}  # by pre-token
+        self._split = re.compile(_PATTERN).findall
+        spec = json.loads(self._t.to_str())
+        # the short way below holds for a plain byte-level tokenizer only
+        self._byte_level = (spec["normalizer"] is None and spec["model"]["type"] == "BPE" and spec["pre_tokenizer"]
+                            == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _token(self, text: str) -> bytes:
+        ids = [t.id for t in self._t.model.tokenize(codecs.charmap_decode(text.encode(), "strict", _BYTE_CHARS)[0])]
+        return struct.pack(f"<{len(ids)}{self.type.char}", *ids)
+
+    def _piece(self, piece: str) -> bytes | None:
+        """Ids of a piece with a space before it; None if it can't be cut off its text."""
+        if not _PLAIN.fullmatch(piece):
+            return None
+        out = []
+        for x in self._split(f" {piece}"):
+            got = self._tokens.get(x)
+            if got is None:
+                got = self._tokens[x] = self._token(x)
+            out.append(got)
+        return out[0] if len(out) == 1 else b"".join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
+        if not self._byte_level:
+            return self._whole(texts)
+        cut = [t.split(" ") for t in texts]
+        if len(self._known) > CACHE or len(self._tokens) > CACHE:
+            self._known.clear()
+            self._tokens.clear()
         known = self._known
-        new = set().union(*[p[1:] for p in cut if p]).difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set().union(*[p[1:] for p in cut if p])
-        new = list(new)
-        known.update(zip(new, self._ids([f" {p}" for p in new])))
-        first = self._ids([t if p is None else p[0] for t, p in zip(texts, cut)])
-        return [f if p is None else f + b"".join(map(known.__getitem__, p[1:])) for f, p in zip(first, cut)]
+        for p in set().union(*cut).difference(known):
+            known[p] = self._piece(p)
+        out: list[bytes | None] = []
+        for p, first in zip(cut, self._whole([p[0] for p in cut])):
+            try:
+                out.append(first + b"".join(map(known.__getitem__, p[1:])) if known[p[0]] is not None else None)
+            except TypeError:  # a piece that can't be cut off
+                out.append(None)
+        rest = iter(self._whole([t for t, x in zip(texts, out) if x is None]))
+        return [next(rest) if x is None else x for x in out]
 
 
 _ENCODERS: dict[str, Encoder] = {}
