@@ -97,8 +97,9 @@ class Encoder:
         self._t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2") if self._t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._known: dict[str, bytes | None] = {}  # by piece
-        self._tokens: dict[str, bytes] = {}  # by pre-token
+        self._tokens: dict[str, bytes] = {}  # by pre-token, or by word with a space before it
         self._split = re.compile(_PATTERN).findall
+        self._marks = {x: self._token(x) for x in ",."}
         spec = json.loads(self._t.to_str())
         # the short way below holds for a plain byte-level tokenizer only
         self._byte_level = (spec["normalizer"] is None and spec["model"]["type"] == "BPE" and spec["pre_tokenizer"]
@@ -113,13 +114,20 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes | None:
         """Ids of a piece with a space before it; None if it can't be cut off its text."""
+        word = piece[:-1] if piece[-1:] in (",", ".") else piece
+        if word.isascii() and word.isalpha():  # the most frequent kind: one pre-token, and perhaps a mark
+            got = self._tokens.get(word)
+            if got is None:
+                got = self._tokens[word] = self._token(f" {word}")
+            return got if len(word) == len(piece) else got + self._marks[piece[-1]]
         if not _PLAIN.fullmatch(piece):
             return None
         out = []
         for x in self._split(f" {piece}"):
-            got = self._tokens.get(x)
+            key = f"\0{x}"  # apart from the words above
+            got = self._tokens.get(key)
             if got is None:
-                got = self._tokens[x] = self._token(x)
+                got = self._tokens[key] = self._token(x)
             out.append(got)
         return out[0] if len(out) == 1 else b"".join(out)
 
