@@ -16,6 +16,7 @@ from deliverix.llm import (
     line_dedup,
     mixing,
     quality_rules,
+    substring_dedup,
     token_output,
 )
 from deliverix.llm.shared import table
@@ -46,6 +47,7 @@ def _on(query: Callable[..., DataFrame], *tables: str) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": _on(line_dedup.query, "documents"),
     "op2_token_output": _on(token_output.query, "documents"),
+    "op3_substring_dedup": _on(substring_dedup.query, "documents"),
     "op5_mixing": _on(mixing.query, "documents"),
     "op6_quality_rules": _on(quality_rules.query, "documents"),
     "op7_decontamination": _on(decontamination.query, "documents", "benchmark"),
