@@ -14,6 +14,7 @@ from deliverix.llm import (
     decontamination,
     html_extract,
     line_dedup,
+    lm_scoring,
     mixing,
     quality_rules,
     substring_dedup,
@@ -53,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op7_decontamination": _on(decontamination.query, "documents", "benchmark"),
     "op8_quality_classifier": _on(classifier.query, "documents", "labels"),
     "op9_html_extraction": _on(html_extract.query, "pages"),
+    "op10_lm_scoring": _on(lm_scoring.query, "documents"),
 }
 
 ORACLE_SQL: dict[str, str] = {
