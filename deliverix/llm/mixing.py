@@ -67,10 +67,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         size: Column | None = None, weight: Column | None = None, weights=WEIGHTS,
-        share: float = SHARE, cap: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+        share: float = SHARE, cap: float = MAX_EPOCHS, seed: str = SEED, tag: Column | None = None) -> DataFrame:
     """How often the mix takes each document.
 
-    Returns (id, size, source, source_size, target, epochs, picked, taken):
+    Returns (id, size, source, source_size, target, epochs, picked, taken, tag):
     ``epochs`` complete passes over the source, ``picked`` if the fractional
     pass takes the document too, ``taken`` = size * (epochs + picked).  The
     fractional pass takes documents in key order while more than half of the
@@ -78,12 +78,13 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     most.  A null source is a source, a null text has size 0, documents of
     size 0 are never picked; ties of the key go by id; rows that repeat an id
     have one key and are taken in one unspecified order, each counted.  The
-    result is a function of the rows alone.
+    result is a function of the rows alone.  ``tag`` is carried along.
     """
     size = word_count(F.col("text")) if size is None else size
     weight = quality_weight(F.col("text")) if weight is None else weight
+    tag = F.lit(None).cast("long") if tag is None else tag
     docs = documents.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), tag.alias("tag"),
         (-F.log(uniform(F.col(id_col), seed)) / weight).alias("key"))
     docs = written(docs, "mix-sizes")
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -115,7 +116,23 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     both = sure.unionByName(edge.drop("at"))
     return both.select(
         F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "epochs", "picked",
-        (F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).alias("taken"))
+        (F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).alias("taken"), "tag")
+
+
+def mixed(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: each row of ``documents`` (all its columns) as often as the mix takes it.
+
+    Rows that repeat an id and a text are matched with their decisions one by one.
+    """
+    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    choice = mix(documents, id_col, source_col, word_count(F.col(text_col)), quality_weight(F.col(text_col)), tag=tag, **options)
+    times = (F.col("epochs") + F.col("picked").cast("long")).cast("int")
+    choice = choice.select(F.col(id_col).alias("_id"), F.col("tag").alias("_tag"), times.alias("_times"))
+    choice = choice.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_times")))
+    rows = documents.withColumn("_t", tag)
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(id_col, "_t").orderBy(source_col)))
+    both = rows.join(choice, rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tag")) & (F.col("_r") == F.col("_row")))
+    return both.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*documents.columns)
 
 
 def query(documents: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from deliverix.llm import (
     classifier,
     decontamination,
     html_extract,
+    jaccard_join,
     line_dedup,
     lm_scoring,
     mixing,
@@ -49,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": _on(line_dedup.query, "documents"),
     "op2_token_output": _on(token_output.query, "documents"),
     "op3_substring_dedup": _on(substring_dedup.query, "documents"),
+    "op4_jaccard_join": _on(jaccard_join.query, "documents"),
     "op5_mixing": _on(mixing.query, "documents"),
     "op6_quality_rules": _on(quality_rules.query, "documents"),
     "op7_decontamination": _on(decontamination.query, "documents", "benchmark"),
