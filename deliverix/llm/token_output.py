@@ -38,7 +38,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 RECORDS_PER_FILE = 4000
 MASK = 0xA282EAD8
-CACHE = 400_000
+CACHE = 300_000
 
 # A space between two characters that are no white space always starts a token of this tokenizer, so
 # texts may be cut there.  Pieces are cut further here if all their characters are of a range whose
@@ -131,13 +131,17 @@ class Encoder:
             out.append(got)
         return out[0] if len(out) == 1 else b"".join(out)
 
+    def forget(self) -> None:
+        """Give the kept pieces' memory back; the worker process lives on."""
+        self._known.clear()
+        self._tokens.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self._byte_level:
             return self._whole(texts)
         cut = [t.split(" ") for t in texts]
         if len(self._known) > CACHE or len(self._tokens) > CACHE:
-            self._known.clear()
-            self._tokens.clear()
+            self.forget()
         known = self._known
         for p in set().union(*cut).difference(known):
             known[p] = self._piece(p)
@@ -168,6 +172,7 @@ def _encode(path: str, end_id: int | None):
                 head = (0 if i is None else i).to_bytes(8, "little", signed=True) + bytes([encoder.type.itemsize + 128 * (i is None)])
                 out.append(frame(head + tokens + end))
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
+        encoder.forget()
     return run
 
 
