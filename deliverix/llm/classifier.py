@@ -6,7 +6,7 @@ trains vectors and output together.
 
 Scale: features are made where the rows are.  The model is trained on the
 driver from at most ``SAMPLE`` labelled documents, chosen by the smallest hash
-of their id (a documented bound: about 100 MB of feature counts); all other
+of their id (a documented bound: about 50 MB of feature counts); all other
 documents are only scored, in one scan without a shuffle.  Since the output is
 linear in the mean vector, scoring needs one number per bucket, so the
 broadcast model is ``BUCKETS`` floats whatever the data.
@@ -26,13 +26,15 @@ from deliverix.llm.shared import Prefix, Words, expand, fold_of, mix, text_slice
 BUCKETS = 1 << 16
 DIM = 8
 GRAMS = (2, 3, 4)
-SAMPLE = 6000
+SAMPLE = 4000
 EPOCHS = 4
 MIN_STEPS = 600
 RATE = 0.5
 BATCH = 64
 SEED = 7
 CUT = 0.3
+#: Text whose features are made at once: about 300 bytes of arrays per byte.
+SLICE = 1 << 19
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +137,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in text_slices(batches, "text"):
+    for b in text_slices(batches, "text", SLICE):
         f, n = features(b.column("text"))
         at = np.concatenate([[0], np.cumsum(n)])
         each = [np.unique(f[at[i]:at[i + 1]], return_counts=True) for i in range(b.num_rows)]
@@ -159,9 +161,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = (docs.join(F.broadcast(chosen), "id")  # at most ``sample`` rows of three numbers
             .select("text", "label", "place")
-            .mapInArrow(_count_features, "label int, place long, buckets binary, counts binary").collect())
-    rows.sort(key=lambda r: (r.place, bytes(r.buckets)))
-    return train([(np.frombuffer(r.buckets, "<u2"), np.frombuffer(r.counts, "<u4"), int(r.label > 0)) for r in rows])
+            .mapInArrow(_count_features, "label int, place long, buckets binary, counts binary").toArrow())
+    columns = [rows.column(c) for c in ("place", "buckets", "counts", "label")]
+    found = sorted((p.as_py(), b.as_buffer().to_pybytes(), c.as_buffer().to_pybytes(), y.as_py()) for p, b, c, y in zip(*columns))
+    return train([(np.frombuffer(b, "<u2"), np.frombuffer(c, "<u4"), int(y > 0)) for _, b, c, y in found])
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +172,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "text"):
+        for b in text_slices(batches, "text", SLICE):
             yield pa.record_batch([b.column("id"), pa.array(shared.value.score(b.column("text")), pa.float64())], names=["id", "score"])
 
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -186,7 +189,7 @@ def keep_good(documents: DataFrame, model: Model, text_col: str = "text", cut: f
         import pyarrow.compute as pc
 
         for b in batches:
-            parts = text_slices([pa.record_batch([b.column(at)], names=["text"])], "text")
+            parts = text_slices([pa.record_batch([b.column(at)], names=["text"])], "text", SLICE)
             s = np.concatenate([shared.value.score(p.column(0)) for p in parts]) if b.num_rows else np.zeros(0)
             yield b.filter(pc.greater_equal(pa.array(s), cut))
 

@@ -20,7 +20,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Stands for a null id inside joins and orderings: before every other id.
 NULL_ID = -(2 ** 63)
 #: Text handed to numpy at once; a single longer document is taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
