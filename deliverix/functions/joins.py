@@ -1,4 +1,4 @@
-"""Checked broadcast joins."""
+"""Joins with one-row sides."""
 
 from __future__ import annotations
 
@@ -6,21 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a bounded job), so it is a
-    proven bound, not a size estimate.  Static estimates are useless for
-    dimensions built from joins (without CBO an outer join is estimated as
-    the product of its inputs), and a wrong guess either shuffles the largest
-    table for a small dimension or broadcasts something huge.  Above the
-    bound the plain DataFrame is returned and Spark picks a shuffle join
-    (AQE can still switch at run time).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def cross_one_row(left: DataFrame, *one_row: DataFrame) -> DataFrame:
     """Attach one-row frames (global aggregates, ``limit(1)``) to ``left``.
 

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deliverix.functions.columns import day_diff, day_of_week, month_start, week_start
-from deliverix.functions.joins import broadcast_if_small
 
 CORE_COLUMNS = (
     "order_id", "customer_unique_id", "customer_state", "purchase_ts",
@@ -21,11 +20,10 @@ CORE_COLUMNS = (
 )
 
 
-def orders_clean(orders: DataFrame, customers: DataFrame, broadcast_max_rows: int | None = None) -> DataFrame:
+def orders_clean(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Delivered orders with a delivery and purchase time, joined to the customer.
 
-    With ``broadcast_max_rows`` the customer table is broadcast when its row
-    count is within the bound; otherwise both sides shuffle on customer_id.
+    Spark picks the join from measured sizes (adaptive execution).
     """
     o = orders.where(
         (F.col("order_status") == F.lit("delivered"))
@@ -33,8 +31,6 @@ def orders_clean(orders: DataFrame, customers: DataFrame, broadcast_max_rows: in
         & F.col("order_purchase_timestamp").isNotNull()
     )
     c = customers.select("customer_id", "customer_unique_id", "customer_state", "customer_city")
-    if broadcast_max_rows is not None:
-        c = broadcast_if_small(c, broadcast_max_rows)
     j = o.join(c, on="customer_id", how="inner").select(
         "order_id", "customer_id", "customer_unique_id", "customer_state", "customer_city",
         "order_status",
@@ -90,8 +86,7 @@ def order_lines(items: DataFrame, core: DataFrame) -> DataFrame:
     return i.join(c, on="order_id", how="inner")
 
 
-def enriched_lines(items: DataFrame, core: DataFrame, categories: DataFrame, sellers: DataFrame,
-                   broadcast_max_rows: int | None = None) -> DataFrame:
+def enriched_lines(items: DataFrame, core: DataFrame, categories: DataFrame, sellers: DataFrame) -> DataFrame:
     """Order lines of clean orders with order, product and seller attributes, joined once.
 
     Products and sellers are left-joined on their keys and flagged, so jobs
@@ -99,14 +94,10 @@ def enriched_lines(items: DataFrame, core: DataFrame, categories: DataFrame, sel
     ``has_seller`` instead of joining again: the line table is shuffled for
     these dimensions once, not once per KPI.  Equivalent to the inner joins
     as long as product_id and seller_id are keys (checked by the quality gates).
-    With ``broadcast_max_rows``, each dimension is broadcast when its row count
-    is within the bound (so the line table is not shuffled for it at all).
+    Spark picks the joins from measured sizes (adaptive execution).
     """
     cat = categories.withColumn("has_product", F.lit(True))
     sel = sellers.select("seller_id", "seller_state", "seller_city").withColumn("has_seller", F.lit(True))
-    if broadcast_max_rows is not None:
-        cat = broadcast_if_small(cat, broadcast_max_rows)
-        sel = broadcast_if_small(sel, broadcast_max_rows)
     lines = order_lines(items, core)
     lines = lines.join(cat, on="product_id", how="left").join(sel, on="seller_id", how="left")
     return lines.select(

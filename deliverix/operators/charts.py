@@ -99,10 +99,11 @@ def freight_outlier_lanes(freight: DataFrame, n: int = 5) -> DataFrame:
 
 
 def velocity_top(velocity_inventory: DataFrame, n: int = 20) -> DataFrame:
-    """The n fastest-selling categories (units per week)."""
+    """The n fastest-selling categories (units per week), slowest of them first."""
     v = velocity_inventory.where(F.col("category_en").isNotNull())
     return (v.orderBy(F.desc_nulls_last("units_per_week"), F.asc("category_en")).limit(n)
-            .select("category_en", "units_per_week"))
+            .select("category_en", "units_per_week")
+            .orderBy(F.asc("units_per_week"), F.desc("category_en")))
 
 
 def p90_vs_benchmark(lead_category: DataFrame, n: int = 20) -> DataFrame:

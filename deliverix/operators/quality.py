@@ -149,7 +149,14 @@ def quality_gates(clean: DataFrame, t: MarketTables, summary_metrics: DataFrame,
 
 
 def raise_on_failed_gates(gates: DataFrame, names: list[str] | None = None) -> None:
-    """Edge action: raise if any (or any named) gate failed.  Collects at most one row per gate."""
+    """Edge action: raise if any (or any named) gate failed.  Collects at most one row per gate.
+
+    A name that is no gate is an error, not a gate that passes.
+    """
+    if names is not None:
+        unknown = set(names) - {r.expectation for r in gates.select("expectation").collect()}
+        if unknown:
+            raise ValueError(f"no such quality gate: {', '.join(sorted(unknown))}")
     g = gates if names is None else gates.where(F.col("expectation").isin(names))
     failed = g.where(~F.col("passed")).select("expectation", "observed", "threshold").collect()
     if failed:

@@ -54,14 +54,15 @@ def filter_domains(seller: DataFrame, sla_state: DataFrame, lead_category: DataF
 
 def view_categories(lead_category: DataFrame, categories: Sequence[str] | None = None,
                     params: Params = DEFAULT) -> DataFrame:
-    """Selected categories (default: the largest ones), five columns."""
+    """Selected categories (default: the largest ones), five columns, longest P90 first."""
     if categories is None:
         chosen = lead_category.join(
             F.broadcast(largest_categories(lead_category, params.top_categories).select("category_en")),
             on="category_en", how="left_semi")
     else:
         chosen = lead_category.where(F.col("category_en").isin(list(categories)))
-    return chosen.select("category_en", "total_orders", "avg_lead_time", "p90_lead_time", "late_rate_pct")
+    return (chosen.select("category_en", "total_orders", "avg_lead_time", "p90_lead_time", "late_rate_pct")
+            .orderBy(F.desc_nulls_last("p90_lead_time"), F.asc("category_en")))
 
 
 def view_sellers(seller: DataFrame, min_orders: int | None = None, n: int = 20,
@@ -75,9 +76,10 @@ def view_sellers(seller: DataFrame, min_orders: int | None = None, n: int = 20,
 
 
 def view_states(sla_state: DataFrame, states: Sequence[str] | None = None) -> DataFrame:
-    """Selected states (default: all), five columns."""
+    """Selected states (default: all), five columns, highest breach rate first."""
     s = sla_state if states is None else sla_state.where(F.col("customer_state").isin(list(states)))
-    return s.select("customer_state", "total_orders", "breach_rate_pct", "avg_lead_time", "avg_delay_when_late")
+    return (s.select("customer_state", "total_orders", "breach_rate_pct", "avg_lead_time", "avg_delay_when_late")
+            .orderBy(F.desc_nulls_last("breach_rate_pct"), F.asc("customer_state")))
 
 
 def view_corridors(corridors: DataFrame, n: int = 20) -> DataFrame:

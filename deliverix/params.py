@@ -32,9 +32,6 @@ class Params:
     retention_lift: float = 0.005
     min_breach_share: float = 15.0
     top_categories: int = 10
-    # largest dimension (products, sellers) broadcast to the line table; above
-    # it the join shuffles (a row count is checked, not an estimate)
-    broadcast_max_rows: int = 1_000_000
 
 
 DEFAULT = Params()

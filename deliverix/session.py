@@ -22,6 +22,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # joins turn into broadcasts by the measured bytes of a side, never by an estimate of rows
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32m")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

@@ -1,7 +1,6 @@
 """Opt-in bucketing by order_id: same results, and when the joins shuffle (as
 at scale), the bucketed line table is read by bucket instead of shuffled."""
 
-import dataclasses
 import re
 import tempfile
 
@@ -19,9 +18,11 @@ def test_bucketed_ingest(spark):
     res = csv_ingest.ingest_csv(spark, f"{root}/raw", f"{root}/tables", order_buckets=8, table_prefix="bk")
     t = csv_ingest.market_tables(res)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    old_adaptive = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        c = Build(spark, t, dataclasses.replace(b.params, broadcast_max_rows=0), persist=False)
+        c = Build(spark, t, b.params, persist=False)
         lines = c.lines
         lines.collect()
         plan = lines._jdf.queryExecution().executedPlan().toString()
@@ -30,4 +31,5 @@ def test_bucketed_ingest(spark):
         for name in ("otdr", "cohort", "lead_category", "volume"):
             assert sorted(map(tuple, getattr(c, name).collect())) == sorted(map(tuple, getattr(b, name).collect()))
     finally:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old_adaptive)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

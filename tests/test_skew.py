@@ -10,11 +10,8 @@ from deliverix.params import Params
 from deliverix.plans.build import Build
 from market_fixtures import customer, item, order, product, tables
 
-# broadcast_max_rows=0: product and seller dimensions are shuffle-joined here
-# (by default they are broadcast after a row-count check), so all four joins
-# of the line table meet the hot keys
 P = Params(min_category_orders=1, min_seller_orders=1, min_lane_shipments=1, min_corridor_shipments=1,
-           min_month_orders=1, cohort_start="2017-01-01", broadcast_max_rows=0)
+           min_month_orders=1, cohort_start="2017-01-01")
 JOBS = ["lead_category", "seller", "cohort", "volume", "velocity", "freight", "bottom", "ltv"]
 
 
@@ -44,6 +41,9 @@ def _skewed_tables(spark):
 @pytest.fixture()
 def skew_conf(spark):
     keys = {
+        # no broadcasts: all four joins of the line table meet the hot keys
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
