@@ -3,8 +3,8 @@
     python -m deliverix --testdata /root/testdata/sf0.1 --out /shared/out
     python -m deliverix --csv /landing/raw --out /shared/out --order-buckets 512
 
-The gate (minimum number of clean orders) stops the run before anything is
-written, as the reference's build does.
+The gates (unique keys, minimum number of clean orders) stop the run before
+any result is written, as the reference's build does.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--testdata", help="folder with the star-schema parquet tables")
     src.add_argument("--csv", help="folder with the raw CSV exports")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
-    ap.add_argument("--materialize", default="persist", choices=["persist", "checkpoint", "none"])
+    ap.add_argument("--materialize", default="table", choices=["table", "persist", "checkpoint", "none"])
     ap.add_argument("--order-buckets", type=int, default=None, help="bucket order-keyed tables at ingest")
     ap.add_argument("--min-clean-rows", type=int, default=Params().min_clean_rows)
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
 
+    from deliverix.operators.quality import STRUCTURAL_GATES
     from deliverix.plans.build import Build
     from deliverix.session import get_session
     from deliverix.sources import csv_ingest
@@ -40,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps({"ingest": [r.asDict() for r in res.counts.collect()]}))
         tables = csv_ingest.market_tables(res)
     b = Build(spark, tables, Params(min_clean_rows=args.min_clean_rows), materialize=args.materialize)
-    b.check_gates(["orders_clean_min_rows"])
+    b.check_gates([*STRUCTURAL_GATES, "orders_clean_min_rows"])
     manifest = b.export(f"{args.out}/kpi")
     print(json.dumps({"exported": {r.table_name: r.rows for r in manifest.collect()}}))
     spark.stop()

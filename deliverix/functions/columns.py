@@ -27,6 +27,25 @@ def round_half_away(col: Column | str, digits: int) -> Column:
     return F.round(col.cast("double") * F.lit(scale), 0) / F.lit(scale)
 
 
+def round_python(col: Column | str, digits: int) -> Column:
+    """Python's ``round(x, n)`` of a double: half to even on the exact binary value.
+
+    Only a product x * 10^n that lands exactly on a half can round wrongly, so
+    its rounding error (exact, from x split into two halves of 26 bits) says on
+    which side of the half the true value lies; a true half goes to even.
+    """
+    x, scale = _c(col).cast("double"), F.lit(float(10 ** digits))
+    product = x * scale
+    shifted = x * F.lit(float(2 ** 27 + 1))
+    high = shifted - (shifted - x)
+    error = (high * scale - product) + (x - high) * scale
+    half = F.abs(product - F.rint(product)) == 0.5
+    whole = (F.when(half & (error > 0), F.rint(product + F.lit(0.25)))
+             .when(half & (error < 0), F.rint(product - F.lit(0.25)))
+             .otherwise(F.rint(product)))
+    return whole / scale
+
+
 def round_stable(col: Column | str, digits: int) -> Column:
     """Round twice (6 digits, then ``digits``) so last-bit noise of
     interpolated percentiles or standard deviations cannot move the result."""

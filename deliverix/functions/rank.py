@@ -1,14 +1,18 @@
 """Ranks that stay distributed.
 
-A window without PARTITION BY moves every row into one task. Both helpers
-below rank the *distinct values* instead and join the rank back, so the
-single-task step only ever sees one row per distinct value.
+A window without PARTITION BY moves every row into one task. The percent rank
+and the codes below rank the *distinct values* instead and join the rank back,
+so the single-task step only ever sees one row per distinct value;
+:func:`first_by_key` orders only the one key range in which the cut lies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from deliverix.functions.joins import cross_one_row
 
 
 def avg_pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -37,28 +41,41 @@ def dense_code(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(codes, on=value, how="left")
 
 
-def distributed_rank(df: DataFrame, key: str, out: str, partitions: int | None = None) -> DataFrame:
-    """1-based rank of each row by a unique ``key``, without a global window.
+def _key_range(df: DataFrame, key: str, ranges: int) -> DataFrame:
+    """Adds ``_range``, a coarse value that never decreases with ``key``.
+
+    Numbers fall into equal widths between the smallest and the largest key;
+    texts are cut three characters after what the smallest and the largest share.
+    """
+    k = F.col(key)
+    ends = df.agg(F.min(k).alias("_lo"), F.max(k).alias("_hi"))
+    if isinstance(df.schema[key].dataType, NumericType):
+        lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+        width = F.greatest((hi - lo) / F.lit(float(ranges)), F.lit(1e-9))
+        value = F.floor((k.cast("double") - lo) / width)
+    else:
+        same = F.filter(F.sequence(F.lit(0), F.length("_lo")),
+                        lambda i: F.col("_lo").substr(F.lit(1), i) == F.col("_hi").substr(F.lit(1), i))
+        ends = ends.select((F.array_max(same) + 3).alias("_lo"), "_hi")
+        value = k.substr(F.lit(1), F.col("_lo"))
+    return cross_one_row(df, ends).withColumn("_range", value).drop("_lo", "_hi")
+
+
+def first_by_key(df: DataFrame, key: str, take: Column, ranges: int = 4096) -> DataFrame:
+    """The ``take`` rows with the smallest ``key`` (unique, not null); ``take`` is the same on all rows.
 
-    Rows are range-partitioned and sorted by ``key``; each row's position
-    inside its partition comes from ``monotonically_increasing_id`` (record
-    number in the lower 33 bits).  The result is checkpointed to the cluster's
-    checkpoint folder so partition ids are fixed once, then each partition's
-    offset is the number of rows in the partitions before it (one row per
-    partition).  No task holds more than one key range.
+    Counts per key range (at most one row per range) say which ranges are taken
+    whole; only the range in which the cut lies is ordered row by row.  Nothing
+    runs before the result is read.
     """
-    spark = df.sparkSession
-    from deliverix.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n_parts, key).sortWithinPartitions(key)
-    pid = F.spark_partition_id()
-    r = r.withColumn("_pid", pid).withColumn(
-        "_local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
-    r = r.checkpoint(eager=True)
-    sizes = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (r.join(F.broadcast(offsets), on="_pid", how="inner")
-            .withColumn(out, F.col("_off") + F.col("_local") + 1)
-            .drop("_pid", "_local", "_off"))
+    rows = _key_range(df, key, ranges)
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_in_range"), F.first(take).alias("_take_all"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_range", "_in_range", (F.col("_take_all") - F.coalesce(F.sum("_in_range").over(before), F.lit(0))).alias("_left"))
+    counts = counts.where(F.col("_left") > 0)
+    rows = rows.join(F.broadcast(counts), on="_range", how="inner")
+    whole = rows.where(F.col("_in_range") <= F.col("_left"))
+    inside = Window.partitionBy("_range").orderBy(key)
+    cut = (rows.where(F.col("_in_range") > F.col("_left")).withColumn("_rn", F.row_number().over(inside))
+           .where(F.col("_rn") <= F.col("_left")))
+    return whole.select(*df.columns).unionByName(cut.select(*df.columns))

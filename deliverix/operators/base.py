@@ -67,7 +67,7 @@ def clean_core(clean: DataFrame) -> DataFrame:
 
 def product_categories(products: DataFrame, translations: DataFrame) -> DataFrame:
     """product_id -> English category (raw name, then 'Unknown', as fallbacks) and size."""
-    t = F.broadcast(translations.select("product_category_name", "product_category_name_english"))
+    t = translations.select("product_category_name", "product_category_name_english")
     p = products.join(t, on="product_category_name", how="left")
     volume = (F.col("product_length_cm") * F.col("product_height_cm") * F.col("product_width_cm")) / F.lit(1000000.0)
     return p.select(

@@ -84,17 +84,23 @@ def state_breach_map_values(regions: DataFrame, sla_state: DataFrame) -> DataFra
 
 
 def freight_outlier_lanes(freight: DataFrame, n: int = 5) -> DataFrame:
-    """Lanes with the highest cost rank + late rank, with marker size and label."""
+    """Every lane (cost x lead time) with marker size; the ``n`` lanes with the
+    highest cost rank + late rank carry a label, the others NULL."""
     f = avg_pct_rank(freight, "avg_freight_cost", "_pc")
     f = avg_pct_rank(f, "late_rate_pct", "_pl")
     f = f.withColumn("index_score", F.col("_pc") + F.col("_pl"))
-    top = f.orderBy(F.desc("index_score"), "seller_state", "customer_state", "category_en").limit(n)
-    return top.select(
+    lane = ["seller_state", "customer_state", "category_en"]
+    top = f.orderBy(F.desc("index_score"), *lane).limit(n).select(
+        *[F.col(c).alias(f"_{c}") for c in lane],
+        F.concat(F.col("seller_state"), F.lit("->"), F.col("customer_state")).alias("label"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in lane]
+    f = f.join(F.broadcast(top), same[0] & same[1] & same[2], "left")
+    return f.select(
         "seller_state", "customer_state", "category_en", "shipments", "avg_freight_cost",
         "avg_lead_time", "late_rate_pct", "index_score",
         F.greatest(F.lit(30).cast("bigint"), F.least(F.lit(400).cast("bigint"), F.col("shipments") * 2))
         .alias("marker_size"),
-        F.concat(F.col("seller_state"), F.lit("->"), F.col("customer_state")).alias("label"),
+        "label",
     )
 
 
@@ -117,7 +123,12 @@ def p90_vs_benchmark(lead_category: DataFrame, n: int = 20) -> DataFrame:
 
 
 def seller_score_histogram(seller: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Equal-width histogram of composite scores and the bottom-share cut-off."""
+    """Equal-width histogram of composite scores and the bottom-share cut-off.
+
+    A score lies in the bin whose published edges hold it (low <= score < high,
+    the last bin also its high edge): the computed index can be off by one next
+    to an edge and is moved to the bin that fits.
+    """
     bins = params.histogram_bins
     score = F.col("seller_composite_score")
     st = seller.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"),
@@ -129,10 +140,14 @@ def seller_score_histogram(seller: DataFrame, params: Params = DEFAULT) -> DataF
         "bottom_decile_cutoff",
     )
     norm = F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))
-    idx = F.least(F.floor((score - F.col("_lo")) * norm).cast("int") + F.lit(1), F.lit(bins))
-    counts = (cross_one_row(seller.select(score), st).select(idx.alias("bin"))
-              .groupBy("bin").agg(N().alias("sellers")))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    idx = F.least(F.floor((score - F.col("_lo")) * norm).cast("int") + F.lit(1), F.lit(bins))
+    low = F.col("_lo") + (F.col("_i") - 1).cast("double") * step
+    high = F.col("_lo") + F.col("_i").cast("double") * step
+    fit = (F.when(score < low, F.col("_i") - 1)
+           .when((score >= high) & (F.col("_i") < bins), F.col("_i") + 1).otherwise(F.col("_i")))
+    counts = (cross_one_row(seller.select(score).where(score.isNotNull()), st).withColumn("_i", idx)
+              .select(fit.alias("bin")).groupBy("bin").agg(N().alias("sellers")))
     edges = st.select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "_lo", "_hi",
                       "bottom_decile_cutoff")
     edges = edges.select(

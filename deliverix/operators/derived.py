@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deliverix.functions.columns import exact_avg, round_half_away
-from deliverix.functions.rank import avg_pct_rank, distributed_rank
+from deliverix.functions.columns import exact_avg, round_half_away, round_python
+from deliverix.functions.rank import avg_pct_rank, first_by_key
 from deliverix.functions.stats import exact_pearson_r, exact_slope, student_t_pvalue
 from deliverix.operators.kpis import N, _pct
 from deliverix.functions.joins import cross_one_row
@@ -81,8 +81,8 @@ def bottom_sellers(seller: DataFrame, params: Params = DEFAULT) -> DataFrame:
     Distributed without a global sort: the composite score is rounded to one
     decimal in [0, 100], so a histogram over it has at most 1,001 rows.  The
     cumulative histogram fixes the boundary score; groups below it are taken
-    whole, and only the sellers sharing the boundary score are ranked by id
-    (range-partitioned, see :func:`distributed_rank`).
+    whole, and the sellers sharing the boundary score are cut by id
+    (see :func:`first_by_key`).
     """
     score = "seller_composite_score"
     hist = seller.groupBy(score).agg(N().alias("_n"))
@@ -94,16 +94,14 @@ def bottom_sellers(seller: DataFrame, params: Params = DEFAULT) -> DataFrame:
                    F.ceil(F.sum("_n").over(Window.partitionBy()).cast("double") * F.lit(params.bottom_share))
                    .cast("bigint")).alias("_k"),
     ).where(F.col("_before") < F.col("_k"))
-    # groups wholly inside the bottom set are taken without ordering; only the
-    # boundary group (at most one score value) is ranked by seller_id, with a
-    # range-partitioned rank so no single task orders the whole group
+    # groups wholly inside the bottom set are taken without ordering; of the
+    # boundary group (at most one score value) only one id range is ordered
     hist = hist.select(score, "_n", F.least(F.col("_n"), F.col("_k") - F.col("_before")).alias("_take"))
     whole = seller.join(F.broadcast(hist.where(F.col("_take") == F.col("_n")).select(score)),
                         on=score, how="left_semi")
     edge = seller.join(F.broadcast(hist.where(F.col("_take") < F.col("_n")).select(score, "_take")),
                        on=score, how="inner")
-    edge = distributed_rank(edge, "seller_id", "_rn")
-    edge = edge.where(F.col("_rn") <= F.col("_take")).drop("_rn", "_take")
+    edge = first_by_key(edge, "seller_id", F.col("_take")).drop("_take")
     return whole.unionByName(edge)
 
 
@@ -121,9 +119,9 @@ def seller_bottom_decile(seller: DataFrame, params: Params = DEFAULT) -> DataFra
     j = cross_one_row(tot, bottom)
     return j.select(
         "scored_sellers", "bottom_seller_count",
-        round_half_away(F.try_divide(F.lit(100.0) * F.col("_b_late").cast("double"), F.col("_late").cast("double")), 1)
+        round_python(F.try_divide(F.lit(100.0) * F.col("_b_late").cast("double"), F.col("_late").cast("double")), 1)
         .alias("bottom_seller_breach_share_pct"),
-        round_half_away(F.try_divide(F.lit(100.0) * F.col("_b_orders").cast("double"), F.col("_orders").cast("double")), 1)
+        round_python(F.try_divide(F.lit(100.0) * F.col("_b_orders").cast("double"), F.col("_orders").cast("double")), 1)
         .alias("bottom_seller_order_share_pct"),
     )
 
@@ -154,7 +152,7 @@ def retention_summary(cohort: DataFrame) -> DataFrame:
     mn, r = F.col("month_number"), F.col("retention_rate_pct")
 
     def at(m: int) -> F.Column:
-        return round_half_away(exact_avg(F.when(mn == m, r), 1), 2).alias(f"retention_m{m}_pct")
+        return round_python(exact_avg(F.when(mn == m, r), 1), 2).alias(f"retention_m{m}_pct")
 
     m3 = mn == 3
     best = F.min_by("cohort_month", F.when(m3, F.struct((-r).alias("k"), F.col("cohort_month"))))

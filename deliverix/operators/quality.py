@@ -9,12 +9,13 @@ stops a pipeline, as the reference's in-build gate does.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deliverix.functions.columns import round_half_away
+from deliverix.functions.columns import round_half_away, round_python
 from deliverix.operators.kpis import N
 from deliverix.functions.joins import cross_one_row
 from deliverix.params import DEFAULT, Params
@@ -30,6 +31,15 @@ def _unpivot(row: DataFrame, cells: list[list[F.Column]]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(*c) for c in cells])).alias("_c")).select("_c.*")
 
 
+#: Keys of the canonical tables: the joins rely on them being unique.
+KEYS = {"orders": "order_id", "customers": "customer_id", "translations": "product_category_name",
+        "products": "product_id", "sellers": "seller_id"}
+STRUCTURAL_GATES = [f"{table}_unique" for table in KEYS]
+# Metrics that the reference's validator asks for.
+REQUIRED_METRICS = ["overall_otdr_pct", "bottom_seller_breach_share_pct", "retention_m1_pct",
+                    "retention_m3_pct", "total_orders", "total_gmv"]
+
+
 def ingest_row_counts(t: MarketTables) -> DataFrame:
     """J01 (testdata form): row count per canonical table."""
     return _union([df.agg(N().alias("rows")).select(F.lit(name).alias("table_name"), "rows")
@@ -74,7 +84,7 @@ def schema_validation(t: MarketTables, clean: DataFrame) -> DataFrame:
     orphans = t.items.join(t.orders.select("order_id"), on="order_id", how="left_anti").agg(N().alias("orphans"))
     c = clean.agg(N().alias("clean_rows"), F.min("purchase_ts").alias("cmin"), F.max("purchase_ts").alias("cmax"))
     row = cross_one_row(o, orphans, c)
-    retained = round_half_away(F.try_divide(F.lit(100.0) * F.col("clean_rows").cast("double"),
+    retained = round_python(F.try_divide(F.lit(100.0) * F.col("clean_rows").cast("double"),
                                             F.col("orig_rows").cast("double")), 2)
     parts = [
         _num("null_order_ids", F.col("null_ids")),
@@ -89,63 +99,94 @@ def schema_validation(t: MarketTables, clean: DataFrame) -> DataFrame:
     return _unpivot(row, parts)
 
 
-def quality_gates(clean: DataFrame, t: MarketTables, summary_metrics: DataFrame, cohort: DataFrame,
-                  bottom: DataFrame, sla_state: DataFrame, otdr: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def quality_gates(clean: Callable[[], DataFrame], t: MarketTables, summary_metrics: Callable[[], DataFrame],
+                  cohort: Callable[[], DataFrame], bottom: Callable[[], DataFrame],
+                  sla_state: Callable[[], DataFrame], otdr: Callable[[], DataFrame],
+                  params: Params = DEFAULT) -> dict[str, Callable[[], DataFrame]]:
     """pass/fail expectations of the build, tests and validator of the reference.
 
-    Returns (expectation, observed, threshold, passed); thresholds are parameters.
+    Returns name -> function giving the gate's one row (expectation, observed,
+    threshold, passed, detail); ``detail`` names what is missing.  The inputs
+    are functions too, so a gate plans and reads only what it needs; the
+    structural gates read nothing but the key column of one raw table.
+    Thresholds are parameters.
     """
-    def gate(name: str, observed: F.Column, threshold: F.Column | float | None, passed: F.Column) -> list:
-        thr = threshold if isinstance(threshold, F.Column) else F.lit(threshold)
-        return [F.lit(name).alias("expectation"), observed.cast("double").alias("observed"),
-                thr.cast("double").alias("threshold"), F.coalesce(passed, F.lit(False)).alias("passed")]
-
-    required = ["overall_otdr_pct", "bottom_seller_breach_share_pct", "retention_m1_pct",
-                "retention_m3_pct", "total_orders", "total_gmv"]
-    m = summary_metrics.agg(
-        F.count_if(F.col("metric").isin(required)).alias("present"),
-        F.max(F.when(F.col("metric") == "total_orders", F.col("value_num"))).alias("s_orders"),
-        F.max(F.when(F.col("metric") == "overall_otdr_pct", F.col("value_num"))).alias("s_otdr"),
-    )
-    rows = clean.agg(N().alias("clean_rows"))
-    m0 = cohort.where(F.col("month_number") == 0).agg(
-        N().alias("m0_rows"),
-        F.count_if((F.col("retention_rate_pct") != 100.0)
-                   | (F.col("active_customers") != F.col("cohort_customers"))).alias("m0_bad"))
-    st = sla_state.agg(N().alias("st_rows"), F.count_distinct("customer_state").alias("st_distinct"),
-                       F.count_if(~F.col("breach_rate_pct").between(0, 100)).alias("st_bad_rate"),
-                       F.sum("total_orders").alias("st_orders"))
-    ot = otdr.agg(F.sum("total_orders").alias("o_orders"), F.sum("late_orders").alias("o_late"))
-    expected_otdr = round_half_away(F.lit(100.0) * (F.col("o_orders") - F.col("o_late")).cast("double")
-                                    / F.col("o_orders").cast("double"), 2)
-    dup_customers = t.customers.groupBy("customer_id").agg(N().alias("_c")).agg(F.count_if(F.col("_c") > 1).alias("dup_c"))
-    dup_categories = (t.translations.groupBy("product_category_name").agg(N().alias("_c"))
-                      .agg(F.count_if(F.col("_c") > 1).alias("dup_t")))
-    dup_products = t.products.groupBy("product_id").agg(N().alias("_c")).agg(F.count_if(F.col("_c") > 1).alias("dup_p"))
-    dup_sellers = t.sellers.groupBy("seller_id").agg(N().alias("_c")).agg(F.count_if(F.col("_c") > 1).alias("dup_s"))
-    b = bottom.select("bottom_seller_breach_share_pct", "bottom_seller_order_share_pct")
-    row = cross_one_row(rows, m, m0, st, ot, b, dup_customers, dup_categories, dup_products, dup_sellers)
-    share, oshare = F.col("bottom_seller_breach_share_pct"), F.col("bottom_seller_order_share_pct")
     minrows = float(params.min_clean_rows)
-    gates = [
-        gate("orders_clean_min_rows", F.col("clean_rows"), minrows, F.col("clean_rows") >= minrows),
-        gate("required_metrics_present", F.col("present"), float(len(required)), F.col("present") == len(required)),
-        gate("summary_total_orders_min", F.col("s_orders"), minrows, F.col("s_orders") >= minrows),
-        gate("summary_total_orders_equals_otdr", F.col("s_orders"), F.col("o_orders"),
-             F.col("s_orders") == F.col("o_orders").cast("double")),
-        gate("summary_otdr_equals_otdr_table", F.col("s_otdr"), expected_otdr, F.col("s_otdr") == expected_otdr),
-        gate("cohort_month0_full_retention", F.col("m0_bad"), 0.0, (F.col("m0_bad") == 0) & (F.col("m0_rows") > 0)),
-        gate("bottom_breach_share_above_order_share", share, oshare, share > oshare),
-        gate("bottom_breach_share_min", share, params.min_breach_share, share >= params.min_breach_share),
-        gate("state_rows_unique", F.col("st_distinct"), F.col("st_rows"), F.col("st_distinct") == F.col("st_rows")),
-        gate("state_breach_rate_in_0_100", F.col("st_bad_rate"), 0.0, F.col("st_bad_rate") == 0),
-        gate("state_orders_min", F.col("st_orders"), minrows, F.col("st_orders") >= minrows),
-        gate("customers_unique", F.col("dup_c"), 0.0, F.col("dup_c") == 0),
-        gate("translations_unique", F.col("dup_t"), 0.0, F.col("dup_t") == 0),
-        gate("products_unique", F.col("dup_p"), 0.0, F.col("dup_p") == 0),
-        gate("sellers_unique", F.col("dup_s"), 0.0, F.col("dup_s") == 0),
-    ]
-    return _unpivot(row, gates)
+
+    def row(name: str, df: DataFrame, observed: F.Column, threshold: F.Column | float, passed: F.Column,
+            detail: F.Column | None = None) -> DataFrame:
+        thr = threshold if isinstance(threshold, F.Column) else F.lit(threshold)
+        return df.select(F.lit(name).alias("expectation"), observed.cast("double").alias("observed"),
+                         thr.cast("double").alias("threshold"), F.coalesce(passed, F.lit(False)).alias("passed"),
+                         (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+
+    def metric(name: str) -> F.Column:
+        return F.max(F.when(F.col("metric") == name, F.col("value_num")))
+
+    def at_least(name: str, df: DataFrame, value: F.Column, least: float) -> DataFrame:
+        return row(name, df.agg(value.alias("v")), F.col("v"), least, F.col("v") >= least)
+
+    def none_of(name: str, df: DataFrame, bad: F.Column) -> DataFrame:
+        return row(name, df.agg(bad.alias("v")), F.col("v"), 0.0, F.col("v") == 0)
+
+    def required(name: str) -> DataFrame:
+        wanted = F.array(*[F.lit(m) for m in REQUIRED_METRICS])
+        df = summary_metrics().where(F.col("metric").isin(REQUIRED_METRICS)).agg(
+            F.array_except(wanted, F.collect_set("metric")).alias("missing"))
+        present = F.lit(len(REQUIRED_METRICS)) - F.size("missing")
+        return row(name, df, present, float(len(REQUIRED_METRICS)), F.size("missing") == 0,
+                   F.nullif(F.array_join("missing", ","), F.lit("")))
+
+    def orders_equal(name: str) -> DataFrame:
+        df = cross_one_row(summary_metrics().agg(metric("total_orders").alias("s")),
+                           otdr().agg(F.sum("total_orders").alias("o")))
+        return row(name, df, F.col("s"), F.col("o"), F.col("s") == F.col("o").cast("double"))
+
+    def otdr_equal(name: str) -> DataFrame:
+        expected = round_half_away(F.lit(100.0) * (F.col("o") - F.col("late")).cast("double") / F.col("o").cast("double"), 2)
+        df = cross_one_row(summary_metrics().agg(metric("overall_otdr_pct").alias("s")),
+                           otdr().agg(F.sum("total_orders").alias("o"), F.sum("late_orders").alias("late")))
+        return row(name, df, F.col("s"), expected, F.col("s") == expected)
+
+    def month0(name: str) -> DataFrame:
+        bad = (F.col("retention_rate_pct") != 100.0) | (F.col("active_customers") != F.col("cohort_customers"))
+        df = cohort().where(F.col("month_number") == 0).agg(N().alias("n"), F.count_if(bad).alias("v"))
+        return row(name, df, F.col("v"), 0.0, (F.col("v") == 0) & (F.col("n") > 0))
+
+    share, orders_share = F.col("bottom_seller_breach_share_pct"), F.col("bottom_seller_order_share_pct")
+
+    def states_unique(name: str) -> DataFrame:
+        df = sla_state().agg(N().alias("n"), F.count_distinct("customer_state").alias("d"))
+        return row(name, df, F.col("d"), F.col("n"), F.col("d") == F.col("n"))
+
+    def unique(name: str, table: DataFrame, key: str) -> DataFrame:
+        return none_of(name, table.groupBy(key).agg(N().alias("_c")), F.count_if(F.col("_c") > 1))
+
+    gates: dict[str, Callable[[str], DataFrame]] = {
+        "orders_clean_min_rows": lambda n: at_least(n, clean(), N(), minrows),
+        "required_metrics_present": required,
+        "summary_total_orders_min": lambda n: at_least(n, summary_metrics(), metric("total_orders"), minrows),
+        "summary_total_orders_equals_otdr": orders_equal,
+        "summary_otdr_equals_otdr_table": otdr_equal,
+        "cohort_month0_full_retention": month0,
+        "bottom_breach_share_above_order_share": lambda n: row(n, bottom(), share, orders_share, share > orders_share),
+        "bottom_breach_share_min": lambda n: row(n, bottom(), share, params.min_breach_share,
+                                                 share >= params.min_breach_share),
+        "state_rows_unique": states_unique,
+        "state_breach_rate_in_0_100": lambda n: none_of(n, sla_state(), F.count_if(~F.col("breach_rate_pct").between(0, 100))),
+        "state_orders_min": lambda n: at_least(n, sla_state(), F.sum("total_orders"), minrows),
+    }
+    for table, key in KEYS.items():
+        gates[f"{table}_unique"] = lambda n, df=getattr(t, table), key=key: unique(n, df, key)
+    return {name: (lambda name=name, make=make: make(name)) for name, make in gates.items()}
+
+
+def chosen_gates(gates: dict[str, Callable[[], DataFrame]], names: list[str] | None = None) -> DataFrame:
+    """One row per gate (or per named gate); a name that is no gate is an error."""
+    unknown = sorted(set(names or ()) - set(gates))
+    if unknown:
+        raise ValueError(f"no such quality gate: {', '.join(unknown)}")
+    return _union([gates[name]() for name in (gates if names is None else names)])
 
 
 def raise_on_failed_gates(gates: DataFrame, names: list[str] | None = None) -> None:

@@ -26,7 +26,8 @@ TEXT_METRICS = {"otdr_trend_direction", "worst_otdr_month", "best_m3_cohort", "w
 
 
 def summary_metrics(one_row_frames: list[DataFrame], exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Unpivot the metrics found in the one-row frames to (position, metric, value_num, value_text)."""
+    """Unpivot the metrics found in the one-row frames to (position, metric, value_num, value_text, value);
+    ``value`` is the metric as text, as the exported ``metric,value`` table shows it."""
     row = cross_one_row(one_row_frames[0], *one_row_frames[1:])
     cells = []
     for pos, name in enumerate(METRICS, start=1):
@@ -39,14 +40,21 @@ def summary_metrics(one_row_frames: list[DataFrame], exclude: tuple[str, ...] =
             (F.lit(None).cast("double") if is_text else F.col(name).cast("double")).alias("value_num"),
             (F.col(name).cast("string") if is_text else F.lit(None).cast("string")).alias("value_text"),
         ))
-    return row.select(F.explode(F.array(*cells)).alias("m")).select("m.*")
+    rows = row.select(F.explode(F.array(*cells)).alias("m")).select("m.*")
+    return rows.withColumn("value", F.coalesce("value_text", number_text(F.col("value_num"))))
+
+
+def number_text(value: F.Column) -> F.Column:
+    """A number as plain text: at most 12 decimals, no exponent, no zeros at the end."""
+    plain = value.cast("decimal(38,12)").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(plain, "0+$", ""), "\\.$", "")
+    return F.when(value.isNotNull(), plain)
 
 
 def summary_map(summary: DataFrame) -> DataFrame:
     """One row, one map column ``metric -> value`` (text metrics as text, numbers
     rendered as strings), the form the dashboard reads the summary file in."""
-    value = F.coalesce(F.col("value_text"), F.col("value_num").cast("string"))
-    return summary.agg(F.map_from_entries(F.collect_list(F.struct(F.col("metric"), value))).alias("metrics"))
+    return summary.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
 
 
 def summary_values(summary: DataFrame) -> dict:

@@ -3,11 +3,10 @@
 The reference evaluates its cleaned view 16 times per run because views are
 not materialized.  Here the relations every KPI starts from -- the narrow
 clean-order projection, the order lines enriched with order, product and
-seller attributes, and their order-grain sums -- are materialized once
-(persisted MEMORY_AND_DISK by default, so they spill rather than fail and are
-recomputed from lineage if an executor is lost; or checkpointed).  KPI
-results, whose size is bounded by calendar, geography or catalogue, are kept
-as well.  Everything else is a lazy DataFrame built on top of them; Spark
+seller attributes, and their order-grain sums -- are written once as Parquet
+to the shared folder and read back, so every job still prunes columns and
+pushes its filters into that scan.  KPI results, whose size is bounded by
+calendar, geography or catalogue, are cached.  Everything else is a lazy DataFrame built on top of them; Spark
 only runs what is finally written or collected.
 """
 
@@ -29,14 +28,18 @@ from deliverix.sources.testdata import load_testdata
 class Build:
     """Memoized frames of one analytics run.
 
-    ``materialize`` decides how the shared relations are kept:
+    ``materialize`` decides how the shared fact-sized relations are kept:
 
-    * ``"persist"`` (default): MEMORY_AND_DISK cache; blocks lost with an
-      executor are recomputed from lineage;
+    * ``"table"`` (default): Parquet tables in a folder of this build under
+      ``spark.checkpoint.dir``, which executors can be lost without;
+    * ``"persist"``: MEMORY_AND_DISK cache; blocks lost with an executor are
+      recomputed from lineage -- needs executor disks for the whole line table;
     * ``"checkpoint"``: reliable checkpoint into ``spark.checkpoint.dir`` (the
       cluster's shared folder), which also cuts the lineage -- the choice for
       long runs on clusters that lose executors;
     * ``"none"``: every job recomputes from the sources.
+
+    KPI-sized results are cached unless the mode is ``"none"``.
     """
 
     def __init__(self, spark: SparkSession, tables: MarketTables, params: Params = DEFAULT,
@@ -45,15 +48,20 @@ class Build:
         self.t = tables
         self.params = params
         self.sf_dir = sf_dir
-        self.materialize = materialize or ("persist" if persist else "none")
-        if self.materialize not in ("persist", "checkpoint", "none"):
+        self.materialize = materialize or ("table" if persist else "none")
+        if self.materialize not in ("table", "persist", "checkpoint", "none"):
             raise ValueError(f"unknown materialize mode {self.materialize!r}")
         self._persisted: list[DataFrame] = []
 
-    def _keep(self, df: DataFrame) -> DataFrame:
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
         if self.materialize == "persist":
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._persisted.append(df)
+            df = self._keep_small(df)
+        elif self.materialize == "table":
+            import uuid
+            from deliverix.session import ensure_checkpoint_dir
+            path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/deliverix-{name}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            df = self.spark.read.schema(df.schema).parquet(path)
         elif self.materialize == "checkpoint":
             from deliverix.session import ensure_checkpoint_dir
             ensure_checkpoint_dir(self.spark)
@@ -63,7 +71,10 @@ class Build:
     def _keep_small(self, df: DataFrame) -> DataFrame:
         """Persist a KPI-level result: its size is bounded by calendar, geography,
         catalogue or seller count, not by the fact tables, and many jobs reuse it."""
-        return self._keep(df)
+        if self.materialize != "none":
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted.append(df)
+        return df
 
     def release(self) -> None:
         for df in self._persisted:
@@ -77,7 +88,7 @@ class Build:
 
     @cached_property
     def core(self) -> DataFrame:
-        return self._keep(base.clean_core(self.clean))
+        return self._keep(base.clean_core(self.clean), "core")
 
     @cached_property
     def categories(self) -> DataFrame:
@@ -85,7 +96,7 @@ class Build:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self._keep(base.enriched_lines(self.t.items, self.core, self.categories, self.t.sellers))
+        return self._keep(base.enriched_lines(self.t.items, self.core, self.categories, self.t.sellers), "lines")
 
     @cached_property
     def lines_cat(self) -> DataFrame:
@@ -143,8 +154,9 @@ class Build:
     # -- derived analytics (J17-J30) ---------------------------------------------
     @cached_property
     def order_grain(self) -> DataFrame:
-        """Order-level sums of the lines (orders-sized; reused by J14, J24, J25)."""
-        return self._keep(kpis.order_grain(self.lines))
+        """Order-level sums of the lines (orders-sized; reused by J14, J24, J25), grouped
+        straight on the order join: its partitioning by order_id serves the sums too."""
+        return self._keep(kpis.order_grain(base.order_lines(self.t.items, self.core)), "order-grain")
 
     @cached_property
     def corridors(self) -> DataFrame:
@@ -234,15 +246,20 @@ class Build:
     def validation(self) -> DataFrame:
         return self._keep_small(quality.schema_validation(self.t, self.core))
 
+    @cached_property
+    def _gates(self) -> dict:
+        return quality.quality_gates(lambda: self.core, self.t, lambda: self.metrics, lambda: self.cohort,
+                                     lambda: self.bottom, lambda: self.sla_state, lambda: self.otdr, self.params)
+
     @cached_property
     def gates(self) -> DataFrame:
-        return quality.quality_gates(self.core, self.t, self.metrics, self.cohort, self.bottom,
-                                     self.sla_state, self.otdr, self.params)
+        return quality.chosen_gates(self._gates)
 
     def check_gates(self, names: list[str] | None = None) -> None:
         """Raise if any (or any named) quality gate failed -- the build's stop
-        condition (the reference stops below its minimum of clean orders)."""
-        quality.raise_on_failed_gates(self.gates, names)
+        condition (the reference stops below its minimum of clean orders).  Only the
+        gates asked for are computed; the structural ones read raw tables only."""
+        quality.raise_on_failed_gates(quality.chosen_gates(self._gates, names))
 
     @cached_property
     def consistency(self) -> DataFrame:
@@ -337,15 +354,10 @@ class Build:
         exports and ingested back (fixed schemas, quarantine); returns the
         good / bad row counts per table."""
         import uuid
-        from pyspark.sql import functions as F
         from deliverix.session import ensure_checkpoint_dir
         from deliverix.sources import csv_ingest
         root = work_dir or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/deliverix-ingest-{uuid.uuid4().hex}"
-        regions = self.t.regions if self.t.regions is not None else self.t.customers.select(
-            F.col("customer_state").alias("region_code"))
-        geo = regions.select(F.col("region_code").alias("geolocation_city"),
-                             F.col("region_code").alias("geolocation_state"))
-        csv_ingest.export_raw_csv(self.t, geo, f"{root}/raw")
+        csv_ingest.export_raw_csv(self.t, None, f"{root}/raw")
         return csv_ingest.ingest_csv(self.spark, f"{root}/raw", f"{root}/tables").counts
 
     def write_clean(self, path: str) -> DataFrame:
@@ -381,7 +393,7 @@ class Build:
         from pyspark.sql import functions as F
         d = F.desc_nulls_last
         return {
-            "kpi_summary": self.kpi_summary.orderBy("position"),
+            "kpi_summary": self.kpi_summary.orderBy("position").select("metric", "value"),
             "otdr": self.otdr.orderBy("purchase_month"),
             "lead_category": self.lead_category.orderBy(d("p90_lead_time"), "category_en"),
             "lead_time_detail": self.lead_detail,
@@ -396,14 +408,18 @@ class Build:
         }
 
     def export(self, out_dir: str | None = None, fmt: str = "csv") -> DataFrame:
-        """Write every frame and the validation report; return the read-back manifest."""
+        """Write every frame and the validation report; return the read-back manifest.
+
+        Raises before anything is written if a key the joins rely on is not unique."""
+        self.check_gates(quality.STRUCTURAL_GATES)
         from deliverix.sources import sinks
         from deliverix.session import ensure_checkpoint_dir
         import uuid
         out_dir = out_dir or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/deliverix-export-{uuid.uuid4().hex}"
         frames = self.export_frames()
         sinks.write_frames(frames, out_dir, fmt)
-        sinks.write_report(self.validation, out_dir)
+        sinks.write_report(
+            sinks.validation_report(self.validation, self.status_distribution, self.review_distribution), out_dir)
         return sinks.read_back_counts(self.spark, out_dir, list(frames), fmt, ("schema_validation",))
 
 
@@ -424,7 +440,7 @@ def build_for(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> Bui
         # the adapter stands in for the ingest step, whose output is written
         # once; its derived orders table (first ship day per order) is kept
         # the same way instead of being recomputed by every job reading it
-        b.t = replace(b.t, orders=b._keep(b.t.orders))
+        b.t = replace(b.t, orders=b._keep(b.t.orders, "orders"))
         _CACHE[key] = b
         return b
 

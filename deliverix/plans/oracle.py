@@ -1,8 +1,8 @@
 """DuckDB SQL for every job: the independent cross-check of the Spark plans.
 
 Each statement starts from the driver's raw tables (``orders``, ``lineitem``,
-``customer`` ...) and repeats the testdata mapping as CTEs, so it shares no
-code with the Spark side.  Conventions that keep both engines bit-equal:
+``customer`` ...) and repeats the testdata mapping as CTEs.  From the Spark
+side it takes only constants: the mappings, metric names and card lists.  Conventions that keep both engines bit-equal:
 
 * sums of money or already-rounded values are taken as DECIMAL and cast to
   DOUBLE (order-independent);
@@ -247,6 +247,15 @@ def kpi_ctes(p: Params) -> list[tuple[str, str]]:
     ]
 
 
+def _r_even(expr: str, n: int) -> str:
+    """Half to even on the exact value of a double from 0 on: as an integer of 2^-60ths, in integer arithmetic."""
+    one = 2 ** 60
+    scaled = f"(CAST(({expr}) * {one}.0::DOUBLE AS HUGEINT) * {10 ** n})"
+    down, rest = f"({scaled} // {one})", f"({scaled} % {one})"
+    up = f"CASE WHEN {rest} > {one // 2} OR ({rest} = {one // 2} AND {down} % 2 = 1) THEN 1 ELSE 0 END"
+    return f"CAST({down} + {up} AS DOUBLE) / {10 ** n}.0::DOUBLE"
+
+
 def _pr(v: str) -> str:
     """Average-tie percent rank of ``v``."""
     return (f"((CAST(rank() OVER (ORDER BY {v}) AS DOUBLE) - 1.0::DOUBLE) "
@@ -306,10 +315,10 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
     bottom = f"""
         SELECT count(*) AS scored_sellers,
                count(*) FILTER (WHERE rn <= k) AS bottom_seller_count,
-               round(100.0::DOUBLE * CAST(sum(CASE WHEN rn <= k THEN {late} END) AS DOUBLE)
-                     / CAST(sum({late}) AS DOUBLE), 1) AS bottom_seller_breach_share_pct,
-               round(100.0::DOUBLE * CAST(sum(CASE WHEN rn <= k THEN total_orders END) AS DOUBLE)
-                     / CAST(sum(total_orders) AS DOUBLE), 1) AS bottom_seller_order_share_pct
+               {_r_even(f"100.0::DOUBLE * CAST(sum(CASE WHEN rn <= k THEN {late} END) AS DOUBLE) / CAST(sum({late}) AS DOUBLE)", 1)}
+                 AS bottom_seller_breach_share_pct,
+               {_r_even("100.0::DOUBLE * CAST(sum(CASE WHEN rn <= k THEN total_orders END) AS DOUBLE) / CAST(sum(total_orders) AS DOUBLE)", 1)}
+                 AS bottom_seller_order_share_pct
         FROM d_seller_rank"""
     cx, cy = _hi("avg_lead_time", 1), _hi("breach_rate_pct", 1)
     corr_sums = f"""
@@ -351,7 +360,7 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
 
     def at(m: int) -> str:
         v = f"CASE WHEN month_number = {m} THEN retention_rate_pct END"
-        return f"round({_xavg(v, 1)}, 2) AS retention_m{m}_pct"
+        return f"{_r_even(_xavg(v, 1), 2)} AS retention_m{m}_pct"
 
     def pick(order: str) -> str:
         return (f"coalesce((SELECT strftime(cohort_month, '%Y-%m') FROM k_cohort WHERE month_number = 3 "
@@ -407,10 +416,12 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
     for pos, name in enumerate(METRICS, start=1):
         if name in TEXT_METRICS:
             parts.append(f"SELECT {pos} AS position, '{name}' AS metric, CAST(NULL AS DOUBLE) AS value_num, "
-                         f"CAST({name} AS VARCHAR) AS value_text FROM d_metric_row")
+                         f"CAST({name} AS VARCHAR) AS value_text, CAST({name} AS VARCHAR) AS value FROM d_metric_row")
         else:
+            plain = f"CAST(CAST(CAST({name} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,12))"
             parts.append(f"SELECT {pos} AS position, '{name}' AS metric, CAST({name} AS DOUBLE) AS value_num, "
-                         f"CAST(NULL AS VARCHAR) AS value_text FROM d_metric_row")
+                         f"CAST(NULL AS VARCHAR) AS value_text, "
+                         f"rtrim(rtrim(CAST({plain} AS VARCHAR), '0'), '.') AS value FROM d_metric_row")
     metrics_all = "\n        UNION ALL ".join(parts)
     metrics = "SELECT * FROM d_metrics_all WHERE metric <> 'state_breach_corr_pvalue'"
 
@@ -436,7 +447,7 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
         vnum("null_order_ids", "null_ids"), vtxt("date_coverage_min", "dmin"), vtxt("date_coverage_max", "dmax"),
         vnum("items_without_order", "orphans"), vnum("orders_clean_rows", "clean_rows"),
         vtxt("orders_clean_date_min", "cmin"), vtxt("orders_clean_date_max", "cmax"),
-        vnum("orders_clean_retention_pct", f"round(100.0::DOUBLE * clean_rows / orig_rows, 2)"),
+        vnum("orders_clean_retention_pct", _r_even("100.0::DOUBLE * clean_rows / orig_rows", 2)),
     ])
     required = ["overall_otdr_pct", "bottom_seller_breach_share_pct", "retention_m1_pct",
                 "retention_m3_pct", "total_orders", "total_gmv"]
@@ -468,13 +479,15 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
     mr = float(p.min_clean_rows)
     exp_otdr = "round(100.0::DOUBLE * CAST(o_orders - o_late AS DOUBLE) / CAST(o_orders AS DOUBLE), 2)"
 
-    def g(name: str, observed: str, threshold: str, passed: str) -> str:
+    def g(name: str, observed: str, threshold: str, passed: str, detail: str = "NULL") -> str:
         return (f"SELECT '{name}' AS expectation, CAST({observed} AS DOUBLE) AS observed, "
-                f"CAST({threshold} AS DOUBLE) AS threshold, coalesce({passed}, false) AS passed FROM d_gate_row")
+                f"CAST({threshold} AS DOUBLE) AS threshold, coalesce({passed}, false) AS passed, "
+                f"CAST({detail} AS VARCHAR) AS detail FROM d_gate_row")
 
     gates = "\n        UNION ALL ".join([
         g("orders_clean_min_rows", "clean_rows", str(mr), f"clean_rows >= {mr}"),
-        g("required_metrics_present", "present", str(float(len(required))), f"present = {len(required)}"),
+        g("required_metrics_present", "present", str(float(len(required))), f"present = {len(required)}",
+          f"(SELECT string_agg(x, ',') FROM (SELECT unnest([{req}]) AS x) WHERE x NOT IN (SELECT metric FROM d_metrics))"),
         g("summary_total_orders_min", "s_orders", str(mr), f"s_orders >= {mr}"),
         g("summary_total_orders_equals_otdr", "s_orders", "o_orders", "s_orders = CAST(o_orders AS DOUBLE)"),
         g("summary_otdr_equals_otdr_table", "s_otdr", exp_otdr, f"s_otdr = {exp_otdr}"),
@@ -484,6 +497,8 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
         g("state_rows_unique", "st_distinct", "st_rows", "st_distinct = st_rows"),
         g("state_breach_rate_in_0_100", "st_bad_rate", "0.0", "st_bad_rate = 0"),
         g("state_orders_min", "st_orders", str(mr), f"st_orders >= {mr}"),
+        g("orders_unique", "(SELECT count(*) FROM (SELECT order_id FROM m_orders GROUP BY order_id HAVING count(*) > 1))", "0.0",
+          "NOT EXISTS (SELECT 1 FROM m_orders GROUP BY order_id HAVING count(*) > 1)"),
         g("customers_unique", "dup_c", "0.0", "dup_c = 0"),
         g("translations_unique", "dup_t", "0.0", "dup_t = 0"),
         g("products_unique", "dup_p", "0.0", "dup_p = 0"),
@@ -538,6 +553,7 @@ def _extremes(table: str, value: str, key: str, cols: str, n: int = 5) -> str:
 def _final(p: Params) -> dict[str, str]:
     canon = ["orders", "customers", "items", "products", "translations", "sellers", "reviews"]
     ingest = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM m_{t}" for t in canon)
+    ingest += " UNION ALL SELECT 'geo', count(*) FROM m_regions"
     exports = {
         "kpi_summary": "SELECT count(*) FROM d_metrics_all",
         "otdr": "SELECT count(*) FROM k_otdr", "lead_category": "SELECT count(*) FROM k_lead_category",
@@ -546,7 +562,9 @@ def _final(p: Params) -> dict[str, str]:
         "cohort": "SELECT count(*) FROM k_cohort", "volume": "SELECT count(*) FROM d_wow",
         "velocity": "SELECT count(*) FROM d_velocity_inventory", "freight": "SELECT count(*) FROM k_freight",
         "corridors": "SELECT count(*) FROM d_corridors",
-        "schema_validation": "SELECT count(*) FROM d_validation",
+        # 6 checks, and per distribution a blank line, a title, a header and its rows
+        "schema_validation": "SELECT 12 + (SELECT count(DISTINCT order_status) FROM m_orders) "
+                             "+ (SELECT count(DISTINCT review_score) FROM m_reviews)",
     }
     export = " UNION ALL ".join(f"SELECT '{k}' AS table_name, CAST(({v}) AS BIGINT) AS rows"
                                 for k, v in exports.items())
@@ -565,17 +583,19 @@ def _final(p: Params) -> dict[str, str]:
                    CASE WHEN max(s) = min(s) THEN max(s) + 0.5::DOUBLE ELSE max(s) END AS hi,
                    round(quantile_cont(s, {p.bottom_share}), 6) AS bottom_decile_cutoff
             FROM (SELECT seller_composite_score AS s FROM k_seller)),
-        cnt AS (
-            SELECT least(CAST(floor((k.seller_composite_score - st.lo) * ({float(bins)}::DOUBLE / (st.hi - st.lo)))
-                              AS INTEGER) + 1, {bins}) AS bin, count(*) AS sellers
-            FROM k_seller k CROSS JOIN st GROUP BY 1),
         edges AS (
             SELECT b.bin,
                    st.lo + CAST(b.bin - 1 AS DOUBLE) * ((st.hi - st.lo) / {float(bins)}::DOUBLE) AS bin_low,
                    CASE WHEN b.bin = {bins} THEN st.hi
                         ELSE st.lo + CAST(b.bin AS DOUBLE) * ((st.hi - st.lo) / {float(bins)}::DOUBLE) END AS bin_high,
                    st.bottom_decile_cutoff
-            FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(1, {bins + 1})) b CROSS JOIN st)
+            FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(1, {bins + 1})) b CROSS JOIN st),
+        cnt AS (
+            SELECT e.bin, count(*) AS sellers
+            FROM k_seller k JOIN edges e
+              ON k.seller_composite_score >= e.bin_low
+             AND (k.seller_composite_score < e.bin_high OR e.bin = {bins})
+            GROUP BY e.bin)
         SELECT e.bin, e.bin_low, e.bin_high, coalesce(c.sellers, 0) AS sellers,
                e.bin_low < e.bottom_decile_cutoff AS in_bottom_span, e.bottom_decile_cutoff
         FROM edges e LEFT JOIN cnt c ON c.bin = e.bin"""
@@ -675,9 +695,9 @@ def _final(p: Params) -> dict[str, str]:
         "freight_outlier_lanes": f"""
             SELECT seller_state, customer_state, category_en, shipments, avg_freight_cost, avg_lead_time,
                    late_rate_pct, index_score, greatest(30, least(400, shipments * 2)) AS marker_size,
-                   seller_state || '->' || customer_state AS label
-            FROM (SELECT *, {_pr('avg_freight_cost')} + {_pr('late_rate_pct')} AS index_score FROM k_freight)
-            ORDER BY index_score DESC, seller_state, customer_state, category_en LIMIT 5""",
+                   CASE WHEN row_number() OVER (ORDER BY index_score DESC, seller_state, customer_state, category_en) <= 5
+                        THEN seller_state || '->' || customer_state END AS label
+            FROM (SELECT *, {_pr('avg_freight_cost')} + {_pr('late_rate_pct')} AS index_score FROM k_freight)""",
         "velocity_top20": """
             SELECT category_en, units_per_week FROM d_velocity_inventory WHERE category_en IS NOT NULL
             ORDER BY units_per_week DESC NULLS LAST, category_en LIMIT 20""",

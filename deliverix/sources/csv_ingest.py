@@ -125,16 +125,16 @@ def market_tables(result: IngestResult) -> MarketTables:
     t = result.tables
     return MarketTables(orders=t["orders"], customers=t["customers"], items=t["items"],
                         products=t["products"], translations=t["translations"], sellers=t["sellers"],
-                        reviews=t["reviews"],
+                        reviews=t["reviews"], geo=t.get("geo"),
                         regions=t["customers"].select(F.col("customer_state").alias("region_code")).distinct())
 
 
-def export_raw_csv(tables: MarketTables, geo: DataFrame, out_dir: str, files: dict | None = None) -> dict[str, str]:
+def export_raw_csv(tables: MarketTables, geo: DataFrame | None, out_dir: str, files: dict | None = None) -> dict[str, str]:
     """Write canonical tables as raw exports: every column of the raw schema in
     order (absent ones empty), values as text, one folder per file name."""
     from concurrent.futures import ThreadPoolExecutor
     files = files or RAW_FILES
-    frames = dict(tables.as_dict(), geo=geo)
+    frames = tables.as_dict() | ({} if geo is None else {"geo": geo})
 
     def write(table: str) -> str:
         names, schema = files[table]
@@ -148,5 +148,5 @@ def export_raw_csv(tables: MarketTables, geo: DataFrame, out_dir: str, files: di
         return path
 
     with ThreadPoolExecutor(max_workers=4) as pool:
-        futures = {table: pool.submit(write, table) for table in files}
+        futures = {table: pool.submit(write, table) for table in files if table in frames}
         return {table: f.result() for table, f in futures.items()}

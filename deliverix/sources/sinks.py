@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deliverix.functions.columns import round_half_away
-
 
 def write_frame(df: DataFrame, path: str, fmt: str = "csv") -> None:
     w = df.write.mode("overwrite")
@@ -35,15 +33,59 @@ def write_frames(frames: dict[str, DataFrame], out_dir: str, fmt: str = "csv", p
             f.result()
 
 
-def validation_report(validation: DataFrame) -> DataFrame:
-    """(check, value) rows rendered as text lines ``check: value``."""
-    value = F.coalesce(F.col("value_text"),
-                       F.regexp_replace(F.format_number(round_half_away("value_num", 2), 2), ",", ""))
-    return validation.select(F.concat(F.col("check"), F.lit(": "), value).alias("value"))
-
-
-def write_report(validation: DataFrame, out_dir: str, name: str = "schema_validation") -> None:
-    validation_report(validation).coalesce(1).write.mode("overwrite").text(f"{out_dir}/{name}")
+def _table_lines(part: int, title: str, table: DataFrame, columns: list[str], order: list) -> DataFrame:
+    """A small table (one row per status or score) as text lines: blank, title, header, right-aligned rows."""
+    text = [F.col(c).cast("string") for c in columns]
+    if "pct" in columns:
+        text[columns.index("pct")] = F.format_number("pct", 2)
+    rows = table.select(F.row_number().over(Window.orderBy(*order)).alias("pos"),
+                        *[t.alias(c) for t, c in zip(text, columns)])
+    wide = [F.greatest(F.lit(len(c)), F.max(F.length(c)).over(Window.partitionBy())) for c in columns]
+    rows = rows.select("pos", *[F.struct(F.col(c).alias("text"), w.alias("wide")).alias(c) for c, w in zip(columns, wide)])
+
+    def line(values: list[F.Column]) -> F.Column:
+        return F.concat_ws(" ", *[F.lpad(F.coalesce(v, F.lit("")), F.col(f"{c}.wide"), F.lit(" "))
+                                  for v, c in zip(values, columns)])
+
+    body = rows.select((F.col("pos") + 2).alias("pos"), line([F.col(f"{c}.text") for c in columns]).alias("value"))
+    header = rows.where("pos = 1").select(F.lit(2).alias("pos"), line([F.lit(c) for c in columns]).alias("value"))
+    top = table.sparkSession.createDataFrame([(0, ""), (1, title)], "pos int, value string")
+    return top.unionByName(header).unionByName(body).select(F.lit(part).alias("part"), "pos", "value")
+
+
+def validation_report(validation: DataFrame, statuses: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The text report as lines (part, pos, value): checks, status and review score distribution."""
+    def number(name: str) -> F.Column:
+        return F.max(F.when(F.col("check") == name, F.col("value_num")))
+
+    def text(name: str) -> F.Column:
+        return F.max(F.when(F.col("check") == name, F.col("value_text")))
+
+    def whole(name: str) -> F.Column:
+        return number(name).cast("bigint").cast("string")
+
+    # The wording of the reference's report.
+    lines = [
+        [F.lit("Null order IDs: "), whole("null_order_ids")],
+        [F.lit("Order date coverage: "), text("date_coverage_min"), F.lit(" to "), text("date_coverage_max")],
+        [F.lit("Items without order record: "), whole("items_without_order")],
+        [F.lit("orders_clean rows: "), F.format_number(number("orders_clean_rows"), 0)],
+        [F.lit("orders_clean date range: "), text("orders_clean_date_min"), F.lit(" to "), text("orders_clean_date_max")],
+        [F.lit("orders_clean retained: "), number("orders_clean_retention_pct").cast("string"), F.lit("% of original orders")],
+    ]
+    parts = F.array(*[F.concat(*[F.coalesce(p, F.lit("None")) for p in line]) for line in lines])
+    checks = validation.agg(parts.alias("lines")).select(F.posexplode("lines").alias("pos", "value"))
+    checks = checks.select(F.lit(0).alias("part"), "pos", "value")
+    status = _table_lines(1, "Order status distribution:", statuses, ["order_status", "cnt", "pct"],
+                          [F.desc("cnt"), F.col("order_status")])
+    scores = _table_lines(2, "Review score distribution:", reviews, ["review_score", "cnt"], [F.col("review_score")])
+    return checks.unionByName(status).unionByName(scores)
+
+
+def write_report(report: DataFrame, out_dir: str, name: str = "schema_validation") -> None:
+    """Write the lines (a few dozen) of :func:`validation_report` in order, as one text file."""
+    (report.repartition(1).sortWithinPartitions("part", "pos").select("value")
+     .write.mode("overwrite").text(f"{out_dir}/{name}"))
 
 
 def read_back_counts(spark: SparkSession, out_dir: str, names: list[str], fmt: str = "csv",

@@ -18,10 +18,13 @@ class MarketTables:
     reviews: DataFrame
     # Reporting regions (the map layer's region list); here: all customer states.
     regions: DataFrame | None = None
+    # Geolocation rows, if the inputs have them.
+    geo: DataFrame | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {
+        named = {
             "orders": self.orders, "customers": self.customers, "items": self.items,
             "products": self.products, "translations": self.translations,
             "sellers": self.sellers, "reviews": self.reviews,
         }
+        return named if self.geo is None else named | {"geo": self.geo}

@@ -152,4 +152,5 @@ def load_testdata(spark: SparkSession, sf_dir: str) -> MarketTables:
         orders=orders, customers=customers, items=items, products=products,
         translations=translations_frame(spark), sellers=sellers, reviews=reviews,
         regions=regions,
+        geo=t["nation"].select(F.col("n_name").alias("geolocation_city"), F.col("n_name").alias("geolocation_state")),
     )

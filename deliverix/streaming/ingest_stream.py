@@ -2,10 +2,11 @@
 
 One streaming query per raw table watches a landing folder.  Each
 micro-batch is parsed with the table's fixed schema in PERMISSIVE mode; good
-rows are appended to ``out_dir/<table>`` and bad rows to
-``out_dir/_quarantine/<table>``.  The file source and the checkpoint under
-``checkpoint_root`` make every landed file count exactly once, also across
-restarts and executor loss.  After a batch, ``on_batch`` (for example a
+rows go to ``out_dir/<table>/batch_id=<n>`` and bad rows to
+``out_dir/_quarantine/<table>/batch_id=<n>``.  The checkpoint under
+``checkpoint_root`` gives a batch that is repeated after a failure the same
+files and number, and its folder is overwritten, so every landed file counts
+exactly once.  After a batch, ``on_batch`` (for example a
 function that builds and exports the KPIs from :func:`tables_from_parquet`)
 runs over the complete tables, as the reference's full rebuild does.
 """
@@ -24,6 +25,22 @@ from deliverix.sources.csv_ingest import CORRUPT
 from deliverix.sources.schemas import RAW_FILES
 from deliverix.sources.tables import MarketTables
 
+BATCH = "batch_id"
+
+def write_batch(batch: DataFrame, batch_id: int, out_dir: str, table: str) -> None:
+    """Good and bad rows of one micro-batch, each into the batch's own folder.
+
+    A batch that runs again after a failure overwrites what it wrote before.
+    """
+    parsed = batch.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once, split twice
+    try:
+        (parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+         .write.mode("overwrite").parquet(f"{out_dir}/{table}/{BATCH}={batch_id}"))
+        (parsed.where(F.col(CORRUPT).isNotNull())
+         .write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{table}/{BATCH}={batch_id}"))
+    finally:
+        parsed.unpersist()
+
 
 def start_ingest_stream(spark: SparkSession, landing_dir: str, table: str, out_dir: str, checkpoint_root: str,
                         on_batch: Callable[[int], None] | None = None, available_now: bool = True,
@@ -41,14 +58,7 @@ def start_ingest_stream(spark: SparkSession, landing_dir: str, table: str, out_d
               .csv(landing_dir))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # parsed once, split twice
-        parsed = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT).write.mode("append").parquet(f"{out_dir}/{table}")
-            parsed.where(F.col(CORRUPT).isNotNull()).write.mode("append").parquet(
-                f"{out_dir}/_quarantine/{table}")
-        finally:
-            parsed.unpersist()
+        write_batch(batch, batch_id, out_dir, table)
         if on_batch is not None:
             on_batch(batch_id)
 
@@ -61,6 +71,6 @@ def start_ingest_stream(spark: SparkSession, landing_dir: str, table: str, out_d
 
 def tables_from_parquet(spark: SparkSession, out_dir: str) -> MarketTables:
     """The canonical tables written by the ingest (batch or streaming)."""
-    t = {name: spark.read.parquet(f"{out_dir}/{name}") for name in
+    t = {name: spark.read.parquet(f"{out_dir}/{name}").drop(BATCH) for name in
          ("orders", "customers", "items", "products", "translations", "sellers", "reviews")}
     return MarketTables(**t, regions=t["customers"].select(F.col("customer_state").alias("region_code")).distinct())

@@ -172,3 +172,33 @@ def test_gate_raises_below_minimum(spark):
     Build(spark, t, Params(min_clean_rows=10), persist=False).check_gates(["orders_clean_min_rows"])
     with pytest.raises(RuntimeError, match="orders_clean_min_rows"):
         Build(spark, t, Params(min_clean_rows=10**9), persist=False).check_gates(["orders_clean_min_rows"])
+
+
+def test_duplicated_keys_stop_the_export(spark):
+    import os
+    import tempfile
+    rows = dict(
+        orders=[order("o1", "c1", "2018-01-01 10:00:00", "2018-01-05 10:00:00", "2018-01-09 00:00:00")],
+        customers=[customer("c1")], items=[item("o1", 1, "p1", "s1", 10.0, 1.0)],
+        products=[product("p1", "a")], sellers=[("s1", "x", "SP")], translations=[("a", "A")])
+    for table in ("orders", "customers", "products", "sellers", "translations"):
+        t = tables(spark, **(rows | {table: rows[table] * 2}))
+        b = Build(spark, t, Params(min_clean_rows=1), persist=False)
+        out = tempfile.mkdtemp(prefix="deliverix-dup-")
+        with pytest.raises(RuntimeError, match=f"{table}_unique"):
+            b.export(out)
+        assert os.listdir(out) == []
+        if table in ("products", "sellers"):
+            assert b.financials.first().total_gmv == 11.0
+
+
+def test_missing_metrics_are_named(spark):
+    from deliverix.operators.quality import chosen_gates, quality_gates
+    summary = spark.createDataFrame([("total_orders", 5.0), ("total_gmv", 1.0)], "metric string, value_num double")
+    t = tables(spark, [], [])
+    gates = quality_gates(None, t, lambda: summary, None, None, None, None, Params())
+    r = chosen_gates(gates, ["required_metrics_present"]).first()
+    assert not r.passed and r.observed == 2.0
+    assert r.detail == "overall_otdr_pct,bottom_seller_breach_share_pct,retention_m1_pct,retention_m3_pct"
+    with pytest.raises(ValueError):
+        chosen_gates(gates, ["no_such_gate"])

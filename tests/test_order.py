@@ -43,3 +43,12 @@ class _Cluster:
 def test_cluster_without_shared_folder_is_an_error():
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(_Cluster())
+
+
+def test_outlier_lanes_keep_every_lane(spark):
+    b = build_for(spark, "/root/testdata/sf0.01")
+    lanes = b.outlier_lanes.collect()
+    assert len(lanes) == b.freight.count() > 5
+    assert sum(r.label is not None for r in lanes) == 5
+    lowest = min(r.index_score for r in lanes if r.label is not None)
+    assert all(r.index_score <= lowest for r in lanes if r.label is None)

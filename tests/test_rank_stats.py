@@ -106,11 +106,62 @@ def test_student_t_pvalue_expression(spark):
     assert same >= len(cases) - 3
 
 
-def test_distributed_rank_matches_sort(spark):
-    from deliverix.functions.rank import distributed_rank
+def test_first_by_key_matches_sort(spark):
+    from deliverix.functions.rank import first_by_key
     rnd = random.Random(13)
-    ids = list({f"id{rnd.randint(0, 10**6):07d}" for _ in range(3000)})
-    df = spark.createDataFrame([(i,) for i in ids], "k string").repartition(7)
-    got = {r.k: r.rk for r in distributed_rank(df, "k", "rk", partitions=5).collect()}
-    expect = {k: i + 1 for i, k in enumerate(sorted(ids))}
-    assert got == expect
+    texts = [f"id{x:07d}" for x in rnd.sample(range(10**6), 3000)] + ["id", "", "ié"]
+    numbers = rnd.sample(range(-10**9, 10**9), 2000)
+    for kind, ids in (("string", texts), ("long", numbers), ("long", [7])):
+        df = spark.createDataFrame([(i,) for i in ids], f"k {kind}").repartition(7)
+        for take in (0, 1, len(ids) // 3, len(ids), len(ids) + 5):
+            got = sorted(r.k for r in first_by_key(df, "k", F.lit(take), ranges=64).collect())
+            assert got == sorted(ids)[:take], (kind, take)
+    assert first_by_key(df.where("k < 0"), "k", F.lit(3)).collect() == []
+
+
+def test_bottom_sellers_run_nothing_while_planned(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    df = spark.createDataFrame([("a", 1.0, 5, 1.0), ("b", 1.0, 5, 1.0)],
+                               "seller_id string, seller_composite_score double, total_orders long, late_rate_pct double")
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a job ran while the plan was built")
+
+    for action in ("checkpoint", "localCheckpoint", "collect", "count", "first"):
+        monkeypatch.setattr(type(df), action, refuse)
+    out = seller_bottom_decile(df, Params())
+    monkeypatch.undo()
+    assert isinstance(out, DataFrame) and out.first().bottom_seller_count == 1
+
+
+def test_round_python(spark):
+    import duckdb
+    from deliverix.functions.columns import round_python
+    from deliverix.plans.oracle import _r_even
+    rnd = random.Random(2)
+    values = [rnd.uniform(0, 100) for _ in range(5000)] + [rnd.randint(0, 100000) / 1000 for _ in range(5000)]
+    values += [k / 8 for k in range(0, 801)] + [k / 200 for k in range(0, 20001)] + [k / 20 for k in range(0, 2001)]
+    for digits in (1, 2):
+        df = spark.createDataFrame([(v,) for v in values + [-v for v in values]] + [(None,)], "v double")
+        got = df.select("v", round_python("v", digits).alias("r")).collect()
+        bad = [(r.v, r.r) for r in got if r.r != (None if r.v is None else round(r.v, digits))]
+        assert not bad, bad[:5]
+        con = duckdb.connect()
+        table = pd.DataFrame({"v": values})
+        con.register("t", table)
+        sql = [x for (x,) in con.execute(f"SELECT {_r_even('v', digits)} FROM t").fetchall()]
+        assert sql == [round(v, digits) for v in values]
+
+
+def test_score_histogram_matches_numpy(spark):
+    from deliverix.operators.charts import seller_score_histogram
+    rnd = random.Random(4)
+    ranges = [(40.0, 81.4), (0.0, 100.0), (50.0, 50.0)] + [
+        tuple(sorted(round(rnd.uniform(0, 100), 1) for _ in range(2))) for _ in range(9)]
+    for lo, hi in ranges:
+        scores = [x / 10 for x in range(round(lo * 10), round(hi * 10) + 1)]
+        df = spark.createDataFrame([(v,) for v in scores] + [(None,)], "seller_composite_score double")
+        got = sorted(seller_score_histogram(df).collect(), key=lambda r: r.bin)
+        counts, edges = np.histogram(scores, bins=30)
+        assert [r.sellers for r in got] == counts.tolist(), (lo, hi)
+        assert [r.bin_low for r in got] == edges[:-1].tolist()

@@ -53,3 +53,15 @@ def test_stream_ingest_then_rebuild(spark):
     c = Build(spark, tables_from_parquet(spark, out), b.params, persist=False)
     for name in ("otdr", "cohort", "sla_state", "lead_category"):
         assert sorted(map(tuple, getattr(c, name).collect())) == sorted(map(tuple, getattr(b, name).collect())), name
+
+
+def test_repeated_batch_counts_once(spark):
+    from deliverix.sources.csv_ingest import CORRUPT
+    from deliverix.streaming.ingest_stream import write_batch
+    out = tempfile.mkdtemp(prefix="deliverix-replay-")
+    batch = spark.createDataFrame([("o1", 1, None), (None, None, "x,y")], f"order_id string, order_item_id int, {CORRUPT} string")
+    write_batch(batch, 0, out, "items")
+    write_batch(batch, 0, out, "items")  # the batch again, as after a crash between write and commit
+    write_batch(batch, 1, out, "items")
+    assert spark.read.parquet(f"{out}/items").count() == 2
+    assert spark.read.parquet(f"{out}/_quarantine/items").count() == 2
