@@ -232,6 +232,21 @@ def test_lm_scoring(make_docs, odd_rows):
     assert len(lm_scoring.score(make_docs(odd_rows), F.lit(False)).collect()) == len(odd_rows)
 
 
+def test_most_frequent(spark):
+    words = spark.createDataFrame([(k, k * k % 97) for k in range(500)] + [(1000 + k, 10 ** k) for k in range(9)], "key long, c long")
+    rows = sorted(((r.key, r.c) for r in words.collect()), key=lambda r: (-r[1], r[0]))
+    for limit in (1, 9, 40, 400, 600):
+        assert [tuple(r) for r in lm_scoring.most_frequent(words, limit).collect()] == rows[:limit]
+    assert lm_scoring.most_frequent(words.limit(0), 5).count() == 0
+
+
+def test_unknown_words_are_spelled_like_rare_ones(make_docs):
+    from pyspark.sql import functions as F
+    rows = [(0, "zzz " * 3000, "a")] + [(i, " ".join(f"lo{x}mi{y}" for x in "abcdefgh" for y in "klmnopqr" if x + y != "cp"), "a") for i in range(2, 8, 2)]
+    out = {r.doc_id: r.score for r in lm_scoring.score(make_docs(rows + [(1, "locmip", "a"), (3, "zzzzzz", "a")]), F.col("doc_id") % 2 == 0).collect()}
+    assert out[1] > out[3]
+
+
 def test_spelling_adds_up():
     import pyarrow as pa
     symbol, contexts, longest, size = lm_scoring.symbols(pa.array(["abab", "ab", "b"]))
