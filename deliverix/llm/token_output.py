@@ -23,7 +23,6 @@ import codecs
 import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -51,6 +50,7 @@ _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETT
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _BYTE_CHARS = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
+_SPACE = _BYTE_CHARS[32]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -96,6 +96,10 @@ class Encoder:
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2") if self._t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        size = self.type.itemsize
+        every = np.arange(max(self._t.get_vocab().values()) + 1).astype(self.type).tobytes()
+        self._bytes = [every[i:i + size] for i in range(0, len(every), size)]  # by token id
+        self._tokenize = self._t.model.tokenize
         self._known: dict[str, bytes | None] = {}  # by piece
         self._tokens: dict[str, bytes] = {}  # by pre-token, or by word with a space before it
         self._split = re.compile(_PATTERN).findall
@@ -109,16 +113,19 @@ class Encoder:
         return [np.array(e.ids, self.type).tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _token(self, text: str) -> bytes:
-        ids = [t.id for t in self._t.model.tokenize(codecs.charmap_decode(text.encode(), "strict", _BYTE_CHARS)[0])]
-        return struct.pack(f"<{len(ids)}{self.type.char}", *ids)
+        return self._shown(codecs.charmap_decode(text.encode(), "strict", _BYTE_CHARS)[0])
+
+    def _shown(self, text: str) -> bytes:
+        ids = self._bytes
+        return b"".join([ids[t.id] for t in self._tokenize(text)])
 
     def _piece(self, piece: str) -> bytes | None:
         """Ids of a piece with a space before it; None if it can't be cut off its text."""
         word = piece[:-1] if piece[-1:] in (",", ".") else piece
-        if word.isascii() and word.isalpha():  # the most frequent kind: one pre-token, and perhaps a mark
+        if word.isalpha() and (word.isascii() or max(word) <= "ɏ"):  # the most frequent kind: one pre-token, and perhaps a mark
             got = self._tokens.get(word)
             if got is None:
-                got = self._tokens[word] = self._token(f" {word}")
+                got = self._tokens[word] = self._shown(_SPACE + word) if word.isascii() else self._token(f" {word}")
             return got if len(word) == len(piece) else got + self._marks[piece[-1]]
         if not _PLAIN.fullmatch(piece):
             return None
@@ -140,8 +147,9 @@ class Encoder:
         if not self._byte_level:
             return self._whole(texts)
         cut = [t.split(" ") for t in texts]
-        if len(self._known) > CACHE or len(self._tokens) > CACHE:
-            self.forget()
+        for kept in (self._known, self._tokens):
+            if len(kept) > CACHE:
+                kept.clear()
         known = self._known
         for p in set().union(*cut).difference(known):
             known[p] = self._piece(p)
