@@ -14,7 +14,8 @@ places, so whatever repeats meets under its minimizer:
 3. where several different pieces share a minimizer the path branches, and only
    there single windows (128-bit keys) are compared, once per distinct piece;
 4. source coordinates (document, start) of what repeats are joined to the texts,
-   which verify them by rebuilding the words, and overlapping spans merge.
+   where overlapping spans merge.  That words are equal rests on 128 bits of
+   keys (minimizer and content, or two of a window), not on a comparison of words.
 
 Scale: every shuffle carries pieces (about one per 8 words), not words; the
 text moves by document once.  Counting is map-side combined; both sides of
