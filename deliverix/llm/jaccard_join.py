@@ -224,18 +224,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               names=[*names, "set"])
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per row of ``documents``: id, class_id, n_links, n_copies.
-
-    class_id: the smallest id (null is the smallest) among the documents that
-    links connect; n_links: other documents of a similarity of ``threshold`` or
-    more, those with an equal set of shingles (n_copies) included.  Texts
-    without words have no links and a class of their own.  Rows that repeat an
-    id count as documents of their own.
-    """
+def _linked(documents: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Tables of all rows (doc, th, a, b, size, ...) and of all sets of shingles: a, b, size, copies, links, label
+    (the same for sets that links connect) and rep, the smallest (doc, th) of the set's rows."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kind = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(id_key(F.col(id_col)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     signed_ = written(docs.mapInArrow(_sign, "doc long, th long, a long, b long, size long, bands array<long>, sig binary"), "signatures")
     classes = (signed_.where("size > 0").groupBy("a", "b", "size")
@@ -261,10 +253,24 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         _verify(threshold, tolerance), "node long, links long, other long"), "links")
     linked = connected_components(found.where(F.col("other").isNotNull()).select(F.col("node").alias("u"), F.col("other").alias("v")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = classes.select("node", "a", "b", "size", "copies", F.col("rep.doc").alias("doc"))
+    nodes = classes.select("node", "a", "b", "size", "copies", "rep")
     nodes = nodes.join(linked, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    nodes = written(nodes, "nodes")
-    least = nodes.groupBy("label").agg(F.min("doc").alias("class"))
+    return signed_, written(nodes, "nodes")
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per row of ``documents``: id, class_id, n_links, n_copies.
+
+    class_id: the smallest id (null is the smallest) among the documents that
+    links connect; n_links: other documents of a similarity of ``threshold`` or
+    more, those with an equal set of shingles (n_copies) included.  Texts
+    without words have no links and a class of their own.  Rows that repeat an
+    id count as documents of their own.
+    """
+    kind = documents.schema[id_col].dataType.simpleString()
+    signed_, nodes = _linked(documents, id_col, text_col, threshold, tolerance)
+    least = nodes.groupBy("label").agg(F.min("rep.doc").alias("class"))
     info = written(nodes.join(least, "label").select("a", "b", "size", "class", "copies", F.coalesce("links", F.lit(0)).alias("links")), "class-info")
     rows = signed_.select("doc", "a", "b", "size").join(info, ["a", "b", "size"], "left")
     own = F.coalesce(F.col("class"), F.col("doc"))
@@ -293,5 +299,30 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return single.unionByName(repeated)
 
 
+def keep_representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` (all columns) that stand for their class: of each class one row.
+
+    It is the row with the class's smallest id (null is the smallest), among
+    those the one with the smallest hash of its text; among rows equal in both,
+    any.  An id may stand for several classes by rows of its own.  Texts
+    without words are each a class, so all of them stay.
+    """
+    signed_, nodes = _linked(documents, id_col, text_col, THRESHOLD, TOLERANCE)
+    least = nodes.groupBy("label").agg(F.min("rep").alias("rep")).select("rep.doc", "rep.th")
+    rows = signed_.groupBy("doc", "th").agg(F.any_value("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    empty = rows.where("size = 0").select("doc", "th", F.lit(1).alias("n"))
+    kept = rows.where("size > 0").join(least, ["doc", "th"], "left_semi").select("doc", "th", "n").unionByName(empty)
+    kept = written(kept, "kept-rows")
+    same = ((id_key(documents[id_col]) == kept["doc"])
+            & (F.xxhash64(F.coalesce(documents[text_col].cast("string"), F.lit(""))) == kept["th"]))
+    single = documents.join(kept.where("n = 1"), same, "left_semi")
+    several = kept.where("n > 1")
+    if several.isEmpty():
+        return single
+    repeated = documents.withColumns({"_doc": id_key(F.col(id_col)), "_th": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    repeated = repeated.join(several.select(F.col("doc").alias("_doc"), F.col("th").alias("_th")), ["_doc", "_th"], "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["_doc", "_th"]).select(*documents.columns))
+
+
 def query(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents)

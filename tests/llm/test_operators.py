@@ -122,6 +122,32 @@ def test_keep_first(make_docs, odd_rows):
     assert kept[1] == 1 and kept[2] == 0 and kept[3] == 0 and kept[7] == 1 and max(kept.values()) == 1
 
 
+def kept_by_class(rows):
+    """Brute force: of each class of near duplicates the row of the smallest id; of texts without words all rows."""
+    sets = []
+    for r in rows:
+        w = words(r[1])
+        sets.append({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min(label[j] for j in range(len(rows)) if j == i or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+                 for i in range(len(rows))]
+    least = {k: min((rows[i][0] for i in range(len(rows)) if label[i] == k), key=id_key) for k in set(label)}
+    return least, label, sets
+
+
+def test_keep_representatives(make_docs, odd_rows):
+    near = lambda n, k: " ".join(f"z{n}" if j == k else f"w{n}x{j}" for j in range(140))
+    rows = odd_rows + [(None, near(1, 5), "a"), (None, near(2, 5), "a"), (None, near(3, 5), "a"), (70, near(1, 60), "a"), (None, near(2, 5), "a"),
+                       (71, near(4, 5), "a"), (71, near(5, 5), "a"), (72, near(5, 90), "a")]
+    least, label, sets = kept_by_class(rows)
+    got = [(r.doc_id, r.text) for r in jaccard_join.keep_representatives(make_docs(rows)).collect()]
+    assert sorted(id_key(i) for i, t in got if words(t)) == sorted(id_key(least[k]) for k in {x for x, s in zip(label, sets) if s})
+    at = {(i, t): k for (i, t, _), k in zip(rows, label)}
+    assert len({at[r] for r in got if words(r[1])}) == sum(bool(words(t)) for _, t in got)  # one row of each class
+    assert ordered([r for r in got if not words(r[1])]) == ordered([(i, t) for i, t, _ in rows if not words(t)])
+
+
 def test_pruning_bound():
     least = jaccard_join.least_matches(0.8, 1e-9)
     assert len(least) == 4 and all(a < b for a, b in zip(least, least[1:])) and least[0] < 0.5 * 32
