@@ -130,15 +130,36 @@ def scan(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     return out.withColumnRenamed("id", id_col)
 
 
-def clean_documents(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without any hit: those that hold no benchmark window (all their columns).
-
-    Rows of an id of which any row is hit go; rows with a null id go only with
-    a hit of a null id.
+def _clean(found: WindowSet, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = found.value
+        for b in text_slices(batches, text_col):
+            w = Words(b.column(text_col), WORD_BYTES, lower=True)
+            at = [i for i, _, _ in windows.hits(w)]
+            clean = np.ones(b.num_rows, bool)
+            clean[np.searchsorted(w.at, np.array(at, np.int64), side="right") - 1] = False
+            yield b.filter(pa.array(clean))
+    return run
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """Documents without any hit: the rows that hold no benchmark window (all their columns).
+
+    Rows are judged by their own text, whatever their ids: other rows of a
+    null or repeated id stay.  Parts of a large benchmark are scans one after
+    another, each of the rows that the one before left.
     """
-    hit = scan(documents, benchmark, id_col, text_col).where(F.size("hit") > 0).select(F.col(id_col).alias("_hit_id")).distinct()
-    hit = written(hit, "hit-ids")
-    return documents.join(hit, documents[id_col].eqNullSafe(hit["_hit_id"]), "left_anti")
+    spark = documents.sparkSession
+    windows = written(benchmark_windows(benchmark, window=WINDOW), "windows")
+    parts = max(1, -(-windows.count() // max_broadcast))
+    docs = documents
+    for part in range(parts):
+        rows = [tuple(r) for r in windows.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == part).collect()]  # max_broadcast rows or so
+        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(WindowSet(rows)), text_col), documents.schema)
+        if part < parts - 1:
+            docs = written(docs, "clean-part")
+    return docs
 
 
 def cut_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

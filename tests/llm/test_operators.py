@@ -214,6 +214,17 @@ def test_decontamination(spark, make_docs, odd_rows, parts):
     assert out == ordered(want)
 
 
+@pytest.mark.parametrize("parts", [1_000_000, 7])
+def test_clean_documents(spark, make_docs, odd_rows, parts):
+    rows = odd_rows + [(None, "it was short one of these", "a"), (13, "short one", "a"), (13, "clean text", None), (13, None, "b")]
+    bench = spark.createDataFrame([(1, odd_rows[0][1]), (2, "Short ONE"), (3, None)], "item_id long, text string")
+    gone = lambda t: t == odd_rows[0][1] or t == odd_rows[3][1] or "short one" in (t or "")
+    docs = make_docs(rows)
+    out = decontamination.clean_documents(docs, bench, max_broadcast=parts)
+    assert out.schema == docs.schema
+    assert rows_of(out, "doc_id", "text", "source") == ordered([r for r in rows if not gone(r[1])])
+
+
 def test_classifier_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = {r.doc_id: r for r in classifier.query(docs, labels).collect()}
