@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deliverix.llm.shared import scratch_path, text_slices
@@ -41,7 +41,8 @@ CACHE = 300_000
 
 # A space between two characters that are no white space always starts a token of this tokenizer, so
 # texts may be cut there.  Pieces are cut further here if all their characters are of a range whose
-# classes are the same in every Unicode version; texts with other pieces are encoded as a whole.
+# classes are the same in every Unicode version; texts with other pieces, or with the string of an added
+# token, are encoded as a whole.
 _PLAIN = re.compile(r"[!-~¡-ɏ](?:[\n!-~¡-ɏ]*[!-~¡-ɏ])?")
 # The byte-level pre-tokenizer's pattern, with its letters and numbers in that range,
 # and its characters for the 256 bytes.
@@ -94,7 +95,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2") if self._t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         size = self.type.itemsize
         every = np.arange(max(self._t.get_vocab().values()) + 1).astype(self.type).tobytes()
@@ -105,6 +105,7 @@ class Encoder:
         self._split = re.compile(_PATTERN).findall
         self._marks = {x: self._token(x) for x in ",."}
         spec = json.loads(self._t.to_str())
+        self._added = [x["content"] for x in spec["added_tokens"]]  # cut out of a text before anything else
         # the short way below holds for a plain byte-level tokenizer only
         self._byte_level = (spec["normalizer"] is None and spec["model"]["type"] == "BPE" and spec["pre_tokenizer"]
                             == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
@@ -154,7 +155,10 @@ class Encoder:
         for p in set().union(*cut).difference(known):
             known[p] = self._piece(p)
         out: list[bytes | None] = []
-        for p, first in zip(cut, self._whole([p[0] for p in cut])):
+        for t, p, first in zip(texts, cut, self._whole([p[0] for p in cut])):
+            if any(x in t for x in self._added):
+                out.append(None)
+                continue
             try:
                 out.append(first + b"".join(map(known.__getitem__, p[1:])) if known[p[0]] is not None else None)
             except TypeError:  # a piece that can't be cut off
@@ -222,6 +226,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_read, "shard string, id long, seq long, offset long, length long, n_tokens long, ids_crc32 long")
 
 
+def shard_place(shard: Column) -> Column:
+    """Place of a shard by its file's numbers: of the partition, and of the file in it (their digits are padded, but may be more)."""
+    number = lambda pattern: F.regexp_extract(shard, pattern, 1).cast("long")
+    return F.struct(number(r"^part-(\d+)").alias("partition"), number(r"-c(\d+)[^-]*$").alias("file"))
+
+
 def read_tokens(data: bytes, offset: int, length: int) -> tuple[int | None, np.ndarray]:
     """The id and token ids of the record that the index places at ``offset`` of a shard."""
     payload = next(frames(memoryview(data)[offset:offset + length]))[1]
@@ -236,7 +246,7 @@ def query(documents: DataFrame) -> DataFrame:
     write_tokens(documents, path)
     records = read_records(spark, path)
     shards = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
+    before = Window.orderBy(shard_place(F.col("shard"))).rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # RECORDS_PER_FILE rows
     return records.join(F.broadcast(shards), "shard").select(

@@ -71,6 +71,23 @@ def test_damaged_record_is_found():
         list(token_output.frames(bytes(data)))
 
 
+def test_added_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(token_output.tokenizer_path())
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added
+    texts = [f(x) for x in added for f in (str, "a b {} c d".format, "one{}two three".format, "{} x".format, "x {}".format)] + ["a b c", "", "x < |end"]
+    encoder = token_output.Encoder(token_output.tokenizer_path())
+    got = [np.frombuffer(b, encoder.type).tolist() for b in encoder.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_shards_in_order_of_their_numbers(spark):
+    names = [f"part-{p:05d}-0f1e-4c5d-c{c:03d}.txt" for p, c in ((0, 0), (0, 101), (0, 999), (0, 1000), (0, 1001), (7, 0), (99999, 2), (100000, 1))]
+    df = spark.createDataFrame([(x,) for x in reversed(names)], "shard string")
+    assert [r.shard for r in df.orderBy(token_output.shard_place(df["shard"])).collect()] == names
+
+
 def brute_repeats(rows, window=20):
     first = {}
     for i, text, _ in sorted(rows, key=lambda r: id_key(r[0])):
