@@ -3,7 +3,10 @@
 Text length and punctuation are summed per root-to-leaf tag path of a page,
 turned into a ratio per path, smoothed over neighbouring text nodes, fused
 with the ratios of the path's containers, and compared with the page's best
-path.  Text nodes of the paths that pass are the content.
+path.  The paths that pass say which elements hold the content: an article or
+main that any of them is in, or else the deepest container of most of the best
+path's text.  All text in those that is not marked as something else is the
+content, however short, and so are text nodes elsewhere whose paths pass.
 
 Scale: one scan, no shuffle; the state is one page at a time.
 """
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Share of the best path's ratio that a path must reach.
 CUT = 0.12
+#: Share of the best path's text that its container holds at least.
+MOST = 0.5
 #: Part of a container's ratio that its paths inherit.
 INHERIT = 0.5
 #: Factor for paths outside the article, in pages that have one.
@@ -39,14 +44,31 @@ MARKED = frozenset("ad ads advert advertisement adverts advertising alert banner
                    "newsletter notice notification pager pagination popup privacy promo promoted promotion recommended related "
                    "replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
                    "toolbar widget".split())
+# What may stand behind such a name in a class, and words that make it say something about another part of the page.
+PARTS = frozenset("area bar block body bottom box button buttons column container content form group header heading holder icon icons "
+                  "inner item items label left link links list message outer overlay panel post posts right row section slot text "
+                  "title toggle top unit wrap wrapper zone".split())
+ABOUT = frozenset("with without no not non has have hide hides show shows".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 CONTENT = frozenset(["article", "main"])
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
              "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+CONTAINERS = frozenset(["div", "section", "td"])
 FENCES = frozenset("table ul ol dl article section main div body".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
+def _names_other(value: str) -> bool:
+    """Whether a class or id says that an element is not article text: one of its names is a marker, or ends in one."""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        while len(words) > 1 and (words[-1] in PARTS or words[-1].isdigit()):
+            words.pop()
+        if words and words[-1] in MARKED and not ABOUT.intersection(words):
+            return True
+    return False
+
+
 def _marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
     """Whether an element and all below it is not article text. ``inside``: within an article."""
     if tag in DROPPED or tag == "header" and not inside:
@@ -55,7 +77,7 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool
         return False
     for name, value in attrs:
         value = (value or "").lower()
-        if name in ("class", "id") and MARKED.intersection(re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id") and _names_other(value):
             return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -64,17 +86,21 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool
     return False
 
 
+Node = tuple[tuple[str, ...], int, str, tuple[int, ...]]
+
+
 class TextNodes(HTMLParser):
-    """Collects (path, block number, text) of every text node outside dropped elements."""
+    """Collects (path, block number, text, numbers of the path's elements) of every text node outside dropped elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # tag, dropped
-        self.nodes: list[tuple[tuple[str, ...], int, str]] = []
+        self.open: list[tuple[str, bool, int]] = []  # tag, dropped, number
+        self.nodes: list[Node] = []
         self.block = 0
+        self.elements = 0
 
     def _pop(self, at: int) -> None:
-        if any(tag in BLOCKS for tag, _ in self.open[at:]):
+        if any(tag in BLOCKS for tag, _, _ in self.open[at:]):
             self.block += 1
         del self.open[at:]
 
@@ -94,8 +120,9 @@ class TextNodes(HTMLParser):
                 break
         if tag in BLOCKS:
             self.block += 1
-        dropped = bool(self.open) and self.open[-1][1] or _marked(tag, attrs, any(t in CONTENT for t, _ in self.open))
-        self.open.append((tag, dropped))
+        dropped = bool(self.open) and self.open[-1][1] or _marked(tag, attrs, any(t in CONTENT for t, _, _ in self.open))
+        self.elements += 1
+        self.open.append((tag, dropped, self.elements))
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -111,13 +138,13 @@ class TextNodes(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][1]):
-            self.nodes.append((tuple(t for t, _ in self.open), self.block, data))
+            self.nodes.append((tuple([t for t, _, _ in self.open]), self.block, data, tuple([k for _, _, k in self.open])))
 
 
-def path_ratios(nodes: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str, ...], float]:
+def path_ratios(nodes: list[Node]) -> dict[tuple[str, ...], float]:
     """Fused ratio of every path: text length per node, raised by punctuation, smoothed, with what containers give."""
     sums: dict[tuple[str, ...], list[float]] = {}
-    for path, _, text in nodes:
+    for path, _, text, _ in nodes:
         length = len(" ".join(text.split()))
         marks = len(PUNCTUATION.findall(text))
         for k in range(1, len(path) + 1):  # the path and its containers
@@ -128,7 +155,7 @@ def path_ratios(nodes: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str
     ratio = {p: s[0] / s[2] * (1 + min(1.0, s[1] / s[2])) for p, s in sums.items()}
     # smoothing: a path's ratio leans to those of the nodes next to its own in the page
     near: dict[tuple[str, ...], list[float]] = {}
-    for (a, _, _), (b, _, _) in zip(nodes, nodes[1:]):
+    for (a, _, _, _), (b, _, _, _) in zip(nodes, nodes[1:]):
         near.setdefault(a, []).append(ratio.get(b, 0.0))
         near.setdefault(b, []).append(ratio.get(a, 0.0))
     smooth = {p: (1 - NEIGHBOUR) * r + NEIGHBOUR * (sum(near[p]) / len(near[p]) if p in near else r) for p, r in ratio.items()}
@@ -140,6 +167,34 @@ def path_ratios(nodes: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str
     return fused
 
 
+def content_elements(nodes: list[Node], ranks: dict[tuple[str, ...], float]) -> tuple[set[int], bool]:
+    """Numbers of the elements whose text is the content, and whether that is what stands right in the body.
+
+    Those are the outermost articles and mains with a path that passes.  If the
+    best path is in none, the deepest container of most of its text is the
+    content; if only the body is one, its text outside div and section is.
+    """
+    best = max(ranks.values())
+    chosen: set[int] = set()
+    held: dict[int, list[float]] = {}  # by container: depth, text of the best path
+    total = 0.0
+    for path, _, text, elements in nodes:
+        content = next((k for t, k in zip(path, elements) if t in CONTENT), None)
+        if content is not None:
+            if ranks[path] >= CUT * best:
+                chosen.add(content)
+        elif ranks[path] == best:
+            length = len(text.strip())
+            total += length
+            for depth, (t, k) in enumerate(zip(path, elements)):
+                if t in CONTAINERS and (t != "td" or depth < len(path) - 1):
+                    held.setdefault(k, [depth, 0.0])[1] += length
+    most = [(depth, k) for k, (depth, length) in held.items() if length > MOST * total]
+    if most:
+        chosen.add(max(most)[1])
+    return chosen, total > 0 and not most
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: content blocks in page order, white space collapsed, joined by one newline."""
     parser = TextNodes()
@@ -149,12 +204,14 @@ def main_text(html: str | None) -> str:
     if not nodes:
         return ""
     fused = path_ratios(nodes)
-    ranks = {path: fused.get(path, 0.0) for path, _, _ in nodes}
+    ranks = {path: fused.get(path, 0.0) for path, _, _, _ in nodes}
     best = max(ranks.values())
+    chosen, in_body = content_elements(nodes, ranks)
     blocks: dict[int, list[str]] = {}
-    for path, block, text in parser.nodes:
+    for path, block, text, elements in parser.nodes:
         # text right under html or body, or in a page without tags, has no path to judge by but its own
-        if best == 0.0 or ranks.get(path, fused.get(path, 0.0)) >= CUT * best:
+        if (best == 0.0 or ranks.get(path, fused.get(path, 0.0)) >= CUT * best or not chosen.isdisjoint(elements)
+                or in_body and "div" not in path and "section" not in path):
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)

@@ -268,6 +268,26 @@ def test_html(spark):
     assert out == ordered([(1, first, len(first)), (2, "", 0), (None, "", 0), (3, "just text", 9), (3, "cut &am", 7)])
 
 
+def test_html_keeps_all_of_the_article():
+    par = "A long sentence of the article, with some marks, that goes on and on, until it ends. " * 4
+    lines = [f"Par {k}. {par}".strip() for k in range(5)]
+    pars = "".join(f"<p>{x}</p>" for x in lines)
+    cells = [f"cell {k:05d}" for k in range(5)]
+    items = [f"item {k:05d}" for k in range(60)]
+    table = "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in cells) + "</table>"
+    list_ = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    nav = "<nav><a>Home</a></nav><div class='site-footer'>Imprint of the site.</div><div id='related-posts'><p>Read this, too.</p></div>"
+    want = "\n".join(["Head", *lines, *cells, *items])
+    for begin, end in (("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<div class='content with-sidebar'>", "</div>"),
+                       ("<div class='no-sidebar'><div>", "</div></div>"), ("", ""), ("<article class='post'><section>", "</section></article>")):
+        page = f"<html><body>{nav}{begin}<h1>Head</h1>{pars}{table}{list_}{end}{nav}</body></html>"
+        assert html_extract.main_text(page) == want, begin
+    for name in ("ad", "ads ad-300", "left-sidebar", "comments-list", "cookie_banner", "social-links"):
+        assert html_extract._names_other(name)
+    for name in ("content with-sidebar", "no-sidebar", "social-science", "menu-recipe", "has-sidebar-left", ""):
+        assert not html_extract._names_other(name)
+
+
 def test_lm_scoring(make_docs, odd_rows):
     from pyspark.sql import functions as F
     low = lambda t: [bytes(x).lower() for x in words(t)]  # noqa: E731  ASCII letters only: bytes.lower
