@@ -331,6 +331,27 @@ def test_spelling_adds_up():
     assert begin < 1.0 and tree.score(pa.array(["ab"]))[0] > tree.score(pa.array(["ba"]))[0]
 
 
+def test_spelling_tree_is_never_cut(spark, make_docs, odd_rows):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    train = F.col("doc_id") % 2 == 1
+    scores = [rows_of(lm_scoring.score(make_docs(odd_rows), train, hot=hot).withColumn("s", F.round("score", 6)), "doc_id", "s") for hot in (0, 20, 10 ** 6)]
+    assert scores[0] == scores[1] == scores[2]
+    # the table's probabilities are those of the tree in memory, built from all contexts that pass
+    texts = sorted({f"{a}{b}{c}" for a in ("lo", "mi", "x") for b in "klmnopqr" for c in ("ta", "te", "u", "")})
+    symbol, contexts, longest, size = lm_scoring.symbols(pa.array(texts))
+    n = Counter(int(e) for d in range(lm_scoring.DEPTH + 1) for e in lm_scoring._entry(d, contexts[d][longest >= d], symbol[longest >= d]))
+    kept, entries = lm_scoring.grow_tree(spark.createDataFrame(list(n.items()), "entry long, n long"), 2.0)
+    assert {r.state for r in kept.collect()} == {r.entry >> 8 for r in entries.collect()} and 1 < kept.count() < len({e >> 8 for e in n})
+    tree = lm_scoring.SuffixTree(*[np.array(x) for x in zip(*[(r.entry, r.n) for r in entries.collect()])])
+    asked = pa.array(["lokta", "mirte", "zz", "lo", "xku", "ÄÖ"])
+    entry, size = lm_scoring._spellings(asked)
+    spellings = spark.createDataFrame([(int(e), 1) for e in set(entry.tolist())], "key long, c long")
+    found = {r.key: r.log_p for r in lm_scoring.spelling_probabilities(spellings, kept, entries).collect()}
+    got = np.add.reduceat(np.array([found[e] for e in entry.tolist()]), np.cumsum(size) - size)
+    assert np.allclose(got, tree.score(asked))
+
+
 def test_empty_tables(spark, make_docs):
     docs = make_docs([])
     labels = spark.createDataFrame([], "doc_id long, quality int")
