@@ -53,7 +53,7 @@ STAGES = [
     ("token-ID / binary output", tokens),
 ]
 
-#: The classifier cannot be stated in SQL; the tests hold run() against a plain Python version.
+#: The classifier cannot be stated in SQL; tests/llm/test_pipeline.py holds the stages and run() against plain Python (the classifier against its scores).
 ORACLE_SQL = None
 
 
