@@ -10,14 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from deliverix.llm import (
+    centroid_clusters,
     classifier,
     decontamination,
+    fill_in_middle,
     html_extract,
     jaccard_join,
     line_dedup,
     lm_scoring,
     mixing,
     quality_rules,
+    secret_scan,
     substring_dedup,
     token_output,
 )
@@ -57,6 +60,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": _on(classifier.query, "documents", "labels"),
     "op9_html_extraction": _on(html_extract.query, "pages"),
     "op10_lm_scoring": _on(lm_scoring.query, "documents"),
+    "op11_fill_in_middle": _on(fill_in_middle.query, "documents"),
+    "op12_secret_scan": _on(secret_scan.query, "documents"),
+    "op13_centroid_clusters": _on(centroid_clusters.query, "embeddings"),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -64,4 +70,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.SQL,
     "op6_quality_rules": quality_rules.SQL,
     "op7_decontamination": decontamination.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
+    "op12_secret_scan": secret_scan.SQL,
+    "op13_centroid_clusters": centroid_clusters.SQL,
 }
