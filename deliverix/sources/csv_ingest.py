@@ -1,11 +1,12 @@
 """Raw CSV exports -> typed Parquet tables, bad rows quarantined.
 
-The reference loads with automatic type sniffing and silently drops rows
-that do not parse.  Here every table has a fixed schema, rows are parsed in
-PERMISSIVE mode with a corrupt-record column, and the parsed result is
-written once (a materialized table, so the split below does not re-parse
-and survives executor loss).  Good rows become the table; bad rows go to a
-quarantine folder and are counted.
+The reference loads with automatic detection and silently drops rows that do
+not parse.  Here a bounded sample gives the dialect and the header
+(:mod:`csv_sniff`), which are held against the table's fixed schema; rows are
+parsed in PERMISSIVE mode with a corrupt-record column and written once, good
+and bad ones apart by a partition column, while an observation counts them.
+Files whose quoted fields hold line breaks are read by many tasks
+(:mod:`csv_records`).
 """
 
 from __future__ import annotations
@@ -13,14 +14,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from deliverix.sources.csv_records import parsed, read_lines, records
+from deliverix.sources.csv_sniff import Sample, SchemaDifference, compare, file_schema, sniff
 from deliverix.sources.schemas import RAW_FILES
 from deliverix.sources.tables import MarketTables
 
 CORRUPT = "_corrupt_record"
+#: Partition column of an ingested table: good or bad.
+STATE = "ingest_state"
+TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -51,16 +57,28 @@ def resolve_inputs(spark: SparkSession, data_dir: str, files: dict | None = None
     return found
 
 
-def read_csv_permissive(spark: SparkSession, path: str, schema: StructType, multiline: bool = False) -> DataFrame:
-    with_corrupt = StructType(list(schema.fields) + [StructField(CORRUPT, StringType(), True)])
-    return (spark.read.schema(with_corrupt)
-            .option("header", True)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .option("multiLine", multiline)
-            .option("escape", '"')
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-            .csv(path))
+def with_corrupt(schema: StructType) -> StructType:
+    return StructType(list(schema.fields) + [StructField(CORRUPT, StringType(), True)])
+
+
+def parse_options(delimiter: str = ",", quote: str = '"') -> dict[str, str]:
+    return {"sep": delimiter, "quote": quote, "escape": quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+            "timestampNTZFormat": TIMESTAMP_FORMAT}
+
+
+def read_csv_permissive(spark: SparkSession, path: str, schema: StructType, multiline: bool = False, sample: Sample | None = None) -> DataFrame:
+    """All rows of the files at ``path`` with the columns of ``schema`` and the corrupt-record column.
+
+    With a ``sample`` its dialect and the order of its header hold.  ``multiline``:
+    quoted fields may hold line breaks (kept as they are in the file).
+    """
+    own = schema if sample is None else file_schema(sample, schema)
+    options = parse_options() if sample is None else parse_options(sample.delimiter, sample.quote)
+    if multiline:
+        rows = parsed(records(read_lines(spark, path), options["sep"], options["quote"]), with_corrupt(own), options | {"multiLine": "true"})
+    else:
+        rows = spark.read.schema(with_corrupt(own)).options(**options).option("header", True).csv(path)
+    return rows if own is schema else rows.select(*schema.names, CORRUPT)
 
 
 @dataclass(frozen=True)
@@ -73,31 +91,53 @@ class IngestResult:
 ORDER_KEYED = ("orders", "items", "reviews")
 
 
+def detect(spark: SparkSession, path: str, schema: StructType) -> Sample | None:
+    """The sample of ``path``; raises if columns of ``schema`` are renamed, missing or of another type in it.
+
+    Other orders and more columns are no error: the header's order is read.
+    """
+    sample = sniff(spark, path)
+    wrong = [] if sample is None else [d for d in compare(sample, schema) if d.kind not in ("reordered", "extra")]
+    if wrong:
+        raise SchemaDifference(path, wrong)
+    return sample
+
+
 def _ingest_one(spark: SparkSession, table: str, path: str, schema: StructType, out_dir: str,
-                multiline: bool, buckets: int | None = None, table_prefix: str = "deliverix") -> DataFrame:
-    parsed_path = f"{out_dir}/_parsed/{table}"
-    read_csv_permissive(spark, path, schema, multiline=multiline).write.mode("overwrite").parquet(parsed_path)
-    parsed = spark.read.parquet(parsed_path)
-    good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+                multiline: bool, buckets: int | None = None, table_prefix: str = "deliverix") -> tuple[DataFrame, int, int]:
+    """The good rows of the written table and the numbers of good and bad rows."""
+    rows = read_csv_permissive(spark, path, schema, multiline, detect(spark, path, schema))
+    good = F.col(CORRUPT).isNull()
+    counted = Observation(f"ingest {table}")
+    rows = rows.withColumn(STATE, F.when(good, "good").otherwise("bad"))
+    rows = rows.observe(counted, F.count_if(good).alias("good_rows"), F.count_if(~good).alias("bad_rows"))
+    target = f"{out_dir}/{table}"
     if buckets and table in ORDER_KEYED:
         # co-located by order: later joins on order_id between these tables
         # read matching buckets instead of shuffling the line table
-        (good.write.mode("overwrite").bucketBy(buckets, "order_id").sortBy("order_id")
-         .option("path", f"{out_dir}/{table}").saveAsTable(f"{table_prefix}_{table}"))
+        (rows.write.mode("overwrite").partitionBy(STATE).bucketBy(buckets, "order_id").sortBy("order_id")
+         .option("path", target).saveAsTable(f"{table_prefix}_{table}"))
+        written = spark.table(f"{table_prefix}_{table}")
     else:
-        good.write.mode("overwrite").parquet(f"{out_dir}/{table}")
-    parsed.where(F.col(CORRUPT).isNotNull()).write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{table}")
-    return parsed.agg(
-        F.count_if(F.col(CORRUPT).isNull()).alias("good_rows"),
-        F.count_if(F.col(CORRUPT).isNotNull()).alias("bad_rows"),
-    ).select(F.lit(table).alias("table_name"), "good_rows", "bad_rows")
+        rows.write.mode("overwrite").partitionBy(STATE).parquet(target)
+        written = spark.read.schema(rows.schema).parquet(target)
+    (written.where(F.col(STATE) == "bad").drop(STATE)  # reads the partition of bad rows only
+     .write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{table}"))
+    counts = counted.get
+    return good_rows(written), counts["good_rows"], counts["bad_rows"]
+
+
+def good_rows(written: DataFrame) -> DataFrame:
+    """The rows of an ingested table that parsed, without the columns of the ingest."""
+    return written.where(F.col(STATE) == "good").drop(STATE, CORRUPT)
 
 
 def ingest_csv(spark: SparkSession, data_dir: str, out_dir: str, files: dict | None = None,
                multiline_tables: tuple[str, ...] = ("reviews",), parallel: int = 4,
                order_buckets: int | None = None, table_prefix: str = "deliverix") -> IngestResult:
-    """Parse every raw CSV once, write good rows to ``out_dir/<table>`` and bad ones to
-    ``out_dir/_quarantine/<table>``; return the written tables and per-table counts.
+    """Parse and write every raw CSV once to ``out_dir/<table>``, good and bad rows in partitions
+    of their own (bad ones also in ``out_dir/_quarantine/<table>``); return the good rows as tables
+    and the counts per table.
 
     Tables are independent, so up to ``parallel`` of them are ingested as
     concurrent Spark jobs; overwrite mode keeps every step idempotent.  With
@@ -111,14 +151,9 @@ def ingest_csv(spark: SparkSession, data_dir: str, out_dir: str, files: dict | N
         futures = {table: pool.submit(_ingest_one, spark, table, path, files[table][1], out_dir,
                                       table in multiline_tables, order_buckets, table_prefix)
                    for table, path in paths.items()}
-        counts = [futures[t].result() for t in paths]
-    tables = {table: (spark.table(f"{table_prefix}_{table}") if order_buckets and table in ORDER_KEYED
-                      else spark.read.parquet(f"{out_dir}/{table}"))
-              for table in paths}
-    total = counts[0]
-    for c in counts[1:]:
-        total = total.unionByName(c)
-    return IngestResult(tables=tables, counts=total)
+        done = {table: f.result() for table, f in futures.items()}
+    counts = spark.createDataFrame([(table, good, bad) for table, (_, good, bad) in done.items()], "table_name string, good_rows long, bad_rows long")
+    return IngestResult(tables={table: rows for table, (rows, _, _) in done.items()}, counts=counts)
 
 
 def market_tables(result: IngestResult) -> MarketTables:
@@ -144,7 +179,7 @@ def export_raw_csv(tables: MarketTables, geo: DataFrame | None, out_dir: str, fi
                 for f in schema.fields]
         path = f"{out_dir.rstrip('/')}/{names[0]}"
         (df.select(*cols).write.mode("overwrite").option("header", True)
-         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+         .option("timestampFormat", TIMESTAMP_FORMAT).csv(path))
         return path
 
     with ThreadPoolExecutor(max_workers=4) as pool:

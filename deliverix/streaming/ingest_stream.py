@@ -19,9 +19,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
 
-from deliverix.sources.csv_ingest import CORRUPT
+from deliverix.sources.csv_ingest import CORRUPT, STATE, good_rows, parse_options, with_corrupt
+from deliverix.sources.csv_records import parsed, ranged, records
 from deliverix.sources.schemas import RAW_FILES
 from deliverix.sources.tables import MarketTables
 
@@ -47,18 +47,20 @@ def start_ingest_stream(spark: SparkSession, landing_dir: str, table: str, out_d
                         multiline: bool | None = None) -> StreamingQuery:
     """Start the ingest stream of one raw table (CSV files with a header)."""
     schema = RAW_FILES[table][1]
-    with_corrupt = StructType(list(schema.fields) + [StructField(CORRUPT, StringType(), True)])
-    stream = (spark.readStream.schema(with_corrupt)
-              .option("header", True)
-              .option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", CORRUPT)
-              .option("multiLine", table == "reviews" if multiline is None else multiline)
-              .option("escape", '"')
-              .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-              .csv(landing_dir))
+    if table == "reviews" if multiline is None else multiline:
+        # lines with their byte ranges; records are put together in the batch, by many tasks
+        stream = ranged(spark.readStream.option("lineSep", "\n").text(landing_dir))
+
+        def rows(batch: DataFrame) -> DataFrame:
+            return parsed(records(batch), with_corrupt(schema), parse_options() | {"multiLine": "true"})
+    else:
+        stream = spark.readStream.schema(with_corrupt(schema)).options(**parse_options()).option("header", True).csv(landing_dir)
+
+        def rows(batch: DataFrame) -> DataFrame:
+            return batch
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, batch_id, out_dir, table)
+        write_batch(rows(batch), batch_id, out_dir, table)
         if on_batch is not None:
             on_batch(batch_id)
 
@@ -71,6 +73,9 @@ def start_ingest_stream(spark: SparkSession, landing_dir: str, table: str, out_d
 
 def tables_from_parquet(spark: SparkSession, out_dir: str) -> MarketTables:
     """The canonical tables written by the ingest (batch or streaming)."""
-    t = {name: spark.read.parquet(f"{out_dir}/{name}").drop(BATCH) for name in
-         ("orders", "customers", "items", "products", "translations", "sellers", "reviews")}
+    def read(name: str) -> DataFrame:
+        rows = spark.read.parquet(f"{out_dir}/{name}")
+        return good_rows(rows) if STATE in rows.columns else rows.drop(BATCH)
+
+    t = {name: read(name) for name in ("orders", "customers", "items", "products", "translations", "sellers", "reviews")}
     return MarketTables(**t, regions=t["customers"].select(F.col("customer_state").alias("region_code")).distinct())
