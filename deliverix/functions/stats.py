@@ -45,43 +45,58 @@ def exact_pearson_r(x: Column, y: Column, x_scale: int, y_scale: int) -> Column:
     return F.try_divide(num, F.sqrt(dx * dy))
 
 
-def student_t_pvalue(r: Column, n: Column) -> Column:
-    """Two-sided p-value of a Pearson r from n pairs, as a JVM expression.
+def _gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a) for a >= 1/2, to the last digits.
+
+    By Gamma(x + 1) = x Gamma(x) the argument goes up by 32, where the first
+    terms of the asymptotic series are enough.
+    """
+    product = F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(1.0),
+                          lambda acc, i: acc * (a + i) / (a + i + F.lit(0.5)))
+    z = F.lit(1.0) / (a + F.lit(32.0))
+    series = F.lit(0.0)
+    for c in reversed((1.0, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304, 39325 / 33554432)):
+        series = series * z + F.lit(c)
+    return product * F.sqrt(a + F.lit(32.0)) * series
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, terms: Column) -> Column:
+    """The continued fraction of the incomplete beta function, from its last term up."""
+    def step(v: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        even = m * (b - m) * x / ((a + m * 2 - 1) * (a + m * 2))
+        odd = -(a + m) * (a + b + m) * x / ((a + m * 2) * (a + m * 2 + 1))
+        return F.lit(1.0) + F.when(k % 2 == 0, even).otherwise(odd) / v
 
-    For integer degrees of freedom nu = n - 2 the Student t distribution has
-    a finite series in theta = asin|r| (sin theta = |r|, cos^2 theta = 1 - r^2):
+    return F.lit(1.0) / F.aggregate(F.sequence(terms, F.lit(1), F.lit(-1)), F.lit(1.0), step)
 
-    * nu even: P(|T| < t) = sin(theta) * S,
-    * nu odd:  P(|T| < t) = 2/pi * (theta + sin(theta) cos(theta) * S),
 
-    with S = sum_k term_k, term_0 = 1 and term_k = term_(k-1) * cos^2(theta) *
-    (2k-1)/(2k) (even) or (2k)/(2k+1) (odd), summed by ``aggregate`` over
-    ``sequence(1, K)``.  The absolute error grows with the number of terms
-    (about 1e-13 at n = 165), so the result is rounded to 12 decimals; this
-    also hides the last-bit differences of ``asin`` between math libraries.
+def significant(value: Column, digits: int = 12) -> Column:
+    """``value`` rounded to its first digits, whatever its size."""
+    return F.format_string(f"%.{digits - 1}e", value).cast("double")
+
+
+def student_t_pvalue(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a Pearson r from n pairs, as a JVM expression.
+
+    With nu = n - 2 degrees of freedom it is the incomplete beta function I(1 -
+    r^2; nu/2, 1/2), by its continued fraction where that converges fast and as
+    one minus the mirrored one elsewhere; the number of terms grows with the
+    root of nu.  The accuracy is relative (about 1e-13), so that tails far
+    below the rounding of a double near one keep their digits; the result has 12
+    significant digits, which hides the last bits of math libraries.
     """
-    nu = (n - F.lit(2)).cast("int")
-    ar = F.abs(r)
-    c2 = F.lit(1.0) - r * r
-    odd = (nu % 2) == 1
-    k_max = F.when(odd, (nu - 3) / 2).otherwise((nu - 2) / 2).cast("int")
-    ks = F.when(k_max >= 1, F.sequence(F.lit(1), k_max)).otherwise(F.array().cast("array<int>"))
-
-    def step(acc: Column, k: Column) -> Column:
-        two_k = (k * 2).cast("double")
-        ratio = F.when(odd, two_k / (two_k + F.lit(1.0))).otherwise((two_k - F.lit(1.0)) / two_k)
-        term = acc["term"] * c2 * ratio
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    init = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    total = F.aggregate(ks, init, step, lambda acc: acc["total"])
-    a_odd = ((F.asin(ar) + F.when(nu >= 3, ar * F.sqrt(c2) * total).otherwise(F.lit(0.0)))
-             * F.lit(2.0) / F.lit(math.pi))
-    a_even = ar * total
-    p = F.lit(1.0) - F.when(odd, a_odd).otherwise(a_even)
+    nu = (n - F.lit(2)).cast("double")
+    a, half, ar = nu / 2, F.lit(0.5), F.abs(r)
+    x = (F.lit(1.0) - ar) * (F.lit(1.0) + ar)
+    terms = (F.lit(60) + F.ceil(F.sqrt(nu)) * 4).cast("int")
+    front = F.exp(a * F.log(x)) * ar * _gamma_ratio(a) / F.lit(math.sqrt(math.pi))
+    p = F.when(x < (a + 1) / (a + F.lit(2.5)), front / a * _beta_fraction(a, half, x, terms)).otherwise(
+        F.lit(1.0) - front * 2 * _beta_fraction(half, a, ar * ar, terms))
     return (F.when(r.isNull() | (n < 3), F.lit(None).cast("double"))
             .when(ar >= 1.0, F.lit(0.0))
-            .otherwise(F.round(p * F.lit(1e12), 0) / F.lit(1e12)))
+            .when(ar == 0.0, F.lit(1.0))
+            .otherwise(significant(p)))
 
 
 def _betacf(a: float, b: float, x: float) -> float:

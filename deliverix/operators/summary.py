@@ -45,10 +45,11 @@ def summary_metrics(one_row_frames: list[DataFrame], exclude: tuple[str, ...] =
 
 
 def number_text(value: F.Column) -> F.Column:
-    """A number as plain text: at most 12 decimals, no exponent, no zeros at the end."""
+    """A number as plain text with at most 12 decimals; below 1e-6 with its first 12 digits and an exponent.  No zeros at the end."""
     plain = value.cast("decimal(38,12)").cast("string")
     plain = F.regexp_replace(F.regexp_replace(plain, "0+$", ""), "\\.$", "")
-    return F.when(value.isNotNull(), plain)
+    tiny = F.regexp_replace(F.regexp_replace(F.format_string("%.11e", value), "0+e", "e"), "\\.e", "e")
+    return F.when(value.isNotNull(), F.when((value != 0) & (F.abs(value) < 1e-6), tiny).otherwise(plain))
 
 
 def summary_map(summary: DataFrame) -> DataFrame:

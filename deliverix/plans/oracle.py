@@ -335,23 +335,28 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
     ratio_k = ("(CASE WHEN odd THEN CAST(2 * k AS DOUBLE) / (CAST(2 * k AS DOUBLE) + 1.0::DOUBLE) "
                "ELSE (CAST(2 * k AS DOUBLE) - 1.0::DOUBLE) / CAST(2 * k AS DOUBLE) END)")
     step = step.replace("ratio_k", ratio_k)
+    # Near zero correlation the finite series in the angle, elsewhere the tail as a series of positive
+    # terms (both for whole degrees of freedom): not the continued fraction of the engine.
+    tail_step = ("{'term': acc.term * c2 * (nu - 1 + 2 * k) / CAST(nu + 2 * k AS DOUBLE), "
+                 "'total': acc.total + acc.term * c2 * (nu - 1 + 2 * k) / CAST(nu + 2 * k AS DOUBLE)}")
+    one = "{'term': 1.0::DOUBLE, 'total': 1.0::DOUBLE}"
     corr_p = f"""
         SELECT n_states, state_breach_corr,
                CASE WHEN state_breach_corr IS NULL OR n_states < 3 THEN CAST(NULL AS DOUBLE)
-                    WHEN abs(state_breach_corr) >= 1.0 THEN 0.0::DOUBLE
-                    ELSE round(1.0::DOUBLE - CASE WHEN odd
-                         THEN (asin(abs(state_breach_corr))
-                               + CASE WHEN nu >= 3 THEN abs(state_breach_corr) * sqrt(c2) * total
-                                      ELSE 0.0::DOUBLE END) * 2.0::DOUBLE / pi()
-                         ELSE abs(state_breach_corr) * total END, 12)
+                    WHEN ar >= 1.0 THEN 0.0::DOUBLE
+                    WHEN ar >= 0.1 THEN CAST(format('{{:.11e}}', 2.0::DOUBLE / beta * ar * pow(c2, nu / 2.0::DOUBLE) / nu
+                         * list_reduce(range(1, CAST(ceil(45.0 / (ar * ar)) AS INTEGER)), lambda acc, k: {tail_step}, {one}).total) AS DOUBLE)
+                    ELSE CAST(format('{{:.11e}}', 1.0::DOUBLE - CASE WHEN odd
+                         THEN (asin(ar) + CASE WHEN nu >= 3 THEN ar * sqrt(c2) * total ELSE 0.0::DOUBLE END) * 2.0::DOUBLE / pi()
+                         ELSE ar * total END) AS DOUBLE)
                END AS state_breach_corr_pvalue
-        FROM (SELECT *, list_reduce(CASE WHEN k_max >= 1 THEN range(1, k_max + 1) ELSE [] END,
-                                    lambda acc, k: {step},
-                                    {{'term': 1.0::DOUBLE, 'total': 1.0::DOUBLE}}).total AS total
+        FROM (SELECT *, list_reduce(CASE WHEN k_max >= 1 THEN range(1, k_max + 1) ELSE [] END, lambda acc, k: {step}, {one}).total AS total,
+                     CASE WHEN odd THEN list_reduce(range(1, (nu - 1) // 2 + 1), lambda acc, k: acc * (2 * k - 1) / (2 * k), pi())
+                          ELSE list_reduce(range(1, nu // 2), lambda acc, k: acc * (2 * k) / (2 * k + 1), 2.0::DOUBLE) END AS beta
               FROM (SELECT *, CASE WHEN odd THEN (nu - 3) // 2 ELSE (nu - 2) // 2 END AS k_max
                     FROM (SELECT *, CAST(n_states - 2 AS INTEGER) AS nu,
-                                 (n_states - 2) % 2 = 1 AS odd,
-                                 1.0::DOUBLE - state_breach_corr * state_breach_corr AS c2
+                                 (n_states - 2) % 2 = 1 AS odd, abs(state_breach_corr) AS ar,
+                                 (1.0::DOUBLE - state_breach_corr) * (1.0::DOUBLE + state_breach_corr) AS c2
                           FROM d_corr)))"""
     matrix = ("SELECT cohort_month, "
               + ", ".join(f"max(CASE WHEN month_number = {m} THEN retention_rate_pct END) AS m{m}"
@@ -421,7 +426,9 @@ def derived_ctes(p: Params) -> list[tuple[str, str]]:
             plain = f"CAST(CAST(CAST({name} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,12))"
             parts.append(f"SELECT {pos} AS position, '{name}' AS metric, CAST({name} AS DOUBLE) AS value_num, "
                          f"CAST(NULL AS VARCHAR) AS value_text, "
-                         f"rtrim(rtrim(CAST({plain} AS VARCHAR), '0'), '.') AS value FROM d_metric_row")
+                         f"CASE WHEN {name} <> 0 AND abs({name}) < 1e-6 "
+                         f"THEN regexp_replace(regexp_replace(format('{{:.11e}}', CAST({name} AS DOUBLE)), '0+e', 'e'), '\\.e', 'e') "
+                         f"ELSE rtrim(rtrim(CAST({plain} AS VARCHAR), '0'), '.') END AS value FROM d_metric_row")
     metrics_all = "\n        UNION ALL ".join(parts)
     metrics = "SELECT * FROM d_metrics_all WHERE metric <> 'state_breach_corr_pvalue'"
 

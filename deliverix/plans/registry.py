@@ -37,7 +37,7 @@ JOBS: dict[str, Callable[[Build], DataFrame]] = {
     "otdr_trend": lambda b: b.trend,                                # J19
     "seller_bottom_decile": lambda b: b.bottom,                     # J20
     "state_lead_breach_corr": lambda b: b.state_corr,               # J21
-    "state_lead_breach_pvalue": lambda b: b.state_corr_p,           # J21 (p-value, no SQL oracle)
+    "state_lead_breach_pvalue": lambda b: b.state_corr_p,           # J21 (p-value)
     "retention_matrix": lambda b: b.retention_matrix,               # J22
     "retention_summary": lambda b: b.retention,                     # J23
     "customer_ltv_proxy": lambda b: b.ltv,                          # J24

@@ -106,6 +106,26 @@ def test_student_t_pvalue_expression(spark):
     assert same >= len(cases) - 3
 
 
+def test_pvalue_keeps_its_digits_in_the_tail(spark):
+    import duckdb
+    from deliverix.functions.stats import student_t_pvalue
+    from deliverix.operators.summary import number_text
+    from deliverix.plans.oracle import derived_ctes
+    from deliverix.params import Params
+    cases = [(0.99, 200), (-0.99, 200), (0.95, 60), (0.9, 41), (0.999, 27), (0.7, 300), (0.5, 27), (0.2, 1000), (0.1, 3), (0.9999, 5)]
+    df = spark.createDataFrame(cases, "r double, n long").withColumn("p", student_t_pvalue(F.col("r"), F.col("n")))
+    got = df.withColumn("text", number_text(F.col("p"))).collect()
+    for row in got:
+        assert abs(row.p / pearson_p(row.r, row.n) - 1) < 1e-10
+        assert abs(float(row.text) / row.p - 1) < 1e-5 and (row.p > 1e-6 or float(row.text) == row.p)
+    assert got[0].text.startswith("2.20716300") and got[0].text.endswith("e-170")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d_corr AS SELECT * FROM (VALUES " + ", ".join(f"({n}, {r!r}::DOUBLE)" for r, n in cases) + ") t(n_states, state_breach_corr)")
+    exp = {(r, n): p for n, r, p in con.execute(dict(derived_ctes(Params()))["d_corr_p"]).fetchall()}
+    for row in got:
+        assert abs(exp[row.r, row.n] / row.p - 1) < 1e-11, (row, exp[row.r, row.n])
+
+
 def test_first_by_key_matches_sort(spark):
     from deliverix.functions.rank import first_by_key
     rnd = random.Random(13)
