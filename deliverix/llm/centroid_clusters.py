@@ -67,7 +67,8 @@ def _pack(dim: int, scale: int):
 
 
 def unpacked(column: pa.Array, dim: int) -> np.ndarray:
-    _, off, data = column.cast(pa.large_binary()).buffers()
+    column = column.cast(pa.large_binary())  # of its own offset, not that of a slice it is made from
+    _, off, data = column.buffers()
     off = np.frombuffer(off, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = memoryview(data)[off[0]:off[-1]] if len(column) else b""
     return np.frombuffer(raw, "<i4").reshape(-1, dim).astype(np.int64)

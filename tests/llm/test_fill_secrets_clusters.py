@@ -164,6 +164,15 @@ def odd_vectors(dim, n=300):
     return rows + [(2000 + k, [0.25] * dim) for k in range(60)]  # one common vector, ties everywhere
 
 
+def test_sliced_batches_keep_their_vectors():
+    import pyarrow as pa
+    x = np.arange(60, dtype="<i4").reshape(20, 3)
+    column = pa.array([r.tobytes() for r in x], pa.binary())
+    for at in (0, 7, 19):
+        assert (centroid_clusters.unpacked(column.slice(at, 5), 3) == x[at:at + 5]).all()
+    assert centroid_clusters.unpacked(column.slice(0, 0), 3).shape == (0, 3)
+
+
 def test_centroid_clusters(spark):
     rows = odd_vectors(64)
     got = centroid_clusters.query(vectors(spark, rows)).collect()
