@@ -164,7 +164,8 @@ def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
     """The index: (trigram's number, doc, th, th2) for every text that holds the trigram in either case."""
     low = texts.select(*KEY, F.lower("text").alias("low"))
     held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(k)) for k, t in enumerate(trigrams))))
-    return low.select(*KEY, held.alias("held")).where(F.size("held") > 0).select(F.explode("held").alias("trigram"), *KEY)
+    # outer: for a plain explode Spark adds a filter on the array, which pushes all of its terms below the lower-casing
+    return low.select(*KEY, held.alias("held")).select(F.explode_outer("held").alias("trigram"), *KEY).where(F.col("trigram").isNotNull())
 
 
 def candidates(index: DataFrame, trigrams: list[str], queries: dict[int, Query]) -> DataFrame:
