@@ -4,8 +4,9 @@ Documents are sets of ``SHINGLE``-word shingles; pairs of a Jaccard similarity
 of ``THRESHOLD`` or more are links.
 
 1. Documents with equal sets are one class; its smallest id stands for it.
-2. MinHash values in ``BANDS`` bands of ``ROWS`` give buckets; members of a
-   bucket are joined to its smallest member (never to each other), and the
+2. MinHash values in ``BANDS`` bands of ``ROWS`` give buckets, the smallest
+   member being a bucket's hub; members are joined to one hub and hubs that
+   share a member to each other (never members to members), and the
    components of that graph hold every pair that shares a bucket.  A pair at
    the threshold shares none with probability (1 - 0.8^6)^48 = 5e-7.
 3. Components are compared in blocks of bounded size, each pair of blocks in a
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deliverix.llm.components import connected_components
+from deliverix.llm.components import connected_components, star_edges
 from deliverix.llm.shared import NULL_ID, Prefix, Words, expand, id_key, mix, signed, text_slices, written
 
 SHINGLE = 5
@@ -40,7 +41,10 @@ ROWS = 6
 COMPARED = 128
 STEP = 32
 TOLERANCE = 1e-9
+#: Classes per block: the most, the fewest, and the blocks that a component has before they grow.
 BLOCK = 1024
+LEAST_BLOCK = 128
+BLOCKS = 16
 BLOCK_SHINGLES = 2_000_000
 SEED = 20
 
@@ -236,12 +240,13 @@ def _linked(documents: DataFrame, id_col: str, text_col: str, threshold: float,
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     hubs = written(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub"), "buckets")
-    stars = buckets.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    groups = connected_components(stars.distinct())
+    groups = connected_components(star_edges(buckets.join(hubs, "bucket"), "node", "hub"))
     members = groups.join(classes.select("node", "size", "copies", "sig", "rep.doc", "rep.th"), "node")
     members = written(members, "members")
+    n = F.count(F.lit(1))
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(min(LEAST_BLOCK, BLOCK)), F.ceil(n / BLOCKS)))
     weights = members.groupBy("label").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
+        F.greatest(F.ceil(n / block), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
     members = members.join(written(weights, "blocks"), "label").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sets = docs.join(members, ["doc", "th"]).select("node", "label", "copies", "sig", "block", "blocks", "text").mapInArrow(
