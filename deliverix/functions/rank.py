@@ -1,19 +1,55 @@
 """Ranks that stay distributed.
 
-A window without PARTITION BY moves every row into one task. The percent rank
-and the codes below rank the *distinct values* instead and join the rank back,
-so the single-task step only ever sees one row per distinct value;
-:func:`first_by_key` orders only the one key range in which the cut lies.
+A window without PARTITION BY moves every row into one task.  Here values are
+cut into ranges of about equal numbers at splitters sampled from the data
+(:func:`with_ranges`); ranges are ordered in tasks of their own and get the
+number of rows before them from the counts per range, a few thousand rows.
+:func:`first_by_key` orders only the one range in which the cut lies.
+Nothing runs before a result is read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from deliverix.functions.joins import cross_one_row
 
+#: Ranges that values are cut into.
+RANGES = 4096
+#: Rows of a range that one task may order when a cut is looked for; larger ones are cut again.
+BOUND = 1_000_000
+_BUCKETS = 1 << 30
+
+
+def _splitters(df: DataFrame, key: str, ranges: int) -> DataFrame:
+    """One row: about ``ranges`` different keys in order (all, if there are fewer), chosen by their hashes.
+
+    The choice depends on the keys alone, not on how they are partitioned, and
+    keeps up with any distribution: each range between two splitters is expected
+    to hold the same number of keys.
+    """
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    kept = F.pmod(F.xxhash64(F.lit(17), key), F.lit(_BUCKETS)).cast("double") * F.col("_n").cast("double") <= F.lit(float(ranges) * _BUCKETS)
+    return cross_one_row(df.select(key), n).where(kept).agg(F.array_sort(F.collect_set(key)).alias("_splitters"))
+
+
+def with_ranges(df: DataFrame, key: str, ranges: int = RANGES, of: str = "_range") -> DataFrame:
+    """Adds ``of``, the number of splitters up to a row's key; it never decreases with the key.
+
+    Splitters are looked up in two steps of about the root of their number.
+    """
+    wide = max(1, round(ranges ** 0.5))
+    cut = _splitters(df, key, ranges).select(
+        "_splitters", F.transform(F.sequence(F.lit(0), F.floor(F.size("_splitters") / wide).cast("int")),
+                                  lambda i: F.slice("_splitters", i * wide + 1, F.lit(wide))).alias("_slices"))
+    cut = cut.select("_slices", F.transform(F.filter("_slices", lambda s: F.size(s) == wide), lambda s: F.element_at(s, -1)).alias("_last"))
+    rows = cross_one_row(df, cut)
+    coarse = F.size(F.filter("_last", lambda s: s <= F.col(key)))
+    rows = rows.withColumn("_coarse", coarse)
+    fine = F.size(F.filter(F.get("_slices", F.col("_coarse")), lambda s: s <= F.col(key)))
+    return rows.withColumn(of, (F.col("_coarse") * wide + F.coalesce(fine, F.lit(0))).cast("int")).drop("_slices", "_last", "_coarse")
+
 
 def avg_pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Percent rank with ties sharing their average rank (pandas ``rank(pct=True)``).
@@ -21,14 +57,17 @@ def avg_pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     pct = (rows below + (ties + 1) / 2) / non-null rows; NULL values get NULL.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_ties"))
-    below = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy()
-    counts = counts.select(
+    counts = with_ranges(counts, value)
+    per = counts.groupBy("_range").agg(F.sum("_ties").alias("_rows"))
+    per = per.select("_range", F.coalesce(F.sum("_rows").over(_before("_range")), F.lit(0)).alias("_offset"),
+                     F.sum("_rows").over(Window.partitionBy()).alias("_all"))
+    below = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.join(F.broadcast(per), "_range").select(
         value,
         (
-            (F.coalesce(F.sum("_ties").over(below), F.lit(0)).cast("double")
+            ((F.col("_offset") + F.coalesce(F.sum("_ties").over(below), F.lit(0))).cast("double")
              + (F.col("_ties").cast("double") + F.lit(1.0)) / F.lit(2.0))
-            / F.sum("_ties").over(total).cast("double")
+            / F.col("_all").cast("double")
         ).alias(out),
     )
     return df.join(counts, on=value, how="left")
@@ -36,46 +75,42 @@ def avg_pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def dense_code(df: DataFrame, value: str, out: str) -> DataFrame:
     """0-based alphabetical code of ``value`` (pandas category codes)."""
-    codes = df.select(value).where(F.col(value).isNotNull()).distinct()
-    codes = codes.select(value, (F.dense_rank().over(Window.orderBy(value)) - 1).cast("bigint").alias(out))
+    codes = with_ranges(df.select(value).where(F.col(value).isNotNull()).distinct(), value)
+    per = codes.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    per = per.select("_range", F.coalesce(F.sum("_rows").over(_before("_range")), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(value)) - 1
+    codes = codes.join(F.broadcast(per), "_range").select(value, (F.col("_offset") + place).cast("bigint").alias(out))
     return df.join(codes, on=value, how="left")
 
 
-def _key_range(df: DataFrame, key: str, ranges: int) -> DataFrame:
-    """Adds ``_range``, a coarse value that never decreases with ``key``.
+def _before(key: str) -> Window:
+    """All earlier ranges: a window over one row per range."""
+    return Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
 
-    Numbers fall into equal widths between the smallest and the largest key;
-    texts are cut three characters after what the smallest and the largest share.
-    """
-    k = F.col(key)
-    ends = df.agg(F.min(k).alias("_lo"), F.max(k).alias("_hi"))
-    if isinstance(df.schema[key].dataType, NumericType):
-        lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
-        width = F.greatest((hi - lo) / F.lit(float(ranges)), F.lit(1e-9))
-        value = F.floor((k.cast("double") - lo) / width)
-    else:
-        same = F.filter(F.sequence(F.lit(0), F.length("_lo")),
-                        lambda i: F.col("_lo").substr(F.lit(1), i) == F.col("_hi").substr(F.lit(1), i))
-        ends = ends.select((F.array_max(same) + 3).alias("_lo"), "_hi")
-        value = k.substr(F.lit(1), F.col("_lo"))
-    return cross_one_row(df, ends).withColumn("_range", value).drop("_lo", "_hi")
-
-
-def first_by_key(df: DataFrame, key: str, take: Column, ranges: int = 4096) -> DataFrame:
+
+def _cut(rows: DataFrame, key: str, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_left`` (how many of them are wanted) to those in ranges taken whole, and those of the range with the cut."""
+    rows = with_ranges(rows, key, ranges)
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_in_range"), F.first("_left").alias("_wanted"))
+    counts = counts.select("_range", "_in_range", (F.col("_wanted") - F.coalesce(F.sum("_in_range").over(_before("_range")), F.lit(0))).alias("_still"))
+    rows = rows.drop("_left").join(F.broadcast(counts.where(F.col("_still") > 0)), on="_range", how="inner")
+    whole = rows.where(F.col("_in_range") <= F.col("_still")).drop("_range", "_in_range", "_still")
+    cut = rows.where(F.col("_in_range") > F.col("_still")).withColumnRenamed("_still", "_left").drop("_range")
+    return whole, cut
+
+
+def first_by_key(df: DataFrame, key: str, take: Column, ranges: int = RANGES, bound: int = BOUND) -> DataFrame:
     """The ``take`` rows with the smallest ``key`` (unique, not null); ``take`` is the same on all rows.
 
-    Counts per key range (at most one row per range) say which ranges are taken
-    whole; only the range in which the cut lies is ordered row by row.  Nothing
-    runs before the result is read.
+    Counts per range say which ranges are taken whole.  The range in which the
+    cut lies is cut again at splitters of its own if it holds more than ``bound`` rows,
+    twice at most, so that after ranges of N / ``ranges`` rows those of N /
+    ``ranges`` squared are ordered row by row, whatever the keys look like.
     """
-    rows = _key_range(df, key, ranges)
-    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_in_range"), F.first(take).alias("_take_all"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_range", "_in_range", (F.col("_take_all") - F.coalesce(F.sum("_in_range").over(before), F.lit(0))).alias("_left"))
-    counts = counts.where(F.col("_left") > 0)
-    rows = rows.join(F.broadcast(counts), on="_range", how="inner")
-    whole = rows.where(F.col("_in_range") <= F.col("_left"))
-    inside = Window.partitionBy("_range").orderBy(key)
-    cut = (rows.where(F.col("_in_range") > F.col("_left")).withColumn("_rn", F.row_number().over(inside))
-           .where(F.col("_rn") <= F.col("_left")))
-    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+    whole, cut = _cut(df.withColumn("_left", take.cast("long")), key, ranges)
+    small, large = cut.where(F.col("_in_range") <= bound), cut.where(F.col("_in_range") > bound)
+    more, rest = _cut(large.drop("_in_range"), key, ranges)
+    last = small.drop("_in_range").unionByName(rest.drop("_in_range"))  # one of them is empty
+    ordered = last.withColumn("_rn", F.row_number().over(Window.partitionBy("_left").orderBy(key))).where(F.col("_rn") <= F.col("_left"))
+    out = [part.select(*df.columns) for part in (whole, more, ordered)]
+    return out[0].unionByName(out[1]).unionByName(out[2])

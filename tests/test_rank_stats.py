@@ -139,6 +139,42 @@ def test_first_by_key_matches_sort(spark):
     assert first_by_key(df.where("k < 0"), "k", F.lit(3)).collect() == []
 
 
+def test_ranges_follow_the_data(spark):
+    """One huge key, or texts that share a long prefix, do not fill one range."""
+    from deliverix.functions.rank import first_by_key, with_ranges
+    rnd = random.Random(14)
+    shared = "seller/2018/" + "x" * 40
+    cases = {"long": [10 ** 17] + rnd.sample(range(10 ** 6), 6000), "string": [shared + f"{x:08d}" for x in rnd.sample(range(10 ** 6), 6000)] + ["", "a"],
+             "double": [rnd.expovariate(1) ** 8 for _ in range(6000)] + [float("inf"), -0.0]}
+    for kind, keys in cases.items():
+        df = spark.createDataFrame([(k,) for k in keys], f"k {kind}").repartition(5)
+        per = [r["count"] for r in with_ranges(df, "k", 256).groupBy("_range").count().collect()]
+        assert sum(per) == len(keys) and max(per) <= 12 * len(keys) / 256 and len(per) > 200, (kind, max(per), len(per))
+        rows = sorted((r._range, r.k) for r in with_ranges(df, "k", 256).collect())
+        assert [k for _, k in rows] == sorted(keys)  # ranges are in the order of the keys
+        for take in (0, 1777, len(keys) + 3):
+            for bound in (10 ** 6, 1):  # the range of the cut as it is, or cut again
+                got = sorted(r.k for r in first_by_key(df, "k", F.lit(take), ranges=64, bound=bound).collect())
+                assert got == sorted(keys)[:take], (kind, take, bound)
+
+
+def test_ranks_without_a_single_task(spark):
+    from deliverix.functions.rank import avg_pct_rank, dense_code
+    rnd = random.Random(15)
+    values = [round(rnd.uniform(0, 500), 2) for _ in range(4000)] + [None] * 10
+    df = spark.createDataFrame([(i, v, None if v is None else f"c{v:.1f}") for i, v in enumerate(values)], "i int, v double, s string")
+    got = {r.i: r.p for r in avg_pct_rank(df, "v", "p").collect()}
+    want = pd.Series(values).rank(pct=True)
+    assert all((got[i] is None and math.isnan(w)) or got[i] == w for i, w in enumerate(want))
+    codes = {r.i: r.c for r in dense_code(df, "s", "c").collect()}
+    cat = pd.Series([None if v is None else f"c{v:.1f}" for v in values]).astype("category").cat.codes
+    assert all(codes[i] == (None if c < 0 else c) for i, c in enumerate(cat))
+    for out in (avg_pct_rank(df, "v", "p"), dense_code(df, "s", "c")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and all("windowspecdefinition(_range" in w or "sum(_rows" in w for w in windows)  # over one row per range, or inside a range
+
+
 def test_bottom_sellers_run_nothing_while_planned(spark, monkeypatch):
     from pyspark.sql import DataFrame
     df = spark.createDataFrame([("a", 1.0, 5, 1.0), ("b", 1.0, 5, 1.0)],
