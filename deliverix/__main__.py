@@ -24,6 +24,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--materialize", default="table", choices=["table", "persist", "checkpoint", "none"])
     ap.add_argument("--order-buckets", type=int, default=None, help="bucket order-keyed tables at ingest")
     ap.add_argument("--min-clean-rows", type=int, default=Params().min_clean_rows)
+    ap.add_argument("--publish", action="store_true", help="export to a new numbered version with a manifest instead of in place")
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
 
@@ -42,8 +43,13 @@ def main(argv: list[str] | None = None) -> int:
         tables = csv_ingest.market_tables(res)
     b = Build(spark, tables, Params(min_clean_rows=args.min_clean_rows), materialize=args.materialize)
     b.check_gates([*STRUCTURAL_GATES, "orders_clean_min_rows"])
-    manifest = b.export(f"{args.out}/kpi")
-    print(json.dumps({"exported": {r.table_name: r.rows for r in manifest.collect()}}))
+    if args.publish:
+        from deliverix.sources.published import Published
+        version = b.publish(f"{args.out}/kpi")
+        print(json.dumps({"version": version, "exported": Published(spark, f"{args.out}/kpi", version).rows}))
+    else:
+        manifest = b.export(f"{args.out}/kpi")
+        print(json.dumps({"exported": {r.table_name: r.rows for r in manifest.collect()}}))
     spark.stop()
     return 0
 

@@ -422,6 +422,20 @@ class Build:
             sinks.validation_report(self.validation, self.status_distribution, self.review_distribution), out_dir)
         return sinks.read_back_counts(self.spark, out_dir, list(frames), fmt, ("schema_validation",))
 
+    def publish(self, out_dir: str, fmt: str = "csv") -> int:
+        """Export to a new version under ``out_dir`` and commit it in one step; returns the version.
+
+        A failed export leaves the version before as it is and the one that
+        readers (:class:`deliverix.sources.published.Published`) follow."""
+        from deliverix.sources import published, sinks
+
+        def write(folder: str) -> DataFrame:
+            sinks.write_frame(self.validation, f"{folder}/validation", fmt)
+            return self.export(folder, fmt).unionByName(sinks.read_back_counts(self.spark, folder, ["validation"], fmt))
+
+        schemas = {name: df.schema for name, df in self.export_frames().items()} | {"validation": self.validation.schema}
+        return published.publish(self.spark, out_dir, write, schemas, fmt)
+
 
 _CACHE: dict[tuple[int, str], Build] = {}
 _LOCK = threading.Lock()
