@@ -40,6 +40,17 @@ REQUIRED_METRICS = ["overall_otdr_pct", "bottom_seller_breach_share_pct", "reten
                     "retention_m3_pct", "total_orders", "total_gmv"]
 
 
+def fact_metrics(name: str) -> list[F.Column]:
+    """Named metrics of a table of facts, observed while it is written: rows, null keys, first and last time, late orders."""
+    if name == "orders":
+        time, more = "order_purchase_timestamp", F.count_if(F.col("order_id").isNull()).alias("null_ids")
+    elif name == "core":
+        time, more = "purchase_ts", F.sum("is_late").cast("bigint").alias("late")
+    else:
+        raise ValueError(f"no metrics are defined for {name!r}")
+    return [N().alias("rows"), F.min(time).alias("first"), F.max(time).alias("last"), more]
+
+
 def ingest_row_counts(t: MarketTables) -> DataFrame:
     """J01 (testdata form): row count per canonical table."""
     return _union([df.agg(N().alias("rows")).select(F.lit(name).alias("table_name"), "rows")
@@ -73,16 +84,13 @@ def _ts(col: str) -> F.Column:
     return F.date_format(F.col(col), "yyyy-MM-dd HH:mm:ss")
 
 
-def schema_validation(t: MarketTables, clean: DataFrame) -> DataFrame:
-    """The reference's validation report as (check, value_num, value_text) rows."""
-    o = t.orders.agg(
-        F.count_if(F.col("order_id").isNull()).alias("null_ids"),
-        F.min("order_purchase_timestamp").alias("dmin"),
-        F.max("order_purchase_timestamp").alias("dmax"),
-        N().alias("orig_rows"),
-    )
+def schema_validation(t: MarketTables, orders: DataFrame, core: DataFrame) -> DataFrame:
+    """The reference's validation report as (check, value_num, value_text) rows.
+
+    ``orders`` and ``core`` are the one-row metrics of these tables (:func:`fact_metrics`)."""
+    o = orders.select("null_ids", F.col("first").alias("dmin"), F.col("last").alias("dmax"), F.col("rows").alias("orig_rows"))
     orphans = t.items.join(t.orders.select("order_id"), on="order_id", how="left_anti").agg(N().alias("orphans"))
-    c = clean.agg(N().alias("clean_rows"), F.min("purchase_ts").alias("cmin"), F.max("purchase_ts").alias("cmax"))
+    c = core.select(F.col("rows").alias("clean_rows"), F.col("first").alias("cmin"), F.col("last").alias("cmax"))
     row = cross_one_row(o, orphans, c)
     retained = round_python(F.try_divide(F.lit(100.0) * F.col("clean_rows").cast("double"),
                                             F.col("orig_rows").cast("double")), 2)
@@ -99,7 +107,7 @@ def schema_validation(t: MarketTables, clean: DataFrame) -> DataFrame:
     return _unpivot(row, parts)
 
 
-def quality_gates(clean: Callable[[], DataFrame], t: MarketTables, summary_metrics: Callable[[], DataFrame],
+def quality_gates(core: Callable[[], DataFrame], t: MarketTables, summary_metrics: Callable[[], DataFrame],
                   cohort: Callable[[], DataFrame], bottom: Callable[[], DataFrame],
                   sla_state: Callable[[], DataFrame], otdr: Callable[[], DataFrame],
                   params: Params = DEFAULT) -> dict[str, Callable[[], DataFrame]]:
@@ -108,7 +116,9 @@ def quality_gates(clean: Callable[[], DataFrame], t: MarketTables, summary_metri
     Returns name -> function giving the gate's one row (expectation, observed,
     threshold, passed, detail); ``detail`` names what is missing.  The inputs
     are functions too, so a gate plans and reads only what it needs; the
-    structural gates read nothing but the key column of one raw table.
+    structural gates read nothing but the key column of one raw table, and
+    ``core`` gives the one-row metrics that were observed while the clean
+    orders were written.
     Thresholds are parameters.
     """
     minrows = float(params.min_clean_rows)
@@ -163,7 +173,7 @@ def quality_gates(clean: Callable[[], DataFrame], t: MarketTables, summary_metri
         return none_of(name, table.groupBy(key).agg(N().alias("_c")), F.count_if(F.col("_c") > 1))
 
     gates: dict[str, Callable[[str], DataFrame]] = {
-        "orders_clean_min_rows": lambda n: at_least(n, clean(), N(), minrows),
+        "orders_clean_min_rows": lambda n: row(n, core(), F.col("rows"), minrows, F.col("rows") >= minrows),
         "required_metrics_present": required,
         "summary_total_orders_min": lambda n: at_least(n, summary_metrics(), metric("total_orders"), minrows),
         "summary_total_orders_equals_otdr": orders_equal,
@@ -205,9 +215,9 @@ def raise_on_failed_gates(gates: DataFrame, names: list[str] | None = None) -> N
             f"{r.expectation} observed={r.observed} threshold={r.threshold}" for r in failed))
 
 
-def consistency_checks(clean: DataFrame, otdr: DataFrame, sla_geo: DataFrame, sla_state: DataFrame) -> DataFrame:
+def consistency_checks(core: DataFrame, otdr: DataFrame, sla_geo: DataFrame, sla_state: DataFrame) -> DataFrame:
     """State x month breach rows add up to the state rows and to the monthly rows,
-    and all three add up to the clean orders.  Rows: (check, mismatches, passed)."""
+    and all three add up to the clean orders, whose one-row metrics are ``core``.  Rows: (check, mismatches, passed)."""
     geo_state = sla_geo.groupBy("customer_state").agg(
         F.sum("total_orders").alias("g_orders"), F.sum("late_orders").alias("g_late"))
     st = sla_state.select("customer_state", F.col("total_orders").alias("s_orders"),
@@ -222,7 +232,7 @@ def consistency_checks(clean: DataFrame, otdr: DataFrame, sla_geo: DataFrame, sl
     bad_month = (geo_month.join(mo, on="purchase_month", how="full")
                  .where(~F.col("g_orders").eqNullSafe(F.col("m_orders")) | ~F.col("g_late").eqNullSafe(F.col("m_late")))
                  .agg(N().alias("mismatches")))
-    base = clean.agg(N().alias("c_orders"), F.sum("is_late").cast("bigint").alias("c_late"))
+    base = core.select(F.col("rows").alias("c_orders"), F.col("late").alias("c_late"))
     totals = cross_one_row(base, otdr.agg(F.sum("total_orders").alias("o"), F.sum("late_orders").alias("ol")),
                            sla_state.agg(F.sum("total_orders").alias("s"), F.sum("late_orders").alias("sl")),
                            sla_geo.agg(F.sum("total_orders").alias("g"), F.sum("late_orders").alias("gl")))

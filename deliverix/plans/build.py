@@ -17,7 +17,8 @@ from dataclasses import replace
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from deliverix.operators import base, charts, derived, kpis, quality, summary, views, writeup
 from deliverix.params import DEFAULT, Params
@@ -52,16 +53,24 @@ class Build:
         if self.materialize not in ("table", "persist", "checkpoint", "none"):
             raise ValueError(f"unknown materialize mode {self.materialize!r}")
         self._persisted: list[DataFrame] = []
+        self._observed: dict[str, DataFrame] = {}
 
-    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+    def _keep(self, df: DataFrame, name: str, metrics: bool = False) -> DataFrame:
+        """``df`` kept as this build keeps facts; ``metrics``: those of quality.fact_metrics are observed while it is written."""
         if self.materialize == "persist":
             df = self._keep_small(df)
         elif self.materialize == "table":
             import uuid
             from deliverix.session import ensure_checkpoint_dir
             path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/deliverix-{name}-{uuid.uuid4().hex}"
-            df.write.parquet(path)
+            rows, seen = df, Observation(f"{name} of a build")
+            if metrics:
+                rows = df.observe(seen, *quality.fact_metrics(name))
+            rows.write.parquet(path)
             df = self.spark.read.schema(df.schema).parquet(path)
+            if metrics:
+                schema, got = df.agg(*quality.fact_metrics(name)).schema, seen.get
+                self._observed[name] = self.spark.createDataFrame([tuple(got[c] for c in schema.names)], schema)
         elif self.materialize == "checkpoint":
             from deliverix.session import ensure_checkpoint_dir
             ensure_checkpoint_dir(self.spark)
@@ -76,6 +85,11 @@ class Build:
             self._persisted.append(df)
         return df
 
+    def facts(self, name: str) -> DataFrame:
+        """One row of metrics of ``orders`` or ``core``: as observed when the table was written, else by a scan."""
+        table = self.core if name == "core" else self.t.orders
+        return self._observed[name] if name in self._observed else table.agg(*quality.fact_metrics(name))
+
     def release(self) -> None:
         for df in self._persisted:
             df.unpersist()
@@ -88,7 +102,7 @@ class Build:
 
     @cached_property
     def core(self) -> DataFrame:
-        return self._keep(base.clean_core(self.clean), "core")
+        return self._keep(base.clean_core(self.clean), "core", metrics=True)
 
     @cached_property
     def categories(self) -> DataFrame:
@@ -244,11 +258,11 @@ class Build:
 
     @cached_property
     def validation(self) -> DataFrame:
-        return self._keep_small(quality.schema_validation(self.t, self.core))
+        return self._keep_small(quality.schema_validation(self.t, self.facts("orders"), self.facts("core")))
 
     @cached_property
     def _gates(self) -> dict:
-        return quality.quality_gates(lambda: self.core, self.t, lambda: self.metrics, lambda: self.cohort,
+        return quality.quality_gates(lambda: self.facts("core"), self.t, lambda: self.metrics, lambda: self.cohort,
                                      lambda: self.bottom, lambda: self.sla_state, lambda: self.otdr, self.params)
 
     @cached_property
@@ -263,7 +277,7 @@ class Build:
 
     @cached_property
     def consistency(self) -> DataFrame:
-        return quality.consistency_checks(self.core, self.otdr, self.sla_geo, self.sla_state)
+        return quality.consistency_checks(self.facts("core"), self.otdr, self.sla_geo, self.sla_state)
 
     # -- chart data (J32-J39, J45) ------------------------------------------------
     @cached_property
@@ -321,7 +335,7 @@ class Build:
 
     @cached_property
     def impact(self) -> DataFrame:
-        clean_rows = self.core.agg(kpis.N().alias("orders_clean_rows"))
+        clean_rows = self.facts("core").select(F.col("rows").alias("orders_clean_rows"))
         return writeup.impact_sizing(clean_rows, self.overall, self.bottom, self.financials,
                                      self.sla_state, self.cohort, self.ltv, self.params)
 
@@ -390,7 +404,6 @@ class Build:
         size is bounded (a range-partitioned sort of a few thousand rows); the
         order-grain detail table is written unordered.
         """
-        from pyspark.sql import functions as F
         d = F.desc_nulls_last
         return {
             "kpi_summary": self.kpi_summary.orderBy("position").select("metric", "value"),
@@ -454,7 +467,7 @@ def build_for(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> Bui
         # the adapter stands in for the ingest step, whose output is written
         # once; its derived orders table (first ship day per order) is kept
         # the same way instead of being recomputed by every job reading it
-        b.t = replace(b.t, orders=b._keep(b.t.orders, "orders"))
+        b.t = replace(b.t, orders=b._keep(b.t.orders, "orders", metrics=True))
         _CACHE[key] = b
         return b
 
