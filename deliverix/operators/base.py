@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deliverix.functions.columns import day_diff, day_of_week, month_start, week_start
+from deliverix.sources.tables import MarketTables
 
 CORE_COLUMNS = (
     "order_id", "customer_unique_id", "customer_state", "purchase_ts",
@@ -86,7 +87,20 @@ def order_lines(items: DataFrame, core: DataFrame) -> DataFrame:
     return i.join(c, on="order_id", how="inner")
 
 
-def enriched_lines(items: DataFrame, core: DataFrame, categories: DataFrame, sellers: DataFrame) -> DataFrame:
+def all_order_lines(tables: MarketTables, core: DataFrame) -> DataFrame:
+    """:func:`order_lines` of all items.
+
+    Lines of hot orders, if the ingest set them apart, meet their few orders by
+    broadcast (there are fewer hot orders than buckets), so that no bucket waits for them.
+    """
+    if tables.hot_items is None:
+        return order_lines(tables.items, core)
+    keys = tables.hot_items.select("order_id").distinct()
+    hot_core = F.broadcast(core.join(F.broadcast(keys), on="order_id", how="left_semi"))
+    return order_lines(tables.bucketed_items, core).unionByName(order_lines(tables.hot_items, hot_core))
+
+
+def enriched_lines(lines: DataFrame, categories: DataFrame, sellers: DataFrame) -> DataFrame:
     """Order lines of clean orders with order, product and seller attributes, joined once.
 
     Products and sellers are left-joined on their keys and flagged, so jobs
@@ -98,7 +112,6 @@ def enriched_lines(items: DataFrame, core: DataFrame, categories: DataFrame, sel
     """
     cat = categories.withColumn("has_product", F.lit(True))
     sel = sellers.select("seller_id", "seller_state", "seller_city").withColumn("has_seller", F.lit(True))
-    lines = order_lines(items, core)
     lines = lines.join(cat, on="product_id", how="left").join(sel, on="seller_id", how="left")
     return lines.select(
         "order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value",

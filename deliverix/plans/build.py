@@ -110,7 +110,7 @@ class Build:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self._keep(base.enriched_lines(self.t.items, self.core, self.categories, self.t.sellers), "lines")
+        return self._keep(base.enriched_lines(base.all_order_lines(self.t, self.core), self.categories, self.t.sellers), "lines")
 
     @cached_property
     def lines_cat(self) -> DataFrame:
@@ -170,7 +170,7 @@ class Build:
     def order_grain(self) -> DataFrame:
         """Order-level sums of the lines (orders-sized; reused by J14, J24, J25), grouped
         straight on the order join: its partitioning by order_id serves the sums too."""
-        return self._keep(kpis.order_grain(base.order_lines(self.t.items, self.core)), "order-grain")
+        return self._keep(kpis.order_grain(base.all_order_lines(self.t, self.core)), "order-grain")
 
     @cached_property
     def corridors(self) -> DataFrame:

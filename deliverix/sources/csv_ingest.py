@@ -24,7 +24,7 @@ from deliverix.sources.schemas import RAW_FILES
 from deliverix.sources.tables import MarketTables
 
 CORRUPT = "_corrupt_record"
-#: Partition column of an ingested table: good or bad.
+#: Partition column of an ingested table: good, bad, or hot (good lines of an order too large for one bucket).
 STATE = "ingest_state"
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -85,6 +85,8 @@ def read_csv_permissive(spark: SparkSession, path: str, schema: StructType, mult
 class IngestResult:
     tables: dict[str, DataFrame]
     counts: DataFrame  # table_name, good_rows, bad_rows
+    hot_items: DataFrame | None = None  # lines of hot orders, as files to be split anywhere
+    bucketed_items: DataFrame | None = None  # the other lines, by bucket
 
 
 # tables keyed by order: written bucketed by order_id when bucketing is asked for
@@ -103,16 +105,32 @@ def detect(spark: SparkSession, path: str, schema: StructType) -> Sample | None:
     return sample
 
 
+def hot_keys(rows: DataFrame, key: str, buckets: int, most: int = 10_000) -> list[str]:
+    """Keys with more rows than an average bucket has (fewer than ``buckets`` of them, and no more than ``most``).
+
+    One pass with a sketch of the most frequent keys, which tasks merge; its counts
+    are off by a small share of a bucket at most.  Only ``key`` is parsed.
+    """
+    k = min(buckets, most)
+    kept = min(1_000_000, 16 * max(buckets, 64))
+    row = rows.where(F.col(key).isNotNull()).agg(
+        F.count(F.lit(1)).alias("n"), F.call_function("approx_top_k", F.col(key), F.lit(k), F.lit(kept)).alias("top")).first()
+    return [t.item for t in row.top if t["count"] * buckets > row.n]
+
+
 def _ingest_one(spark: SparkSession, table: str, path: str, schema: StructType, out_dir: str,
-                multiline: bool, buckets: int | None = None, table_prefix: str = "deliverix") -> tuple[DataFrame, int, int]:
-    """The good rows of the written table and the numbers of good and bad rows."""
+                multiline: bool, buckets: int | None = None, table_prefix: str = "deliverix") -> tuple[DataFrame, int, int, tuple | None]:
+    """The good rows of the written table, the numbers of good and bad rows, and its (hot, bucketed) parts if it has hot keys."""
     rows = read_csv_permissive(spark, path, schema, multiline, detect(spark, path, schema))
+    bucketed = buckets and table in ORDER_KEYED
+    hot = hot_keys(rows, "order_id", buckets) if bucketed and table == "items" else []
     good = F.col(CORRUPT).isNull()
     counted = Observation(f"ingest {table}")
-    rows = rows.withColumn(STATE, F.when(good, "good").otherwise("bad"))
+    rows = rows.withColumn(STATE, F.when(~good, "bad").when(F.col("order_id").isin(hot), "hot").otherwise("good") if hot
+                           else F.when(good, "good").otherwise("bad"))
     rows = rows.observe(counted, F.count_if(good).alias("good_rows"), F.count_if(~good).alias("bad_rows"))
     target = f"{out_dir}/{table}"
-    if buckets and table in ORDER_KEYED:
+    if bucketed:
         # co-located by order: later joins on order_id between these tables
         # read matching buckets instead of shuffling the line table
         (rows.write.mode("overwrite").partitionBy(STATE).bucketBy(buckets, "order_id").sortBy("order_id")
@@ -124,12 +142,18 @@ def _ingest_one(spark: SparkSession, table: str, path: str, schema: StructType,
     (written.where(F.col(STATE) == "bad").drop(STATE)  # reads the partition of bad rows only
      .write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{table}"))
     counts = counted.get
-    return good_rows(written), counts["good_rows"], counts["bad_rows"]
+    every, parts = good_rows(written), None
+    if hot:
+        # read as plain files, not by bucket: one bucket of them would be one task
+        apart = spark.read.schema(rows.schema).parquet(target).where(F.col(STATE) == "hot").drop(STATE, CORRUPT)
+        rest = written.where(F.col(STATE) == "good").drop(STATE, CORRUPT)
+        every, parts = rest.unionByName(apart), (apart, rest)
+    return every, counts["good_rows"], counts["bad_rows"], parts
 
 
 def good_rows(written: DataFrame) -> DataFrame:
     """The rows of an ingested table that parsed, without the columns of the ingest."""
-    return written.where(F.col(STATE) == "good").drop(STATE, CORRUPT)
+    return written.where(F.col(STATE) != "bad").drop(STATE, CORRUPT)
 
 
 def ingest_csv(spark: SparkSession, data_dir: str, out_dir: str, files: dict | None = None,
@@ -143,6 +167,8 @@ def ingest_csv(spark: SparkSession, data_dir: str, out_dir: str, files: dict | N
     concurrent Spark jobs; overwrite mode keeps every step idempotent.  With
     ``order_buckets``, orders, items and reviews are saved as catalog tables
     bucketed (and sorted) by order_id, so the order-line join is co-located.
+    Lines of orders that are larger than an average bucket go to a partition of
+    their own, which joins take apart from the buckets.
     """
     from concurrent.futures import ThreadPoolExecutor
     files = files or RAW_FILES
@@ -152,15 +178,16 @@ def ingest_csv(spark: SparkSession, data_dir: str, out_dir: str, files: dict | N
                                       table in multiline_tables, order_buckets, table_prefix)
                    for table, path in paths.items()}
         done = {table: f.result() for table, f in futures.items()}
-    counts = spark.createDataFrame([(table, good, bad) for table, (_, good, bad) in done.items()], "table_name string, good_rows long, bad_rows long")
-    return IngestResult(tables={table: rows for table, (rows, _, _) in done.items()}, counts=counts)
+    counts = spark.createDataFrame([(table, good, bad) for table, (_, good, bad, _) in done.items()], "table_name string, good_rows long, bad_rows long")
+    hot, bucketed = (done["items"][3] if "items" in done else None) or (None, None)
+    return IngestResult(tables={table: d[0] for table, d in done.items()}, counts=counts, hot_items=hot, bucketed_items=bucketed)
 
 
 def market_tables(result: IngestResult) -> MarketTables:
     t = result.tables
     return MarketTables(orders=t["orders"], customers=t["customers"], items=t["items"],
                         products=t["products"], translations=t["translations"], sellers=t["sellers"],
-                        reviews=t["reviews"], geo=t.get("geo"),
+                        reviews=t["reviews"], geo=t.get("geo"), hot_items=result.hot_items, bucketed_items=result.bucketed_items,
                         regions=t["customers"].select(F.col("customer_state").alias("region_code")).distinct())
 
 

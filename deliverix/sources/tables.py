@@ -20,6 +20,10 @@ class MarketTables:
     regions: DataFrame | None = None
     # Geolocation rows, if the inputs have them.
     geo: DataFrame | None = None
+    # Lines of orders too large for one bucket, where the ingest set them apart; ``items`` holds them too,
+    # ``bucketed_items`` the others.
+    hot_items: DataFrame | None = None
+    bucketed_items: DataFrame | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
         named = {

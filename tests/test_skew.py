@@ -3,11 +3,15 @@ share of the rows.  With AQE's skew handling forced on (tiny thresholds) the
 results must equal those of a plan without it."""
 
 import random
+import tempfile
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from deliverix.params import Params
 from deliverix.plans.build import Build
+from deliverix.sources import csv_ingest
 from market_fixtures import customer, item, order, product, tables
 
 P = Params(min_category_orders=1, min_seller_orders=1, min_lane_shipments=1, min_corridor_shipments=1,
@@ -78,3 +82,50 @@ def test_hot_keys_same_results(spark, skew_conf):
     for j in JOBS:
         assert results["skew"][j] == results["plain"][j], j
     assert any(r[0] == "s_hot" for r in results["skew"]["seller"])
+
+
+def _with_hot_order(spark):
+    """One order holds a third of all lines."""
+    t = _skewed_tables(spark)
+    n = t.items.where("order_id <> 'o7'").count()
+    lines = [item("o7", k + 1, f"p{k % 20 + 1}", f"s{k % 9 + 1}", 1.0 + k % 90, k % 7 / 2) for k in range(n // 2)]
+    more = tables(spark, [], [], lines, [], [], [], []).items
+    return replace(t, items=t.items.where("order_id <> 'o7'").unionByName(more))
+
+
+def test_hot_order_in_bucketed_tables(spark):
+    """The hot order's lines are set apart at ingest and joined by broadcast; the buckets hold the rest."""
+    t = _with_hot_order(spark)
+    assert 3 * t.items.where("order_id = 'o7'").count() >= t.items.count() - 2
+    root = tempfile.mkdtemp(prefix="deliverix-hot-")
+    geo = t.customers.select(F.col("customer_city").alias("geolocation_city"), F.col("customer_state").alias("geolocation_state")).limit(1)
+    csv_ingest.export_raw_csv(t, geo, f"{root}/raw")
+    res = csv_ingest.ingest_csv(spark, f"{root}/raw", f"{root}/tables", order_buckets=8, table_prefix="hot")
+    assert {r.order_id for r in res.hot_items.collect()} == {"o7"}
+    assert res.bucketed_items.where("order_id = 'o7'").count() == 0
+    assert res.tables["items"].count() == t.items.count()
+    counts = {r.table_name: (r.good_rows, r.bad_rows) for r in res.counts.collect()}
+    assert counts["items"] == (t.items.count(), 0)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = Build(spark, csv_ingest.market_tables(res), P, persist=False)
+        plan = got.lines._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.splitlines() if "FileScan parquet" in x and "hot_items" in x]
+        assert any("Bucketed: true" in x for x in scans), scans  # the rest, bucket by bucket
+        assert "BroadcastHashJoin [order_id" in plan  # the hot lines, though broadcasts by size are off
+        want = Build(spark, t, P, persist=False)
+        for j in JOBS:
+            assert sorted(map(tuple, getattr(got, j).collect()), key=repr) == sorted(map(tuple, getattr(want, j).collect()), key=repr), j
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_hot_keys_of_a_sketch(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 10 == 1, "b").otherwise(F.concat(F.lit("k"), "id")).alias("k"))
+    assert sorted(csv_ingest.hot_keys(df, "k", 64)) == ["a", "b"]
+    assert csv_ingest.hot_keys(df, "k", 4) == ["a"]
+    assert csv_ingest.hot_keys(df.where("k like 'k%'"), "k", 64) == [] and csv_ingest.hot_keys(df.limit(0), "k", 8) == []
