@@ -29,10 +29,17 @@ from deliverix.llm.shared import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 _SHIPPED: set[str] = set()
+#: Rows that Spark hands to Python at once: texts of some KB make batches of some MB, which both sides hold whole.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the executors' Python, once per application."""
+    """Give this package to the executors' Python, once per application, and keep the session's Arrow batches small.
+
+    A smaller setting of the session stays."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
