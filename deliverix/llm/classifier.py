@@ -151,16 +151,21 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Train on labelled documents: those with the ``sample`` smallest id hashes.
 
-    Null ids, null labels and ids without a document are not used; an id with
-    several labels or texts counts with the first by hash order and size.
+    Null ids, null labels and ids without a document are not used.  An id with
+    several labels counts with the smallest, one with several texts with that of
+    the smallest hash, so that at most ``sample`` rows reach the driver however
+    often an id repeats.  A null text has no features and is not learnt from, a very long one
+    is taken whole.  No labels or no documents: every score is 0.5.  Other columns
+    are not looked at.
     """
     place = F.xxhash64(F.col(id_col), F.lit(SEED))
     chosen = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
               .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), place.alias("place"))
-              .dropDuplicates(["id"]).orderBy("place", "id").limit(sample))
+              .groupBy("id", "place").agg(F.min("label").alias("label")).orderBy("place", "id").limit(sample))
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = (docs.join(F.broadcast(chosen), "id")  # at most ``sample`` rows of three numbers
-            .select("text", "label", "place")
+            .groupBy("id", "label", "place").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text")).alias("first"))  # one text of each id
+            .select("first.text", "label", "place")
             .mapInArrow(_count_features, "label int, place long, buckets binary, counts binary").toArrow())
     columns = [rows.column(c) for c in ("place", "buckets", "counts", "label")]
     found = sorted((p.as_py(), b.as_buffer().to_pybytes(), c.as_buffer().to_pybytes(), y.as_py()) for p, b, c, y in zip(*columns))
@@ -168,7 +173,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row; null or empty texts get the score of the bias alone."""
+    """(id, score) of every row; null or empty texts get the score of the bias alone.
+
+    Each row is scored by its own whole text: repeated rows and ids get equal
+    scores for equal texts, an empty table an empty result; other columns do not matter.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -162,15 +162,50 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, id_col: str = "d
     return docs
 
 
-def cut_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text): the normalised words that no window hits, joined by one space."""
-    hits = scan(documents, benchmark, id_col, text_col).select(F.col(id_col).alias("_id"), "hit")
-    hits = hits.groupBy("_id").agg(F.first("hit").alias("hit"))
-    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    docs = documents.select(F.col(id_col).alias("id"), F.regexp_extract_all(lower, F.lit(PATTERN), F.lit(0)).alias("w"))
-    return docs.join(hits, docs["id"].eqNullSafe(hits["_id"])).select(
-        F.col("id").alias(id_col),
-        F.array_join(F.filter("w", lambda x, i: ~F.array_contains("hit", i)), " ").alias(text_col))
+def _mark(found: WindowSet, text_col: str):
+    """Adds the positions of hit words to those of the column _hit, row by row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = found.value
+        for b in text_slices(batches, text_col):
+            w = Words(b.column(text_col), WORD_BYTES, lower=True)
+            hit = [set(h or ()) for h in b.column("_hit").to_pylist()]
+            for at, size, _ in windows.hits(w):
+                row = int(np.searchsorted(w.at, at, side="right")) - 1
+                hit[row].update(range(at - int(w.at[row]), at - int(w.at[row]) + size))
+            yield b.set_column(b.schema.get_field_index("_hit"), "_hit", pa.array([sorted(h) for h in hit], pa.list_(pa.int32())))
+    return run
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, _hit) to (id, text): the words, lower-cased, at other positions."""
+    for b in text_slices(batches, "text"):
+        w = Words(b.column("text"), WORD_BYTES, lower=True)
+        gone = np.zeros(len(w), bool)
+        hits = b.column("_hit")
+        gone[hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(w.at[:-1], np.diff(hits.offsets.to_numpy()))] = True
+        kept = [b" ".join([w.word(i) for i in range(x, y) if not gone[i]]) for x, y in zip(w.at[:-1].tolist(), w.at[1:].tolist())]
+        yield pa.record_batch([b.column("id"), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "text"])
+
+
+def cut_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """(id, text) of every row: the normalised words that no window hits, joined by one space.
+
+    Rows are cut by their own text, whatever their ids.  Null, empty and wordless
+    texts give an empty one; hits of all parts of a large benchmark are judged on the input.
+    """
+    spark = documents.sparkSession
+    windows = written(benchmark_windows(benchmark, window=WINDOW), "windows")
+    parts = max(1, -(-windows.count() // max_broadcast))
+    docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                            F.array().cast("array<int>").alias("_hit"))
+    kind = docs.schema["id"].dataType.simpleString()
+    for part in range(parts):
+        rows = [tuple(r) for r in windows.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == part).collect()]  # max_broadcast rows or so
+        docs = docs.mapInArrow(_mark(spark.sparkContext.broadcast(WindowSet(rows)), "text"), f"id {kind}, text string, _hit array<int>")
+        if part < parts - 1:
+            docs = written(docs, "cut-part")
+    return docs.mapInArrow(_without, f"id {kind}, text string").withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def query(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -22,6 +22,15 @@ MAX_RATIO = 0.01
 MIN_PAGES = 4
 
 
+#: Lines of a page, and boilerplate lines of a site, up to which one is searched in the other.
+FEW = 64
+
+
+def host_of(url: Column) -> Column:
+    """The host of an address, in lower case, without user and port; null if there is none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)), F.lit(""))
+
+
 def _keys(lines: Column) -> Column:
     """128-bit keys of lines, trimmed; lines without a word have none."""
     trimmed = F.transform(lines, lambda x: F.regexp_replace(x, rf"^{SPACE}|{SPACE}$", ""))
@@ -60,6 +69,9 @@ def dedup_lines(pages: DataFrame, id_col: str = "doc_id", site: Column | None =
     ``max_ratio`` of them hold it; a page that repeats a line counts once.
     Lines without a word always stay.  Repeated rows count as pages of their
     own.  A null site is a site; a null text is an empty one (one empty line).
+    Very long pages are taken whole, in time that grows with their lines; an
+    empty table gives an empty one.  ``site`` may be any expression, such as the
+    host of an address (:func:`host_of`).
 
     Returns (id, site, n_lines, n_dropped, text): lines that stay, joined by
     one newline; other columns of ``pages`` do not matter.
@@ -68,18 +80,41 @@ def dedup_lines(pages: DataFrame, id_col: str = "doc_id", site: Column | None =
     text = F.col("text") if text is None else text
     p = pages.select(F.col(id_col).alias("id"), site.alias("site"), F.coalesce(text, F.lit("")).alias("text"))
     found = written(boilerplate_lines(p, F.col("site"), F.col("text"), max_ratio, min_pages), "boilerplate")
-    lines = F.split("text", "\n")
     p, b = p.alias("p"), found.alias("b")
-    joined = p.join(b, F.col("p.site").eqNullSafe(F.col("b.site")), "left").select(
-        "id", F.col("p.site").alias("site"), lines.alias("lines"),
-        F.when(F.col("keys").isNotNull(), F.array_intersect(_keys(lines), F.col("keys"))).alias("hits"))
+    rows = p.join(b, F.col("p.site").eqNullSafe(F.col("b.site")), "left").select(
+        "id", F.col("p.site").alias("site"), "text", "keys")
+    # lines are compared with a page's hits one by one, unless both are many
+    many = F.coalesce(F.size("keys") > FEW, F.lit(False)) & (F.regexp_count("text", F.lit("\n")) >= FEW)
+    out = _in_row(rows.where(~many))
+    if not found.where(F.size("keys") > FEW).isEmpty():
+        out = out.unionByName(_by_line(rows.where(many).drop("keys"), found))
+    return out.withColumnRenamed("id", id_col)
+
+
+def _in_row(rows: DataFrame) -> DataFrame:
+    lines = F.split("text", "\n")
+    rows = rows.select("id", "site", lines.alias("lines"),
+                       F.when(F.col("keys").isNotNull(), F.array_intersect(_keys(lines), F.col("keys"))).alias("hits"))
     hits = F.col("hits")
     kept = F.when(hits.isNull() | (F.size(hits) == 0), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains(hits, _key(x))))
-    return joined.select("id", "site", F.size("lines").cast("long").alias("n_lines"), "lines", kept.alias("kept")).select(
-        F.col("id").alias(id_col), "site", "n_lines",
-        (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
-        F.array_join("kept", "\n").alias("text"))
+    return rows.select("id", "site", F.size("lines").cast("long").alias("n_lines"), "lines", kept.alias("kept")).select(
+        "id", "site", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
+
+
+def _by_line(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The same for pages of many lines on sites of much boilerplate: lines are rows and join the site's keys."""
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "long-pages")
+    lines = rows.select("row", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.withColumn("k", _key(F.col("line")))
+    keys = found.select("site", F.explode("keys").alias("k"))
+    x, y = lines.alias("x"), keys.alias("y")
+    kept = x.join(y, F.col("x.site").eqNullSafe(F.col("y.site")) & (F.col("x.k") == F.col("y.k")), "left_anti")
+    kept = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("kept"))  # lines of one page
+    n_lines = (F.regexp_count("text", F.lit("\n")) + 1).cast("long")
+    return rows.select("row", "id", "site", n_lines.alias("n_lines")).join(kept, "row", "left").select(
+        "id", "site", "n_lines", (F.col("n_lines") - F.coalesce(F.size("kept"), F.lit(0))).alias("n_dropped"),
+        F.coalesce(F.array_join("kept.line", "\n"), F.lit("")).alias("text"))
 
 
 def query(documents: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ Each source gets a word budget; whole epochs of it are taken first, and what
 is left of the budget is filled by the documents with the smallest
 exponential keys, -ln(u) / quality weight, in key order.
 
-Scale: a source's documents are never sorted in one task.  Keys fall into
-numbered bins (by the share of an exponential distribution below the key, so
-bins are about equally full, with about ``BIN_DOCS`` documents each whatever
-the size of the source); bin sums are prefix-summed per source (one row per
-bin), and only the one bin in which the budget ends is sorted document by
-document.  The result does not depend on the bins.
+Scale: a source's documents are never sorted in one task.  Keys are cut into
+bins at quantiles of the source's own keys (a mergeable sketch); bin sums are
+prefix-summed per source, and the bin in which the budget ends is cut again
+until it holds at most ``BIN_DOCS`` documents, which are then sorted.  The result
+does not depend on the bins.  Tables of one row per source are joined as Spark
+sees fit by their size: a source may be a host.  Rows equal in id and text
+share a key and so a bin.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
 BIN_DOCS = 2000
+#: Bins that a source's keys are cut into at once.
+BINS = 64
 
 
 def quality_weight(text: Column) -> Column:
@@ -33,12 +36,43 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.coalesce(F.try_divide(plain.cast("double"), F.length(t).cast("double")), F.lit(0.05)))
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) that depends on the id and the seed only (52 bits of an md5)."""
-    digits = F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"#{seed}"))), 1, 13)
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) that depends on the id, the text and the seed only (52 bits of an md5)."""
+    digits = F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"#{seed}#"), F.md5(F.coalesce(text, F.lit(""))))), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2 ** 52)
 
 
+def _with_source(rows: DataFrame, per: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``per``, a table of one row per source."""
+    r, p = rows.alias("r"), per.alias("p")
+    return r.join(p, F.col("r.source").eqNullSafe(F.col("p.source")), how).select("r.*", *[F.col(f"p.{c}") for c in per.columns if c != "source"])
+
+
+def last_bins(docs: DataFrame, plan: DataFrame, bin_docs: int = BIN_DOCS) -> DataFrame:
+    """Per source with a rest of its budget: the keys (low, high] in which it ends, the words before them, and their documents."""
+    docs = docs.where("size > 0")
+    at = _with_source(docs, plan.where("rest > 0").select("source", "rest")).groupBy("source").agg(F.first("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
+    at = written(at.select("source", "rest", F.lit(-1.0).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0).cast("long").alias("before"), "n",
+                           F.lit(False).alias("done")), "mix-cut")
+    while True:
+        wide = at.where((F.col("n") > bin_docs) & ~F.col("done"))
+        if wide.isEmpty():
+            return at
+        inside = _with_source(docs, wide).where((F.col("key") > F.col("low")) & (F.col("key") <= F.col("high")))
+        cuts = inside.groupBy("source").agg(F.percentile_approx("key", [k / BINS for k in range(1, BINS)], 10_000).alias("cuts"))
+        inside = _with_source(inside, written(cuts, "mix-quantiles"))
+        inside = inside.withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("key"))))
+        bins = inside.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("m"),
+                                                   *[F.first(c).alias(c) for c in ("rest", "low", "high", "before", "n", "cuts")])
+        up_to = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("first", F.col("before") + F.coalesce(F.sum("words").over(up_to), F.lit(0)))
+        new = bins.where((F.col("first") < F.col("rest")) & (F.col("first") + F.col("words") >= F.col("rest"))).select(
+            "source", "rest", F.when(F.col("bin") > 0, F.get("cuts", F.col("bin") - 1)).otherwise(F.col("low")).alias("low"),
+            F.coalesce(F.get("cuts", F.col("bin")), F.col("high")).alias("high"), F.col("first").alias("before"), F.col("m").alias("n"),
+            (F.col("m") == F.col("n")).alias("done"))  # one key: no cut can divide it
+        at = written(at.where((F.col("n") <= bin_docs) | F.col("done")).unionByName(new), "mix-cut")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = MAX_EPOCHS) -> DataFrame:
     """Targets by source from (source, source_size): adds target.
 
@@ -67,7 +101,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         size: Column | None = None, weight: Column | None = None, weights=WEIGHTS,
-        share: float = SHARE, cap: float = MAX_EPOCHS, seed: str = SEED, tag: Column | None = None) -> DataFrame:
+        share: float = SHARE, cap: float = MAX_EPOCHS, seed: str = SEED, tag: Column | None = None,
+        text: Column | None = None, bin_docs: int = BIN_DOCS) -> DataFrame:
     """How often the mix takes each document.
 
     Returns (id, size, source, source_size, target, epochs, picked, taken, tag):
@@ -75,44 +110,36 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     pass takes the document too, ``taken`` = size * (epochs + picked).  The
     fractional pass takes documents in key order while more than half of the
     document fits, so a source misses its target by half of one document at
-    most.  A null source is a source, a null text has size 0, documents of
-    size 0 are never picked; ties of the key go by id; rows that repeat an id
-    have one key and are taken in one unspecified order, each counted.  The
-    result is a function of the rows alone.  ``tag`` is carried along.
+    most.  A null source is a source, a null id counts as no digits, a null text
+    has size 0, documents of size 0 are never picked; a very long text is
+    one document of its size; ties of the key go by id; rows that repeat an id
+    and a text have one key and are taken in one unspecified order, each counted;
+    an empty table gives an empty one; other columns do not matter.  The result is
+    a function of the rows alone.  ``tag`` is carried along.
     """
-    size = word_count(F.col("text")) if size is None else size
-    weight = quality_weight(F.col("text")) if weight is None else weight
+    text = F.col("text") if text is None else text
+    size = word_count(text) if size is None else size
+    weight = quality_weight(text) if weight is None else weight
     tag = F.lit(None).cast("long") if tag is None else tag
     docs = documents.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), tag.alias("tag"),
-        (-F.log(uniform(F.col(id_col), seed)) / weight).alias("key"))
+        (-F.log(uniform(F.col(id_col), text, seed)) / weight).alias("key"))
     docs = written(docs, "mix-sizes")
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    targets = source_targets(sizes, weights, share, cap).alias("t")
-    plan = targets.join(sizes.alias("n"), F.col("t.source").eqNullSafe(F.col("n.source"))).select(
-        F.col("t.source").alias("source"), F.col("t.source_size").alias("source_size"), "target",
-        F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BIN_DOCS)).cast("double").alias("bins"),
-        F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("t.source_size").cast("double"))), F.lit(0)).cast("long").alias("epochs"),
+    sizes = written(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    targets = source_targets(sizes, weights, share, cap)
+    plan = targets.select(
+        "source", "source_size", "target",
+        F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0)).cast("long").alias("epochs"),
     ).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = written(plan, "mix-plan")
-    d, p = docs.alias("d"), F.broadcast(plan).alias("p")  # one row per source
-    docs = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select(
-        "d.*", "source_size", "target", "epochs", "rest",
-        F.floor((1.0 - F.exp(-F.col("key"))) * F.col("bins")).cast("long").alias("bin"))
-    bins = docs.where(F.col("size") > 0).groupBy("source", "bin", "rest").agg(F.sum("size").alias("bin_size"))
-    up_to = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(up_to), F.lit(0)))
-    last = (bins.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("bin_size") >= F.col("rest")))
-            .select("source", F.col("bin").alias("last_bin"), "before"))
-    last = F.broadcast(written(last, "mix-last")).alias("l")  # one row per source at most
-    docs = docs.alias("d").join(last, F.col("d.source").eqNullSafe(F.col("l.source")), "left").select("d.*", "last_bin", "before")
-    edge = docs.where((F.col("bin") == F.col("last_bin")) & (F.col("size") > 0))
+    last = last_bins(docs, plan, bin_docs).select("source", "low", "high", "before")
+    plan = written(_with_source(plan, last, "left"), "mix-ends")
+    docs = _with_source(docs, plan)
+    on_edge = F.coalesce((F.col("size") > 0) & (F.col("key") > F.col("low")) & (F.col("key") <= F.col("high")), F.lit(False))
     inside = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    edge = docs.where(on_edge).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("picked", F.col("at") + F.col("size") / 2.0 <= F.col("rest"))
-    sure = docs.where(~((F.col("bin") == F.col("last_bin")) & (F.col("size") > 0)) | F.col("last_bin").isNull())
-    sure = sure.withColumn("picked", (F.col("rest") > 0) & (F.col("size") > 0)
-                           & F.coalesce(F.col("bin") < F.col("last_bin"), F.lit(False)))
+    sure = docs.where(~on_edge).withColumn("picked", F.coalesce((F.col("size") > 0) & (F.col("key") <= F.col("low")), F.lit(False)))
     both = sure.unionByName(edge.drop("at"))
     return both.select(
         F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "epochs", "picked",
@@ -122,17 +149,35 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 def mixed(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: each row of ``documents`` (all its columns) as often as the mix takes it.
 
-    Rows that repeat an id and a text are matched with their decisions one by one.
+    Rows whose id, source and text no other row has meet their decision by those;
+    rows that repeat them are numbered and matched with their decisions one by one.
     """
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    choice = mix(documents, id_col, source_col, word_count(F.col(text_col)), quality_weight(F.col(text_col)), tag=tag, **options)
+    choice = mix(documents, id_col, source_col, word_count(F.col(text_col)), quality_weight(F.col(text_col)), tag=tag, text=F.col(text_col), **options)
     times = (F.col("epochs") + F.col("picked").cast("long")).cast("int")
-    choice = choice.select(F.col(id_col).alias("_id"), F.col("tag").alias("_tag"), times.alias("_times"))
-    choice = choice.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_times")))
+    key = ["_id", "_source", "_tag"]
+    choice = written(choice.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("tag").alias("_tag"), times.alias("_times")), "mix-times")
+    same = choice.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("_times").alias("_times"))
+    single, repeated = same.where("_n = 1").drop("_n"), same.where("_n > 1").select(*key)
+
+    def on(left: list[str], right: DataFrame) -> Column:
+        out = F.lit(True)
+        for a, b in zip(left, key):
+            out = out & F.col(a).eqNullSafe(right[b])
+        return out
+
+    mine = [id_col, source_col, "_t"]
     rows = documents.withColumn("_t", tag)
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(id_col, "_t").orderBy(source_col)))
-    both = rows.join(choice, rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tag")) & (F.col("_r") == F.col("_row")))
-    return both.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*documents.columns)
+    once = rows.join(single, on(mine, single)).select(*documents.columns, "_times")
+    out = once
+    if not repeated.isEmpty():
+        several = rows.join(repeated, on(mine, repeated), "left_semi")
+        several = several.withColumn("_r", F.row_number().over(Window.partitionBy(*mine).orderBy(F.lit(1))))
+        numbered = choice.join(repeated.withColumnsRenamed({k: f"{k}2" for k in key}), F.lit(True) & F.col("_id").eqNullSafe(F.col("_id2"))
+                               & F.col("_source").eqNullSafe(F.col("_source2")) & (F.col("_tag") == F.col("_tag2")), "left_semi")
+        numbered = numbered.withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy("_times")))
+        out = once.unionByName(several.join(numbered, on(mine, numbered) & (F.col("_r") == F.col("_row"))).select(*documents.columns, "_times"))
+    return out.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*documents.columns)
 
 
 def query(documents: DataFrame) -> DataFrame:
@@ -144,7 +189,7 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          greatest(0.05, coalesce(length(translate(coalesce(text, ''), '#*$%&|<>!ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))::DOUBLE
                                  / nullif(length(coalesce(text, '')), 0)::DOUBLE, 0.05)) AS weight,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '#{SEED}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '#{SEED}#' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),

@@ -13,7 +13,7 @@ any order.  Spark's own file writer and its commit protocol write the shards:
 a lost executor's half-written files are never seen, and any file system
 that Spark knows will do.  The closing 0x0A is that writer's line end.
 
-Scale: one range shuffle by id; no row limit per document; each file holds at
+Scale: one range shuffle by id and text hash; no row limit per document; each file holds at
 most ``RECORDS_PER_FILE`` records.  Position sums need one row per shard.
 """
 
@@ -193,11 +193,12 @@ def write_tokens(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
     """Encode every text and write shards under ``path``/records and the offset index under ``path``/index.
 
     Records come in ascending id order (null first; rows that repeat an id in
-    any order, each written).  A null or empty text is a record of the end id
+    the order of their texts' hashes, each written).  A null or empty text is a record of the end id
     alone.  An empty table gives an empty index.  ``id_col`` is a long.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.repartitionByRange(F.col("id")).sortWithinPartitions("id")
+    # the text's hash splits rows of one id, or of none, over several ranges
+    docs = docs.withColumn("th", F.xxhash64("text")).repartitionByRange("id", "th").sortWithinPartitions("id", "th").drop("th")
     records = docs.mapInArrow(_encode(tokenizer or tokenizer_path(), end_id), "record binary")
     (records.select(F.col("record").cast("string").alias("value"))
      .write.option("maxRecordsPerFile", RECORDS_PER_FILE).text(f"{path}/records"))
@@ -249,6 +250,6 @@ def query(documents: DataFrame) -> DataFrame:
     before = Window.orderBy(shard_place(F.col("shard"))).rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # RECORDS_PER_FILE rows
-    return records.join(F.broadcast(shards), "shard").select(
+    return records.join(shards, "shard").select(
         F.col("id").alias("doc_id"), (F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"),
         "n_tokens", "ids_crc32")
