@@ -2,28 +2,25 @@
 
 The model reads a text as tokens: words, then one end.  Two levels of contexts:
 
-* Tokens.  The root predicts a token from the training counts, and with the
-  weight of the number of distinct words a word that is spelled.  The
-  last one of the ``CONTEXTS`` most frequent words seen so far (or the text's
-  beginning) is the context of the next token; other words are passed over.
-  Its next symbols are the ``SYMBOLS`` most frequent words, the end, and
-  "another word", which the root then tells.
+* Tokens (module ``token_tree``).  The root predicts a token from the training
+  counts, and with the weight of the number of distinct words a word that is
+  spelled.  From the longest retained suffix of up to three tokens before it
+  (the text's beginning is a token) a tree of contexts corrects that.
 * Spelling.  A word's bytes and closing blank are predicted one after another
   from the longest retained suffix, up to ``DEPTH`` symbols, of what precedes
   them in the word (its beginning is a symbol).
 
 A context is retained if its next-symbol counts diverge from its parent's: n *
 KL at least ``MIN_DIVERGENCE``; a retained context's parents are retained.
-Distributions are smoothed towards the parent's with the weight of the number
-of distinct next symbols, at the root of the spelling towards 256 equal
-symbols; each adds up to one.
+Spelling distributions are smoothed towards the parent's with the weight of the
+number of distinct next symbols, at the root towards 256 equal symbols; each
+adds up to one.
 
 The spelling learns from the distinct words, each once: what it has to tell is
 how words look that were not seen, and those look like the rare ones.
 
 Scale: words are counted in one pass (map-side combined), spelling counts come
-from the vocabulary, token contexts are counted in one matrix of fixed size
-per task.  The spelling tree is a table that keeps every context which passes
+from the vocabulary.  The spelling tree is a table that keeps every context which passes
 the one divergence test, and its probabilities are joined to the distinct
 (context, symbol) pairs of the vocabulary; the ``HOT`` pairs that most words
 have, a fixed number, are broadcast (16 bytes a pair), the others of a word
@@ -41,14 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deliverix.llm import token_tree
 from deliverix.llm.shared import NULL_ID, Words, expand, fold_of, id_key, signed, text_slices, written
 
 DEPTH = 5
 MIN_DIVERGENCE = 8.0
 HOT = 1_000_000
 FREQUENT = 1 << 16
-CONTEXTS = 512
-SYMBOLS = 2048
 BLANK = 32
 
 
@@ -248,68 +244,23 @@ def score_words(vocabulary: DataFrame, spellings: DataFrame, total: int, kinds:
 
 
 class Frequent:
-    """The most frequent words: sorted keys, and by key their counts, log10 probabilities and ranks."""
+    """The most frequent words: sorted keys, and by key their counts and log10 probabilities."""
 
     def __init__(self, keys: np.ndarray, c: np.ndarray, log_p: np.ndarray):
-        rank = np.empty(len(keys), np.int64)
-        rank[np.lexsort((keys, -c))] = np.arange(len(keys))
         order = np.argsort(keys)
-        self.keys, self.c, self.log_p, self.rank = keys[order], c[order], log_p[order], rank[order]
-        self.rank[self.c == 0] = len(keys) + SYMBOLS  # words of other texts are no symbols
-
-    def tokens(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place in keys, whether there) of all words; context and symbol of all tokens, texts' ends included."""
-        k, hot = SuffixTree._find(self.keys, signed(w.hash))
-        rank = np.where(hot, self.rank[k], SYMBOLS) if len(self.keys) else np.full(len(w), SYMBOLS)
-        texts = len(w.at) - 1
-        end = w.at[1:] + np.arange(texts)  # token t of text d stands at t + d, the end behind
-        symbol = np.full(len(w) + texts, SYMBOLS + 1)
-        at = np.arange(len(w)) + np.repeat(np.arange(texts), w.counts)
-        symbol[at] = np.minimum(rank, SYMBOLS)
-        is_context = symbol < CONTEXTS
-        is_context[end] = True  # the next text begins anew
-        last = np.maximum.accumulate(np.where(is_context, np.arange(len(symbol)), -1))
-        before = np.concatenate([[-1], last[:-1]])
-        context = np.where(before < 0, CONTEXTS, symbol[before])
-        context[context > CONTEXTS] = CONTEXTS
-        return k, hot, context, symbol
-
-
-WIDTH = SYMBOLS + 2
-
-
-def _count_tokens(frequent) -> callable:
-    """Training texts to (code, n): how often each symbol follows each context, once per task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((CONTEXTS + 1) * WIDTH, np.int64)
-        for b in text_slices(batches, "text"):
-            _, _, context, symbol = frequent.value.tokens(Words(b.column("text"), lower=True))
-            n += np.bincount(context * WIDTH + symbol, minlength=len(n))
-        code = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(code), pa.array(n[code])], names=["code", "n"])
-    return run
-
-
-def token_gains(n: np.ndarray, root: np.ndarray, min_divergence: float) -> np.ndarray:
-    """What each context adds to the root's log10 probability of each symbol (0 where not retained)."""
-    total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-    p = (n + kinds * root) / np.maximum(total + kinds, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        divergence = np.where(n > 0, n * np.log(n / total / root), 0).sum(1, keepdims=True)
-        gain = np.log10(p / root)
-    return np.where((divergence >= min_divergence) & (root > 0) & (total > 0), gain, 0).astype(np.float32)
+        self.keys, self.c, self.log_p = keys[order], c[order], log_p[order]
 
 
 def _sum_documents(model) -> callable:
-    """(doc, th, text) to one row of sums over frequent words and contexts per text, and one row per other distinct word."""
+    """(doc, th, text) to one row of sums over frequent words and contexts per text, one row per other distinct word,
+    and rows of tokens whose contexts are not among the broadcast ones (``level`` above 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, gains = model.value
+        frequent, tree = model.value
         logs, known = np.log10(frequent.c + 0.5), (frequent.c > 0).astype(np.float64)
         for b in text_slices(batches, "text"):
             w, rows = Words(b.column("text"), lower=True), b.num_rows
-            k, hot, context, symbol = frequent.tokens(w)
-            token_doc = np.repeat(np.arange(rows), w.counts + 1)
-            gain = np.bincount(token_doc, weights=gains[context, symbol], minlength=rows)
+            k, hot = SuffixTree._find(frequent.keys, signed(w.hash))
+            gain, cold = tree.gains(w)
             doc, h = np.repeat(np.arange(rows), w.counts), signed(w.hash)
             hot_doc, k = doc[hot], k[hot]
 
@@ -331,8 +282,14 @@ def _sum_documents(model) -> callable:
                 pa.array(np.concatenate([th, h[first]])), pa.array(np.concatenate([np.zeros(rows), tf]).astype(np.int32)),
                 pa.array(np.concatenate([w.counts, zeros]).astype(np.int64)), pa.array(np.concatenate([total(known), zeros]).astype(np.int64)),
                 pa.array(np.concatenate([total(logs), zeros])), pa.array(np.concatenate([total(frequent.log_p) + gain, zeros])),
-                pa.array(np.concatenate([np.ones(rows), zeros]).astype(np.int32))],
-                names=["doc", "th", "key", "tf", "n", "known", "logs", "log_p", "texts"])
+                pa.array(np.concatenate([np.ones(rows), zeros]).astype(np.int32)), pa.nulls(len(take), token_tree.COLD)],
+                names=["doc", "th", "key", "tf", "n", "known", "logs", "log_p", "texts", "cold"])
+            if len(cold[0]):
+                at = pa.array(cold[0])
+                none, zero = pa.array(np.zeros(len(at), np.int64)), pa.array(np.zeros(len(at)))
+                yield pa.record_batch([
+                    b.column("doc").take(at), b.column("th").take(at), none, none.cast(pa.int32()), none, none, zero, zero, none.cast(pa.int32()), cold[1]],
+                    names=["doc", "th", "key", "tf", "n", "known", "logs", "log_p", "texts", "cold"])
     return run
 
 
@@ -353,7 +310,8 @@ def most_frequent(words: DataFrame, limit: int) -> DataFrame:
 
 
 def score(documents: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
-          frequent: int = FREQUENT, min_divergence: float = MIN_DIVERGENCE, hot: int = HOT) -> DataFrame:
+          frequent: int = FREQUENT, min_divergence: float = MIN_DIVERGENCE, hot: int = HOT,
+          min_count: int = token_tree.MIN_COUNT) -> DataFrame:
     """Score every row; learn from the rows where the column ``train`` is true.
 
     Returns (id, train, n_tokens, n_known, train_tokens, base_score, score):
@@ -381,20 +339,18 @@ def score(documents: DataFrame, train, id_col: str = "doc_id", text_col: str = "
     scored = written(score_words(vocabulary, spellings, total, kinds, hot), "scored-words")
     top = most_frequent(scored, frequent).toArrow()
     top = Frequent(*[top.column(x).to_numpy() for x in ("key", "c", "log_p")])
-    shared = spark.sparkContext.broadcast(top)
-    pairs = (docs.where("train").select("text").mapInArrow(_count_tokens(shared), "code long, n long")
-             .groupBy("code").agg(F.sum("n").alias("n")).toArrow())  # (CONTEXTS + 1) * WIDTH numbers at most
-    n = np.zeros((CONTEXTS + 1) * WIDTH)
-    n[pairs.column("code").to_numpy()] = pairs.column("n").to_numpy()
     end = ends / (total + kinds) if ends else 1.0
-    root = np.zeros(WIDTH)
-    symbol = top.rank < SYMBOLS
-    root[top.rank[symbol]] = 10.0 ** top.log_p[symbol]
-    root[SYMBOLS + 1] = end
-    root[SYMBOLS] = max(1.0 - root.sum(), 1e-12)
-    gains = token_gains(n.reshape(-1, WIDTH), root, min_divergence)
-    model = spark.sparkContext.broadcast((top, gains))
-    sums = docs.mapInArrow(_sum_documents(model), "doc long, th long, key long, tf int, n long, known long, logs double, log_p double, texts int")
+    tree = token_tree.grow(docs.where("train").select("text"), scored, ends, end, min_divergence, min_count)
+    hot_tree = tree.hot(hot)
+    model = spark.sparkContext.broadcast((top, hot_tree))
+    sums = docs.mapInArrow(_sum_documents(model), "doc long, th long, key long, tf int, n long, known long, logs double, log_p double, texts int, "
+                           f"cold {token_tree.COLD_DDL}")
+    cold = None
+    if hot_tree.some_cold:  # tokens whose contexts were not broadcast meet them by joins
+        sums = written(sums, "document-sums")
+        cold = tree.cold_gains(sums.where("cold IS NOT NULL").select("doc", "th", "cold.*"))
+        sums = sums.where("cold IS NULL")
+    sums = sums.drop("cold")
     c = F.coalesce(F.col("c"), F.lit(0))
     s, v = sums.alias("s"), scored.withColumnRenamed("log_p", "word_log_p").alias("v")
     each = s.join(v, F.col("s.key") == F.col("v.key"), "left").select(
@@ -402,6 +358,9 @@ def score(documents: DataFrame, train, id_col: str = "doc_id", text_col: str = "
         (F.col("known") + F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"),
         (F.col("logs") + F.col("tf") * F.log10(c + 0.5)).alias("logs"),
         (F.col("log_p") + F.col("tf") * F.coalesce("word_log_p", F.lit(0.0))).alias("log_p"))
+    if cold is not None:
+        each = each.unionByName(cold.select("doc", "th", F.lit(0).alias("texts"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("known"),
+                                            F.lit(0.0).alias("logs"), F.col("gain").alias("log_p")))
     by_doc = each.groupBy("doc", "th").agg(*[F.sum(x).alias(x) for x in ("texts", "n", "known", "logs", "log_p")])
     one = by_doc.select(  # equal rows of one id share their sums
         "doc", F.explode(F.sequence(F.lit(1), F.col("texts").cast("int"))).alias("copy"),
