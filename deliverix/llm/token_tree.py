@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from deliverix.llm.shared import Words, mix, signed, text_slices, written
 
 DEPTH = 3
-MIN_COUNT = 256
+MIN_COUNT = 64
 MIN_PAIR = 4
 PRIOR = 4.0
 BEGIN, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
