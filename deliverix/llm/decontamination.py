@@ -102,7 +102,8 @@ def scan(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     Null or wordless texts have no words and no hits, an empty benchmark hits
     nothing, an item of fewer words than a window is one window, repeated
     items hit together, a null item id counts for no item name but its words
-    are hit; repeated document rows are scanned each.
+    are hit; repeated document rows are scanned each; very long texts are scanned
+    whole; an empty table gives an empty one; other columns are not looked at.
     """
     spark = documents.sparkSession
     windows = written(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")

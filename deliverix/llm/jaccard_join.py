@@ -271,7 +271,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     links connect; n_links: other documents of a similarity of ``threshold`` or
     more, those with an equal set of shingles (n_copies) included.  Texts
     without words have no links and a class of their own.  Rows that repeat an
-    id count as documents of their own.
+    id count as documents of their own.  A very long text is one set of shingles,
+    compared in a block of its own size; an empty table gives an empty one; other
+    columns, whatever their names, are not looked at.
     """
     kind = documents.schema[id_col].dataType.simpleString()
     signed_, nodes = _linked(documents, id_col, text_col, threshold, tolerance)
@@ -284,33 +286,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).alias("n_links"), F.coalesce(F.col("copies") - 1, F.lit(0)).alias("n_copies"))
 
 
-def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` (all columns) that stand for their class: one row with the class's smallest id.
-
-    Among rows that repeat that id, one with the smallest hash of its text stays.
-    """
-    found = near_duplicates(documents, id_col, text_col).select(F.col(id_col).alias("_kept"), "class_id")
-    kept = written(found.where(F.col("_kept").eqNullSafe(F.col("class_id"))).select("_kept").distinct(), "kept-ids")
-    rows = documents.join(kept, documents[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    columns = documents.columns
-    order = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    many = rows.groupBy(id_col).agg(F.min(order).alias("_th"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if many.isEmpty():
-        return rows
-    several = many.select(F.col(id_col).alias("_id"), "_th")
-    joined = rows.join(several, rows[id_col].eqNullSafe(several["_id"]), "left")
-    single = joined.where(F.col("_th").isNull()).select(*columns)
-    repeated = joined.where(F.col("_th") == order).select(*columns).dropDuplicates([id_col])
-    return single.unionByName(repeated)
-
-
 def keep_representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` (all columns) that stand for their class: of each class one row.
 
     It is the row with the class's smallest id (null is the smallest), among
     those the one with the smallest hash of its text; among rows equal in both,
     any.  An id may stand for several classes by rows of its own.  Texts
-    without words are each a class, so all of them stay.
+    without words are each a class, so all of them stay, null ones included.  An
+    empty table stays empty.
     """
     signed_, nodes = _linked(documents, id_col, text_col, THRESHOLD, TOLERANCE)
     least = nodes.groupBy("label").agg(F.min("rep").alias("rep")).select("rep.doc", "rep.th")

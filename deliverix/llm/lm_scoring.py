@@ -102,56 +102,6 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.record_batch([pa.array(entry), pa.array(total.astype(np.int64))], names=["entry", "n"])
 
 
-class SuffixTree:
-    """Retained contexts with log10 weights of their parents, and log10 probabilities of their entries."""
-
-    def __init__(self, entries: np.ndarray, n: np.ndarray):
-        order = np.argsort(entries)
-        self.entry, n = entries[order], n[order].astype(np.float64)
-        context = self.entry >> 8
-        self.state, first, code = np.unique(context, return_index=True, return_inverse=True)
-        total = np.bincount(code, weights=n, minlength=len(self.state))
-        kinds = np.bincount(code, minlength=len(self.state))
-        self.back = np.log10(kinds / (total + kinds)) if len(self.state) else np.zeros(0)
-        p = np.zeros(len(n))
-        depth = self.entry >> 48
-        for d in range(DEPTH + 1):  # parents before children
-            at = np.flatnonzero(depth == d)
-            if d == 0:
-                parent = np.full(len(at), 1 / 256)
-            else:
-                c = (self.entry[at] >> 8) & ((1 << 8 * (d - 1)) - 1)
-                parent = p[np.searchsorted(self.entry, _entry(d - 1, c, self.entry[at] & 255))]
-            p[at] = (n[at] + kinds[code[at]] * parent) / (total[code[at]] + kinds[code[at]])
-        self.log_p = np.log10(p)
-
-    @staticmethod
-    def _find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
-        return at, known[at] == x if len(known) else np.zeros(len(x), bool)
-
-    def score(self, words: pa.Array) -> np.ndarray:
-        """log10 probability of each word (its bytes and the closing blank)."""
-        symbol, contexts, longest, size = symbols(words)
-        level = np.full(len(symbol), -1)
-        for d in range(DEPTH, -1, -1):
-            open_ = np.flatnonzero((level < 0) & (longest >= d))
-            _, has = self._find(self.state, (np.int64(d) << 40) | contexts[d][open_])
-            level[open_[has]] = d
-        out = np.zeros(len(symbol))
-        open_ = np.ones(len(symbol), bool)
-        for d in range(DEPTH, -1, -1):
-            at = np.flatnonzero(open_ & (level >= d))
-            k, has = self._find(self.entry, _entry(d, contexts[d][at], symbol[at]))
-            out[at[has]] += self.log_p[k[has]]
-            open_[at[has]] = False
-            miss = at[~has]
-            k, _ = self._find(self.state, (np.int64(d) << 40) | contexts[d][miss])
-            out[miss] += self.back[k]
-        out[open_] += np.log10(1 / 256)
-        return np.add.reduceat(out, np.cumsum(size) - size) if len(size) else np.zeros(0)
-
-
 def _spellings(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of all symbols of the words: the entry of its longest context, and the number of symbols of each word."""
     symbol, contexts, longest, size = symbols(words)
@@ -216,7 +166,7 @@ def _spell(hot) -> callable:
             for at in range(0, b.num_rows, 100_000):
                 part = b.slice(at, 100_000)
                 entry, size = _spellings(part.column("word"))
-                k, has = SuffixTree._find(keys, entry)
+                k, has = token_tree.find(keys, entry)
                 values = np.zeros(len(entry))
                 values[has] = log_p[k[has]]
                 first = np.cumsum(size) - size
@@ -259,7 +209,7 @@ def _sum_documents(model) -> callable:
         logs, known = np.log10(frequent.c + 0.5), (frequent.c > 0).astype(np.float64)
         for b in text_slices(batches, "text"):
             w, rows = Words(b.column("text"), lower=True), b.num_rows
-            k, hot = SuffixTree._find(frequent.keys, signed(w.hash))
+            k, hot = token_tree.find(frequent.keys, signed(w.hash))
             gain, cold = tree.gains(w)
             doc, h = np.repeat(np.arange(rows), w.counts), signed(w.hash)
             hot_doc, k = doc[hot], k[hot]

@@ -115,7 +115,12 @@ def compile_rules(rules=RULES) -> Column:
 
 def apply_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """Measures plus base_failed (under 10 words, or over 20 % of the words in repeated windows) and
-    kept (false if base_failed, else whether all rules hold).  Null text: no words, base_failed."""
+    kept (false if base_failed, else whether all rules hold).
+
+    A null, empty or wordless text has no words and is base_failed.  Very long texts
+    are measured whole.  Rows are judged each for itself: repeated rows and ids,
+    null ids and ties change nothing, an empty table gives an empty one, other columns
+    are not looked at."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measure(documents, id_col, text_col).withColumn("base_failed", base_failed).withColumn(
         "kept", ~F.col("base_failed") & compile_rules(rules))

@@ -158,7 +158,10 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, n_words, n_removed, text) of every row: the words outside repeated spans, joined by one space.
 
     Windows are judged on the input, not on what is left.  A null or wordless
-    text has no words; shorter texts than a window keep all.
+    text has no words; shorter texts than a window keep all.  Very long texts are
+    read whole.  Rows that repeat an id share its coordinates;
+    rows equal in id and text are one document.  An empty table gives an empty one;
+    other columns, whatever their names, are not looked at.
     """
     spans = repeated_spans(documents, id_col, text_col, window, core)
     spans = spans.groupBy("doc", "th").agg(F.collect_set(F.shiftleft("start", 32) + F.col("words")).alias("spans"))  # of one document

@@ -48,6 +48,12 @@ COLD = pa.struct([("gain", pa.float64()), ("level", pa.int32()), *((f"{k}{d}", p
 COLD_DDL = "struct<gain:double,level:int," + ",".join(f"{k}{d}:bigint" for d in range(1, DEPTH + 1) for k in "ce") + ">"
 
 
+def find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``x`` in the sorted ``known``, and whether they are there."""
+    at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+    return at, known[at] == x if len(known) else np.zeros(len(x), bool)
+
+
 def run_key(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Key of a run of tokens from that of all but the last and the last."""
     return mix(before ^ mix(token, 61), 62)
@@ -162,11 +168,6 @@ class HotTree:
     def some_cold(self) -> bool:
         return bool(self.others.any())
 
-    @staticmethod
-    def _find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
-        return at, known[at] == x if len(known) else np.zeros(len(x), bool)
-
     def gains(self, w: Words) -> tuple[np.ndarray, tuple[np.ndarray, pa.Array | None]]:
         """What contexts add to the root's log10 probability of each text, and of the tokens with contexts
         that are not here their texts and what the joins need (they are left out of the sums)."""
@@ -175,10 +176,10 @@ class HotTree:
         level = np.zeros(len(doc), np.int32)
         for d in range(1, DEPTH + 1):  # from the shortest up; a retained context's suffixes are retained
             open_ = np.flatnonzero(there[d - 1] & (level == d - 1))
-            k, has = self._find(self.ctx, signed(before[d - 1][open_]))
+            k, has = find(self.ctx, signed(before[d - 1][open_]))
             open_, k = open_[has], k[has]
             level[open_] = d
-            e, known = self._find(self.key, signed(keys[d - 1][open_]))
+            e, known = find(self.key, signed(keys[d - 1][open_]))
             gain[open_] = np.where(known, self.gain[e] if len(self.gain) else 0.0, self.back[k] + gain[open_])
         cold = np.zeros(len(doc), bool)
         if self.some_cold:

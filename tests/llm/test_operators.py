@@ -11,6 +11,7 @@ import pytest
 
 from deliverix.llm import classifier, decontamination, html_extract, jaccard_join, line_dedup, lm_scoring, mixing, quality_rules, substring_dedup, token_output
 from deliverix.llm.shared import scratch_path
+from spelling_tree import SuffixTree
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,11 +135,6 @@ def test_jaccard_join(make_docs, odd_rows, monkeypatch):
     assert rows_of(jaccard_join.query(make_docs(rows)), "doc_id", "class_id", "n_links") == brute_jaccard(rows)
 
 
-def test_keep_first(make_docs, odd_rows):
-    kept = Counter(r.doc_id for r in jaccard_join.keep_first(make_docs(odd_rows)).collect())
-    assert kept[1] == 1 and kept[2] == 0 and kept[3] == 0 and kept[7] == 1 and max(kept.values()) == 1
-
-
 def kept_by_class(rows):
     """Brute force: of each class of near duplicates the row of the smallest id; of texts without words all rows."""
     sets = []
@@ -325,7 +321,7 @@ def test_spelling_adds_up():
     import pyarrow as pa
     symbol, contexts, longest, size = lm_scoring.symbols(pa.array(["abab", "ab", "b"]))
     entries = Counter(int(e) for d in range(lm_scoring.DEPTH + 1) for e in lm_scoring._entry(d, contexts[d][longest >= d], symbol[longest >= d]))
-    tree = lm_scoring.SuffixTree(np.array(list(entries)), np.array(list(entries.values())))
+    tree = SuffixTree(np.array(list(entries)), np.array(list(entries.values())))
     every = [bytes([x]).decode("latin-1") for x in range(33, 127)]
     begin = sum(10 ** tree.score(pa.array([x]))[0] for x in every)
     assert begin < 1.0 and tree.score(pa.array(["ab"]))[0] > tree.score(pa.array(["ba"]))[0]
@@ -343,7 +339,7 @@ def test_spelling_tree_is_never_cut(spark, make_docs, odd_rows):
     n = Counter(int(e) for d in range(lm_scoring.DEPTH + 1) for e in lm_scoring._entry(d, contexts[d][longest >= d], symbol[longest >= d]))
     kept, entries = lm_scoring.grow_tree(spark.createDataFrame(list(n.items()), "entry long, n long"), 2.0)
     assert {r.state for r in kept.collect()} == {r.entry >> 8 for r in entries.collect()} and 1 < kept.count() < len({e >> 8 for e in n})
-    tree = lm_scoring.SuffixTree(*[np.array(x) for x in zip(*[(r.entry, r.n) for r in entries.collect()])])
+    tree = SuffixTree(*[np.array(x) for x in zip(*[(r.entry, r.n) for r in entries.collect()])])
     asked = pa.array(["lokta", "mirte", "zz", "lo", "xku", "ÄÖ"])
     entry, size = lm_scoring._spellings(asked)
     spellings = spark.createDataFrame([(int(e), 1) for e in set(entry.tolist())], "key long, c long")
@@ -359,7 +355,7 @@ def test_empty_tables(spark, make_docs):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for df in (line_dedup.query(docs), token_output.query(docs), substring_dedup.query(docs), jaccard_join.query(docs), mixing.query(docs),
                quality_rules.query(docs), decontamination.query(docs, bench), classifier.query(docs, labels), html_extract.query(pages),
-               lm_scoring.query(docs), jaccard_join.keep_first(docs), mixing.mixed(docs), decontamination.clean_documents(docs, bench)):
+               lm_scoring.query(docs), jaccard_join.keep_representatives(docs), mixing.mixed(docs), decontamination.clean_documents(docs, bench)):
         assert df.count() == 0
 
 
