@@ -261,7 +261,7 @@ def most_frequent(words: DataFrame, limit: int) -> DataFrame:
 
 def score(documents: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
           frequent: int = FREQUENT, min_divergence: float = MIN_DIVERGENCE, hot: int = HOT,
-          min_count: int = token_tree.MIN_COUNT) -> DataFrame:
+          min_count: int = token_tree.MIN_COUNT, min_pair: int = token_tree.MIN_PAIR, hot_contexts: int = token_tree.HOT) -> DataFrame:
     """Score every row; learn from the rows where the column ``train`` is true.
 
     Returns (id, train, n_tokens, n_known, train_tokens, base_score, score):
@@ -290,8 +290,8 @@ def score(documents: DataFrame, train, id_col: str = "doc_id", text_col: str = "
     top = most_frequent(scored, frequent).toArrow()
     top = Frequent(*[top.column(x).to_numpy() for x in ("key", "c", "log_p")])
     end = ends / (total + kinds) if ends else 1.0
-    tree = token_tree.grow(docs.where("train").select("text"), scored, ends, end, min_divergence, min_count)
-    hot_tree = tree.hot(hot)
+    tree = token_tree.grow(docs.where("train").select("text"), scored, ends, end, min_divergence, min_count, min_pair)
+    hot_tree = tree.hot(hot_contexts)
     model = spark.sparkContext.broadcast((top, hot_tree))
     sums = docs.mapInArrow(_sum_documents(model), "doc long, th long, key long, tf int, n long, known long, logs double, log_p double, texts int, "
                            f"cold {token_tree.COLD_DDL}")

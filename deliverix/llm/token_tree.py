@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 from deliverix.llm.shared import Words, mix, signed, text_slices, written
 
 DEPTH = 3
-MIN_COUNT = 64
-MIN_PAIR = 4
+MIN_COUNT = 256
+MIN_PAIR = 16
 PRIOR = 4.0
+#: Entries that are broadcast for scoring, those of the most frequent contexts; tokens in other contexts are joined.
+HOT = 1 << 20
 BEGIN, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 #: Longs of a bitmap, of ``BITS`` bits each (2 MB).
 LONGS, BITS = 1 << 18, 62

@@ -87,10 +87,10 @@ def test_contexts_against_brute_force(make_docs, corpus):
         base = {r.doc_id: r.score for r in lm_scoring.score(single, train, min_divergence=min_divergence, min_count=10 ** 9).collect()}
         end = 10 ** base[corpus.index("")]
         root = {w: 10 ** base[3 * (1000 + k)] / end for k, w in enumerate(kinds)} | {"</s>": end}
-        want, kept = brute_gains(used, corpus, root, min_count, token_tree.MIN_PAIR, min_divergence)
+        want, kept = brute_gains(used, corpus, root, min_count, 4, min_divergence)
         assert {len(c) for c in kept} >= ({1, 2, 3} if min_divergence < 10 else {1})
         for hot in (10 ** 6, 40, 0):  # all contexts broadcast, some, none
-            got = {r.doc_id: r.score for r in lm_scoring.score(docs, train, min_divergence=min_divergence, min_count=min_count, hot=hot).collect()}
+            got = {r.doc_id: r.score for r in lm_scoring.score(docs, train, min_divergence=min_divergence, min_count=min_count, min_pair=4, hot_contexts=hot).collect()}
             for k in range(len(corpus)):
                 assert got[k] - base[k] == pytest.approx(want[k], abs=1e-6), (k, hot)
     assert sum(want[k] for k in range(len(corpus)) if k % 3 == 0) > 0  # held-out texts gain
@@ -107,7 +107,7 @@ def test_distributions_add_up_to_one(spark, corpus):
     keys = {w: int(signed(Words(pa.array([w])).hash)[0]) for w in words}
     total = sum(words.values()) + len(rows)
     table = spark.createDataFrame([(keys[w], c, math.log10(c / total)) for w, c in words.items()], "key long, c long, log_p double")
-    tree = token_tree.grow(spark.createDataFrame(rows, "text string"), table, len(rows), len(rows) / total, 4.0, 8)
+    tree = token_tree.grow(spark.createDataFrame(rows, "text string"), table, len(rows), len(rows) / total, 4.0, 8, 4)
     entries = {}
     for r in tree.entries.collect():
         entries.setdefault(r.ctx, {})[r.key] = r.gain
