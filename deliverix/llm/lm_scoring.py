@@ -4,7 +4,7 @@ The model reads a text as tokens: words, then one end.  Two levels of contexts:
 
 * Tokens (module ``token_tree``).  The root predicts a token from the training
   counts, and with the weight of the number of distinct words a word that is
-  spelled.  From the longest retained suffix of up to three tokens before it
+  spelled.  From the longest retained suffix of up to two tokens before it
   (the text's beginning is a token) a tree of contexts corrects that.
 * Spelling.  A word's bytes and closing blank are predicted one after another
   from the longest retained suffix, up to ``DEPTH`` symbols, of what precedes

@@ -1,4 +1,4 @@
-"""Contexts of tokens for operator 10: a probabilistic suffix tree over up to three tokens.
+"""Contexts of tokens for operator 10: a probabilistic suffix tree over up to two tokens.
 
 * A context is what stands before a token: the last 1 to ``DEPTH`` tokens, the
   text's beginning being one.  Candidates are those that occur ``MIN_COUNT`` times
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,15 @@ from pyspark.sql import functions as F
 
 from deliverix.llm.shared import Words, mix, signed, text_slices, written
 
-DEPTH = 3
+DEPTH = 2
 MIN_COUNT = 256
 MIN_PAIR = 16
 PRIOR = 4.0
 #: Entries that are broadcast for scoring, those of the most frequent contexts; tokens in other contexts are joined.
 HOT = 1 << 20
 BEGIN, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
+#: Text whose runs are counted at once: about 150 bytes of arrays per byte.
+SLICE = 1 << 21
 #: Longs of a bitmap, of ``BITS`` bits each (2 MB).
 LONGS, BITS = 1 << 18, 62
 
@@ -56,6 +59,35 @@ def find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == x if len(known) else np.zeros(len(x), bool)
 
 
+class Index:
+    """Sorted keys, found by their leading bits: keys are hashes, so a few stand behind each."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = keys.view(np.uint64)
+        self.order = np.argsort(keys)
+        self.keys = np.append(keys[self.order], np.uint64(0))
+        bits = max(1, min(24, len(keys).bit_length() + 1))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.full((1 << bits) + 1, len(keys), np.int32)
+        self.first[:-1] = np.searchsorted(keys[self.order], np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key its place in the given order, and whether it is there."""
+        lead = (x >> self.shift).astype(np.int64)
+        at, end = self.first[lead], self.first[lead + 1]
+        has = (at < end) & (self.keys[at] == x)
+        left = np.flatnonzero(~has & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            found = self.keys[at[left]] == x[left]
+            has[left[found]] = True
+            left = left[~found]
+            left = left[at[left] + 1 < end[left]]
+        place = np.zeros(len(x), np.int64)
+        place[has] = self.order[at[has]]
+        return place, has
+
+
 def run_key(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Key of a run of tokens from that of all but the last and the last."""
     return mix(before ^ mix(token, 61), 62)
@@ -96,11 +128,24 @@ def in_bitmap(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[at // BITS] >> (at % BITS)) & 1 == 1
 
 
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about SLICE bytes."""
+    kept, size = [], 0
+    for b in batches:
+        kept.append(b)
+        size += b.nbytes
+        if size >= SLICE:
+            yield pa.concat_batches(kept)
+            kept, size = [], 0
+    if kept:
+        yield pa.concat_batches(kept)
+
+
 def _count(shared, d: int):
     """Training texts to (ctx, x, n): how often symbols that may be frequent follow contexts of ``d`` tokens that may be."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, contexts = shared.value
-        for b in text_slices(batches, "text"):
+        for b in text_slices(whole(batches), "text", SLICE):
             _, token, before, there, _ = runs(Words(b.column("text"), lower=True))
             use = there[d - 1] & ((token == END) | in_bitmap(words, token)) & ((before[d - 1] == BEGIN) | in_bitmap(contexts, before[d - 1]))
             ctx, x = before[d - 1][use], token[use]
@@ -170,18 +215,24 @@ class HotTree:
     def some_cold(self) -> bool:
         return bool(self.others.any())
 
+    @cached_property
+    def indexes(self) -> tuple[Index, Index]:
+        """Made where they are used: they are larger than what is sent."""
+        return Index(self.ctx), Index(self.key)
+
     def gains(self, w: Words) -> tuple[np.ndarray, tuple[np.ndarray, pa.Array | None]]:
         """What contexts add to the root's log10 probability of each text, and of the tokens with contexts
         that are not here their texts and what the joins need (they are left out of the sums)."""
         doc, token, before, there, keys = runs(w)
+        contexts, known_runs = self.indexes
         gain = np.zeros(len(doc))
         level = np.zeros(len(doc), np.int32)
         for d in range(1, DEPTH + 1):  # from the shortest up; a retained context's suffixes are retained
             open_ = np.flatnonzero(there[d - 1] & (level == d - 1))
-            k, has = find(self.ctx, signed(before[d - 1][open_]))
+            k, has = contexts.find(before[d - 1][open_])
             open_, k = open_[has], k[has]
             level[open_] = d
-            e, known = find(self.key, signed(keys[d - 1][open_]))
+            e, known = known_runs.find(keys[d - 1][open_])
             gain[open_] = np.where(known, self.gain[e] if len(self.gain) else 0.0, self.back[k] + gain[open_])
         cold = np.zeros(len(doc), bool)
         if self.some_cold:
