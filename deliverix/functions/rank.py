@@ -17,8 +17,6 @@ from deliverix.functions.joins import cross_one_row
 
 #: Ranges that values are cut into.
 RANGES = 4096
-#: Rows of a range that one task may order when a cut is looked for; larger ones are cut again.
-BOUND = 1_000_000
 _BUCKETS = 1 << 30
 
 
@@ -51,12 +49,13 @@ def with_ranges(df: DataFrame, key: str, ranges: int = RANGES, of: str = "_range
     return rows.withColumn(of, (F.col("_coarse") * wide + F.coalesce(fine, F.lit(0))).cast("int")).drop("_slices", "_last", "_coarse")
 
 
-def avg_pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+def avg_pct_rank(df: DataFrame, value: str, out: str, source: DataFrame | None = None) -> DataFrame:
     """Percent rank with ties sharing their average rank (pandas ``rank(pct=True)``).
 
     pct = (rows below + (ties + 1) / 2) / non-null rows; NULL values get NULL.
+    ``source``: a frame with the same rows from which the values are cheaper to read.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_ties"))
+    counts = (df if source is None else source).where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_ties"))
     counts = with_ranges(counts, value)
     per = counts.groupBy("_range").agg(F.sum("_ties").alias("_rows"))
     per = per.select("_range", F.coalesce(F.sum("_rows").over(_before("_range")), F.lit(0)).alias("_offset"),
@@ -88,29 +87,18 @@ def _before(key: str) -> Window:
     return Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _cut(rows: DataFrame, key: str, ranges: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``_left`` (how many of them are wanted) to those in ranges taken whole, and those of the range with the cut."""
-    rows = with_ranges(rows, key, ranges)
-    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_in_range"), F.first("_left").alias("_wanted"))
-    counts = counts.select("_range", "_in_range", (F.col("_wanted") - F.coalesce(F.sum("_in_range").over(_before("_range")), F.lit(0))).alias("_still"))
-    rows = rows.drop("_left").join(F.broadcast(counts.where(F.col("_still") > 0)), on="_range", how="inner")
-    whole = rows.where(F.col("_in_range") <= F.col("_still")).drop("_range", "_in_range", "_still")
-    cut = rows.where(F.col("_in_range") > F.col("_still")).withColumnRenamed("_still", "_left").drop("_range")
-    return whole, cut
-
-
-def first_by_key(df: DataFrame, key: str, take: Column, ranges: int = RANGES, bound: int = BOUND) -> DataFrame:
+def first_by_key(df: DataFrame, key: str, take: Column, ranges: int = RANGES) -> DataFrame:
     """The ``take`` rows with the smallest ``key`` (unique, not null); ``take`` is the same on all rows.
 
-    Counts per range say which ranges are taken whole.  The range in which the
-    cut lies is cut again at splitters of its own if it holds more than ``bound`` rows,
-    twice at most, so that after ranges of N / ``ranges`` rows those of N /
-    ``ranges`` squared are ordered row by row, whatever the keys look like.
+    Counts per range say which ranges are taken whole; only the range in which
+    the cut lies, about one in ``ranges`` of the rows whatever the keys look like,
+    is ordered row by row.
     """
-    whole, cut = _cut(df.withColumn("_left", take.cast("long")), key, ranges)
-    small, large = cut.where(F.col("_in_range") <= bound), cut.where(F.col("_in_range") > bound)
-    more, rest = _cut(large.drop("_in_range"), key, ranges)
-    last = small.drop("_in_range").unionByName(rest.drop("_in_range"))  # one of them is empty
-    ordered = last.withColumn("_rn", F.row_number().over(Window.partitionBy("_left").orderBy(key))).where(F.col("_rn") <= F.col("_left"))
-    out = [part.select(*df.columns) for part in (whole, more, ordered)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    rows = with_ranges(df.withColumn("_left", take.cast("long")), key, ranges)
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_in_range"), F.first("_left").alias("_wanted"))
+    counts = counts.select("_range", "_in_range", (F.col("_wanted") - F.coalesce(F.sum("_in_range").over(_before("_range")), F.lit(0))).alias("_still"))
+    rows = rows.join(F.broadcast(counts.where(F.col("_still") > 0)), on="_range", how="inner")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    cut = rows.where(F.col("_in_range") > F.col("_still")).withColumn("_rn", place).where(F.col("_rn") <= F.col("_still"))
+    whole = rows.where(F.col("_in_range") <= F.col("_still"))
+    return whole.select(*df.columns).unionByName(cut.select(*df.columns))

@@ -87,7 +87,7 @@ def freight_outlier_lanes(freight: DataFrame, n: int = 5) -> DataFrame:
     """Every lane (cost x lead time) with marker size; the ``n`` lanes with the
     highest cost rank + late rank carry a label, the others NULL."""
     f = avg_pct_rank(freight, "avg_freight_cost", "_pc")
-    f = avg_pct_rank(f, "late_rate_pct", "_pl")
+    f = avg_pct_rank(f, "late_rate_pct", "_pl", source=freight)
     f = f.withColumn("index_score", F.col("_pc") + F.col("_pl"))
     lane = ["seller_state", "customer_state", "category_en"]
     top = f.orderBy(F.desc("index_score"), *lane).limit(n).select(

@@ -33,8 +33,8 @@ def freight_corridors(freight: DataFrame, params: Params = DEFAULT) -> DataFrame
         exact_avg("late_rate_pct", 1).alias("late_rate_pct"),
         exact_avg("freight_pct_of_value", 1).alias("freight_pct_of_value"),
     ).where(F.col("shipments") >= params.min_corridor_shipments)
-    route = avg_pct_rank(route, "avg_freight_cost", "_cost_rank")
-    route = avg_pct_rank(route, "late_rate_pct", "_late_rank")
+    ranked = avg_pct_rank(route, "avg_freight_cost", "_cost_rank")
+    route = avg_pct_rank(ranked, "late_rate_pct", "_late_rank", source=route)
     return route.select(
         "seller_state", "customer_state", "shipments", "avg_freight_cost", "avg_lead_time",
         "late_rate_pct", "freight_pct_of_value",
