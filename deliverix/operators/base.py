@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deliverix.functions.columns import day_diff, day_of_week, month_start, week_start
+from deliverix.functions.joins import likely_partners
 from deliverix.sources.tables import MarketTables
 
 CORE_COLUMNS = (
@@ -87,14 +88,20 @@ def order_lines(items: DataFrame, core: DataFrame) -> DataFrame:
     return i.join(c, on="order_id", how="inner")
 
 
-def all_order_lines(tables: MarketTables, core: DataFrame) -> DataFrame:
+def all_order_lines(tables: MarketTables, core: DataFrame, core_bits: DataFrame | None = None) -> DataFrame:
     """:func:`order_lines` of all items.
 
+    ``core_bits``, :func:`key_bits` of the clean orders, leaves out lines of other
+    orders before the join shuffles them.  It shuffles whatever the clean orders'
+    compressed files let Spark estimate: a broadcast would hold every one of them.
     Lines of hot orders, if the ingest set them apart, meet their few orders by
     broadcast (there are fewer hot orders than buckets), so that no bucket waits for them.
     """
     if tables.hot_items is None:
-        return order_lines(tables.items, core)
+        items = tables.items
+        if core_bits is not None and items.schema["order_id"].dataType == core.schema["order_id"].dataType:
+            items = likely_partners(items, "order_id", core_bits)
+        return order_lines(items, core.hint("merge"))
     keys = tables.hot_items.select("order_id").distinct()
     hot_core = F.broadcast(core.join(F.broadcast(keys), on="order_id", how="left_semi"))
     return order_lines(tables.bucketed_items, core).unionByName(order_lines(tables.hot_items, hot_core))
@@ -108,14 +115,16 @@ def enriched_lines(lines: DataFrame, categories: DataFrame, sellers: DataFrame)
     ``has_seller`` instead of joining again: the line table is shuffled for
     these dimensions once, not once per KPI.  Equivalent to the inner joins
     as long as product_id and seller_id are keys (checked by the quality gates).
-    Spark picks the joins from measured sizes (adaptive execution).
+    Products meet the lines by a shuffle: a static estimate from the bytes of
+    compressed files would broadcast a catalogue many times its size.  Sellers
+    are joined as Spark decides (adaptive execution).
     """
     cat = categories.withColumn("has_product", F.lit(True))
     sel = sellers.select("seller_id", "seller_state", "seller_city").withColumn("has_seller", F.lit(True))
-    lines = lines.join(cat, on="product_id", how="left").join(sel, on="seller_id", how="left")
+    lines = lines.join(cat.hint("merge"), on="product_id", how="left").join(sel, on="seller_id", how="left")
     return lines.select(
         "order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value",
-        "customer_unique_id", "customer_state", "purchase_ts", "purchase_week", "actual_lead_time_days", "is_late",
+        "customer_state", "purchase_ts", "actual_lead_time_days", "is_late",
         F.coalesce("has_product", F.lit(False)).alias("has_product"),
         "category_en", "product_weight_g", "volume_m3",
         F.coalesce("has_seller", F.lit(False)).alias("has_seller"),

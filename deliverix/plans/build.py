@@ -20,6 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from deliverix.functions.joins import key_bits
 from deliverix.operators import base, charts, derived, kpis, quality, summary, views, writeup
 from deliverix.params import DEFAULT, Params
 from deliverix.sources.tables import MarketTables
@@ -66,7 +67,7 @@ class Build:
             rows, seen = df, Observation(f"{name} of a build")
             if metrics:
                 rows = df.observe(seen, *quality.fact_metrics(name))
-            rows.write.parquet(path)
+            rows.write.option("compression", "zstd").parquet(path)
             df = self.spark.read.schema(df.schema).parquet(path)
             if metrics:
                 schema, got = df.agg(*quality.fact_metrics(name)).schema, seen.get
@@ -108,9 +109,16 @@ class Build:
     def categories(self) -> DataFrame:
         return base.product_categories(self.t.products, self.t.translations)
 
+    @cached_property
+    def _core_bits(self) -> DataFrame | None:
+        """Which order ids may be clean, where finding out does not compute the clean orders again."""
+        if self.materialize not in ("table", "checkpoint") or self.t.hot_items is not None:
+            return None
+        return self._keep_small(key_bits(self.core, "order_id"))
+
     @cached_property
     def lines(self) -> DataFrame:
-        return self._keep(base.enriched_lines(base.all_order_lines(self.t, self.core), self.categories, self.t.sellers), "lines")
+        return self._keep(base.enriched_lines(base.all_order_lines(self.t, self.core, self._core_bits), self.categories, self.t.sellers), "lines")
 
     @cached_property
     def lines_cat(self) -> DataFrame:
@@ -170,7 +178,7 @@ class Build:
     def order_grain(self) -> DataFrame:
         """Order-level sums of the lines (orders-sized; reused by J14, J24, J25), grouped
         straight on the order join: its partitioning by order_id serves the sums too."""
-        return self._keep(kpis.order_grain(base.all_order_lines(self.t, self.core)), "order-grain")
+        return self._keep(kpis.order_grain(base.all_order_lines(self.t, self.core, self._core_bits)), "order-grain")
 
     @cached_property
     def corridors(self) -> DataFrame:

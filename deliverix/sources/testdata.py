@@ -84,7 +84,7 @@ def load_testdata(spark: SparkSession, sf_dir: str) -> MarketTables:
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
         F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"),
     )
-    o = o.join(ship_days, o.o_orderkey == ship_days.l_orderkey, "left")
+    o = o.join(ship_days.hint("merge"), o.o_orderkey == ship_days.l_orderkey, "left")
     first_ship = F.array_min(F.filter("ship_days", lambda d: d >= F.col("o_orderdate")))
     delivered = first_ship + F.make_dt_interval(hours=F.lit(12))
     purchase = F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
