@@ -8,10 +8,11 @@ checksum by 15 bits and adds a constant, so that checksums of data that hold
 checksums stay useful.
 
 Shards are files ``part-*`` in id order; the index is a Parquet table next to
-them (shard, id, offset, length, n_tokens), so a reader can fetch records in
-any order.  Spark's own file writer and its commit protocol write the shards:
-a lost executor's half-written files are never seen, and any file system
-that Spark knows will do.  The closing 0x0A is that writer's line end.
+them (shard, id, seq, offset, length, n_tokens, ids_crc32), made from the shards
+as read back, so a reader can fetch records in any order and check them.
+Spark's own file writer and its commit protocol write the shards: a lost
+executor's half-written files are never seen, and any file system that Spark
+knows will do.  The closing 0x0A is that writer's line end.
 
 Scale: one range shuffle by id and text hash; no row limit per document; each file holds at
 most ``RECORDS_PER_FILE`` records.  Position sums need one row per shard.
@@ -24,7 +25,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,14 +121,29 @@ class Encoder:
         ids = self._bytes
         return b"".join([ids[t.id] for t in self._tokenize(text)])
 
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of a piece with a space before it; None if it can't be cut off its text."""
-        word = piece[:-1] if piece[-1:] in (",", ".") else piece
-        if word.isalpha() and (word.isascii() or max(word) <= "ɏ"):  # the most frequent kind: one pre-token, and perhaps a mark
-            got = self._tokens.get(word)
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Keep the ids of pieces with a space before them; None for those that can't be cut off their text."""
+        known, tokens, marks, ids, tokenize = self._known, self._tokens, self._marks, self._bytes, self._tokenize
+        for piece in pieces:
+            word = piece[:-1] if piece.endswith((",", ".")) else piece
+            if not word.isalpha():
+                known[piece] = self._piece(piece)
+                continue
+            got = tokens.get(word)  # the most frequent kind: one pre-token, and perhaps a mark
             if got is None:
-                got = self._tokens[word] = self._shown(_SPACE + word) if word.isascii() else self._token(f" {word}")
-            return got if len(word) == len(piece) else got + self._marks[piece[-1]]
+                if word.isascii():
+                    found = tokenize(_SPACE + word)
+                    got = ids[found[0].id] if len(found) == 1 else b"".join([ids[t.id] for t in found])
+                elif max(word) <= "ɏ":
+                    got = self._token(f" {word}")
+                else:
+                    known[piece] = self._piece(piece)
+                    continue
+                tokens[word] = got
+            known[piece] = got if word is piece else got + marks[piece[-1]]
+
+    def _piece(self, piece: str) -> bytes | None:
+        """Ids of a piece that is no plain word; None if it can't be cut off its text."""
         if not _PLAIN.fullmatch(piece):
             return None
         out = []
@@ -152,8 +168,7 @@ class Encoder:
             if len(kept) > CACHE:
                 kept.clear()
         known = self._known
-        for p in set().union(*cut).difference(known):
-            known[p] = self._piece(p)
+        self._learn(set().union(*cut).difference(known))
         out: list[bytes | None] = []
         for t, p, first in zip(texts, cut, self._whole([p[0] for p in cut])):
             if any(x in t for x in self._added):
@@ -203,7 +218,7 @@ def write_tokens(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
     (records.select(F.col("record").cast("string").alias("value"))
      .write.option("maxRecordsPerFile", RECORDS_PER_FILE).text(f"{path}/records"))
     spark = documents.sparkSession
-    read_records(spark, path).select("shard", "id", "offset", "length", "n_tokens").write.parquet(f"{path}/index")
+    read_records(spark, path).write.parquet(f"{path}/index")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +260,8 @@ def query(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     path = scratch_path(spark, "tokens")
     write_tokens(documents, path)
-    records = read_records(spark, path)
-    shards = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    records = spark.read.parquet(f"{path}/index")  # what the one pass over the shards found
+    shards = records.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy(shard_place(F.col("shard"))).rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # RECORDS_PER_FILE rows
