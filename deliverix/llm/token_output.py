@@ -25,34 +25,40 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deliverix.llm.shared import scratch_path, text_slices
+from deliverix.llm.shared import expand, scratch_path, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 RECORDS_PER_FILE = 4000
 MASK = 0xA282EAD8
-CACHE = 300_000
+#: Pre-tokens whose ids are kept in a task, and between tasks; distinct pieces that are encoded at once.
+CACHE, KEPT, PIECES = 300_000, 100_000, 1 << 14
+#: Text whose pieces are made distinct at once, and texts that are put together at once.
+SLICE, TEXTS = 1 << 22, 64
 
 # A space between two characters that are no white space always starts a token of this tokenizer, so
 # texts may be cut there.  Pieces are cut further here if all their characters are of a range whose
 # classes are the same in every Unicode version; texts with other pieces, or with the string of an added
 # token, are encoded as a whole.
-_PLAIN = re.compile(r"[!-~¡-ɏ](?:[\n!-~¡-ɏ]*[!-~¡-ɏ])?")
+_PLAIN = r"\A[!-~¡-ɏ](?:[\n!-~¡-ɏ]*[!-~¡-ɏ])?\z"  # Arrow's regular expressions
 # The byte-level pre-tokenizer's pattern, with its letters and numbers in that range,
-# and its characters for the 256 bytes.
+# and its characters for the 256 bytes; a byte 0, which is outside the range, stands between pre-tokens.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _BYTE_CHARS = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
-_SPACE = _BYTE_CHARS[32]
+_APART = " " + _BYTE_CHARS[1:]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -89,97 +95,117 @@ def frames(data: bytes) -> Iterator[tuple[int, memoryview]]:
 
 
 class Encoder:
-    """Whole texts to token ids; pieces between spaces are encoded once and kept."""
+    """Whole texts to token ids: the distinct pieces between spaces are cut into pre-tokens, and new
+    pre-tokens are encoded together; their ids are kept,
+    the most used ones also for the worker's next tasks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self._t = Tokenizer.from_file(path)
         self.type = np.dtype("<u2") if self._t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        size = self.type.itemsize
-        every = np.arange(max(self._t.get_vocab().values()) + 1).astype(self.type).tobytes()
-        self._bytes = [every[i:i + size] for i in range(0, len(every), size)]  # by token id
-        self._tokenize = self._t.model.tokenize
-        self._known: dict[str, bytes | None] = {}  # by piece
-        self._tokens: dict[str, bytes] = {}  # by pre-token, or by word with a space before it
         self._split = re.compile(_PATTERN).findall
-        self._marks = {x: self._token(x) for x in ",."}
         spec = json.loads(self._t.to_str())
+        model = spec["model"]
         self._added = [x["content"] for x in spec["added_tokens"]]  # cut out of a text before anything else
         # the short way below holds for a plain byte-level tokenizer only
-        self._byte_level = (spec["normalizer"] is None and spec["model"]["type"] == "BPE" and spec["pre_tokenizer"]
-                            == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+        self._byte_level = (spec["normalizer"] is None and model["type"] == "BPE" and spec["pre_tokenizer"]
+                            == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+                            and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+                            and all(c in model["vocab"] for c in _BYTE_CHARS))
+        if self._byte_level:
+            self._words = Tokenizer(self._t.model)  # the same model, on bytes shown as characters with spaces between pre-tokens
+            self._words.pre_tokenizer = WhitespaceSplit()
+            self._size = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # bytes by token id
+            for token, i in model["vocab"].items():
+                self._size[i] = len(token)
+        self._rows: dict[str, int] = defaultdict(count().__next__)  # by pre-token: its place in the arrays below
+        self._spaced = np.zeros(0, bool)  # does it start with a space?
+        self._uses = np.zeros(0, np.int64)
+        self._end = np.zeros(1, np.int64)  # the ids of row r are those from _end[r] to _end[r + 1]
+        self._ids = np.zeros(0, self.type)
+
+    def forget(self, kept: int) -> None:
+        """Give memory back: keep the most used pre-tokens, whose uses count half from now on."""
+        if len(self._rows) <= kept:
+            return
+        keep = np.sort(np.argsort(-self._uses, kind="stable")[:kept])
+        rows = list(self._rows)
+        self._rows = defaultdict(count(len(keep)).__next__, zip(map(rows.__getitem__, keep.tolist()), range(len(keep))))
+        n = np.diff(self._end)[keep]
+        self._ids = self._ids[expand(self._end[keep], n)]
+        self._end = np.append(0, n.cumsum())
+        self._spaced, self._uses = self._spaced[keep], self._uses[keep] // 2
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _token(self, text: str) -> bytes:
-        return self._shown(codecs.charmap_decode(text.encode(), "strict", _BYTE_CHARS)[0])
-
-    def _shown(self, text: str) -> bytes:
-        ids = self._bytes
-        return b"".join([ids[t.id] for t in self._tokenize(text)])
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Keep the ids of pieces with a space before them; None for those that can't be cut off their text."""
-        known, tokens, marks, ids, tokenize = self._known, self._tokens, self._marks, self._bytes, self._tokenize
-        for piece in pieces:
-            word = piece[:-1] if piece.endswith((",", ".")) else piece
-            if not word.isalpha():
-                known[piece] = self._piece(piece)
-                continue
-            got = tokens.get(word)  # the most frequent kind: one pre-token, and perhaps a mark
-            if got is None:
-                if word.isascii():
-                    found = tokenize(_SPACE + word)
-                    got = ids[found[0].id] if len(found) == 1 else b"".join([ids[t.id] for t in found])
-                elif max(word) <= "ɏ":
-                    got = self._token(f" {word}")
-                else:
-                    known[piece] = self._piece(piece)
-                    continue
-                tokens[word] = got
-            known[piece] = got if word is piece else got + marks[piece[-1]]
-
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of a piece that is no plain word; None if it can't be cut off its text."""
-        if not _PLAIN.fullmatch(piece):
-            return None
-        out = []
-        for x in self._split(f" {piece}"):
-            key = f"\0{x}"  # apart from the words above
-            got = self._tokens.get(key)
-            if got is None:
-                got = self._tokens[key] = self._token(x)
-            out.append(got)
-        return out[0] if len(out) == 1 else b"".join(out)
-
-    def forget(self) -> None:
-        """Give the kept pieces' memory back; the worker process lives on."""
-        self._known.clear()
-        self._tokens.clear()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, new: list[str]) -> None:
+        """Keep the ids of the last rows' pre-tokens: encoded in one call, told apart by their bytes."""
+        shown = codecs.charmap_decode("\0".join(new).encode(), "strict", _APART)[0]
+        ids = np.array(self._words.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.type)
+        sizes = np.fromiter(map(len, shown.split(" ")), np.int64, len(new)).cumsum()
+        end = np.searchsorted(ends := self._size[ids].cumsum(), sizes)
+        if ends[-1] != sizes[-1] or (ends[end] != sizes).any():
+            raise ValueError("a token reaches over two pre-tokens")
+        self._uses = np.append(self._uses, np.zeros(len(new), np.int64))
+        self._spaced = np.append(self._spaced, [x[0] == " " for x in new])
+        self._end = np.append(self._end, len(self._ids) + end + 1)
+        self._ids = np.append(self._ids, ids)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of plain pieces that have a space before them, and all their ids."""
+        numbers, ids = [np.zeros(0, np.int64)], [np.zeros(0, self.type)]
+        for i in range(0, len(pieces), PIECES):
+            part = pieces.slice(i, PIECES)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
+            found = self._split(f" {joined}")
+            row = np.fromiter(map(self._rows.__getitem__, found), np.int64, len(found))  # a new one gets the next row
+            if len(self._rows) > len(self._spaced):
+                self._learn([*islice(reversed(self._rows), len(self._rows) - len(self._spaced))][::-1])
+            self._uses += np.bincount(row, minlength=len(self._uses))
+            start = self._end[row]
+            n = self._end[row + 1] - start
+            numbers.append(np.add.reduceat(n, np.flatnonzero(self._spaced[row])))
+            ids.append(self._ids[expand(start, n)])
+            if len(self._rows) > CACHE:
+                self.forget(CACHE // 2)
+        return np.concatenate(numbers), np.concatenate(ids)
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self._byte_level:
-            return self._whole(texts)
-        cut = [t.split(" ") for t in texts]
-        for kept in (self._known, self._tokens):
-            if len(kept) > CACHE:
-                kept.clear()
-        known = self._known
-        self._learn(set().union(*cut).difference(known))
-        out: list[bytes | None] = []
-        for t, p, first in zip(texts, cut, self._whole([p[0] for p in cut])):
-            if any(x in t for x in self._added):
-                out.append(None)
-                continue
-            try:
-                out.append(first + b"".join(map(known.__getitem__, p[1:])) if known[p[0]] is not None else None)
-            except TypeError:  # a piece that can't be cut off
-                out.append(None)
-        rest = iter(self._whole([t for t, x in zip(texts, out) if x is None]))
-        return [next(rest) if x is None else x for x in out]
+            return self._whole(texts.to_pylist())
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        piece, at = coded.dictionary, coded.indices.to_numpy()
+        plain = pc.match_substring_regex(piece, _PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        number = np.zeros(len(piece), np.int64)
+        number[is_plain], ids = self._pieces(piece.filter(plain))
+        per_text = cut.value_lengths().to_numpy()
+        last = np.cumsum(per_text) - 1
+        first = last + 1 - per_text
+        whole = np.logical_or.reduceat(~is_plain[at], first)
+        for x in self._added:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        heads = self._whole(piece.take(at[first]).to_pylist())  # no space before them
+        start = np.cumsum(number) - number
+        short = []
+        for i in range(0, len(texts), TEXTS):
+            begin, to = first[i:i + TEXTS] - first[i], last[i:i + TEXTS] - first[i]
+            part = at[first[i]:first[i] + to[-1] + 1]
+            n = number[part]
+            n[begin] = 0  # the heads
+            rest = ids[expand(start[part], n)].tobytes()
+            end = (np.cumsum(n)[to] * self.type.itemsize).tolist()
+            short += [head + rest[j:k] for head, j, k in zip(heads[i:i + TEXTS], [0, *end], end)]
+        long = iter(self._whole(texts.filter(pa.array(whole)).to_pylist()))
+        return [next(long) if w else x for w, x in zip(whole.tolist(), short)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -191,15 +217,14 @@ def _encode(path: str, end_id: int | None):
             _ENCODERS[path] = Encoder(path)
         encoder = _ENCODERS[path]
         end = b"" if end_id is None else np.array([end_id], encoder.type).tobytes()
-        for b in text_slices(batches, "text"):
-            texts = ["" if t is None else t for t in b.column("text").to_pylist()]
+        for b in text_slices(batches, "text", SLICE):
             ids = b.column("id").to_pylist()
             out = []
-            for i, tokens in zip(ids, encoder.encode(texts)):
+            for i, tokens in zip(ids, encoder.encode(pc.fill_null(b.column("text"), ""))):
                 head = (0 if i is None else i).to_bytes(8, "little", signed=True) + bytes([encoder.type.itemsize + 128 * (i is None)])
                 out.append(frame(head + tokens + end))
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
-        encoder.forget()
+        encoder.forget(KEPT)  # the worker process lives on
     return run
 
 
