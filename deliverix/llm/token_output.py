@@ -43,6 +43,8 @@ RECORDS_PER_FILE = 4000
 MASK = 0xA282EAD8
 #: Pre-tokens whose ids are kept in a task, and between tasks; distinct pieces that are encoded at once.
 CACHE, KEPT, PIECES = 300_000, 100_000, 1 << 14
+#: Pre-tokens that the library sees as one.
+TOGETHER = 8
 #: Text whose pieces are made distinct at once, and texts that are put together at once.
 SLICE, TEXTS = 1 << 22, 64
 
@@ -59,6 +61,7 @@ _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _BYTE_CHARS = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
 _APART = " " + _BYTE_CHARS[1:]
+_SPACE = _BYTE_CHARS[32]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -143,12 +146,20 @@ class Encoder:
         return [np.array(e.ids, self.type).tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Keep the ids of the last rows' pre-tokens: encoded in one call, told apart by their bytes."""
-        shown = codecs.charmap_decode("\0".join(new).encode(), "strict", _APART)[0]
-        ids = np.array(self._words.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.type)
-        sizes = np.fromiter(map(len, shown.split(" ")), np.int64, len(new)).cumsum()
-        end = np.searchsorted(ends := self._size[ids].cumsum(), sizes)
-        if ends[-1] != sizes[-1] or (ends[end] != sizes).any():
+        """Keep the ids of the last rows' pre-tokens: encoded in one call, told apart by their bytes.
+
+        Those with a space before them are run together where possible: if no token reaches over an end,
+        none was ever merged over it, and the ids are those of the pre-tokens for themselves."""
+        shown = codecs.charmap_decode("\0".join(new).encode(), "strict", _APART)[0].split(" ")
+        sizes = np.fromiter(map(len, shown), np.int64, len(new)).cumsum()
+        for together in (TOGETHER, 1):
+            text = "".join([x if i % together and x[0] == _SPACE else f" {x}" for i, x in enumerate(shown)])
+            ids = np.array(self._words.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+            ends = self._size[ids].cumsum()
+            end = np.minimum(np.searchsorted(ends, sizes), len(ids) - 1)
+            if ends[-1] == sizes[-1] and (ends[end] == sizes).all():
+                break
+        else:
             raise ValueError("a token reaches over two pre-tokens")
         self._uses = np.append(self._uses, np.zeros(len(new), np.int64))
         self._spaced = np.append(self._spaced, [x[0] == " " for x in new])
