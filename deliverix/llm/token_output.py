@@ -21,6 +21,8 @@ most ``RECORDS_PER_FILE`` records.  Position sums need one row per shard.
 from __future__ import annotations
 
 import codecs
+import ctypes
+import gc
 import json
 import os
 import re
@@ -41,12 +43,12 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 RECORDS_PER_FILE = 4000
 MASK = 0xA282EAD8
-#: Pre-tokens whose ids are kept in a task, and between tasks; distinct pieces that are encoded at once.
-CACHE, KEPT, PIECES = 300_000, 100_000, 1 << 14
+#: Pre-tokens whose ids are kept, and distinct pieces that are encoded at once.
+CACHE, PIECES = 200_000, 1 << 13
 #: Pre-tokens that the library sees as one.
 TOGETHER = 8
 #: Text whose pieces are made distinct at once, and texts that are put together at once.
-SLICE, TEXTS = 1 << 22, 64
+SLICE, TEXTS = 1 << 21, 64
 
 # A space between two characters that are no white space always starts a token of this tokenizer, so
 # texts may be cut there.  Pieces are cut further here if all their characters are of a range whose
@@ -99,8 +101,7 @@ def frames(data: bytes) -> Iterator[tuple[int, memoryview]]:
 
 class Encoder:
     """Whole texts to token ids: the distinct pieces between spaces are cut into pre-tokens, and new
-    pre-tokens are encoded together; their ids are kept,
-    the most used ones also for the worker's next tasks."""
+    pre-tokens are encoded together; their ids are kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -219,6 +220,15 @@ class Encoder:
         return [next(long) if w else x for w, x in zip(whole.tolist(), short)]
 
 
+def give_back() -> None:
+    """Hand freed memory to the system: the worker process lives on, beside others of its executor."""
+    gc.collect()  # batches that the ended task's cycles of objects still hold
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -235,7 +245,8 @@ def _encode(path: str, end_id: int | None):
                 head = (0 if i is None else i).to_bytes(8, "little", signed=True) + bytes([encoder.type.itemsize + 128 * (i is None)])
                 out.append(frame(head + tokens + end))
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
-        encoder.forget(KEPT)  # the worker process lives on
+        encoder.forget(0)
+        give_back()
     return run
 
 
@@ -270,6 +281,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard = os.path.basename(path)
             yield pa.record_batch([pa.array([shard] * len(rows), pa.string()), *[pa.array(c, pa.int64()) for c in columns]],
                                   names=["shard", "id", "seq", "offset", "length", "n_tokens", "ids_crc32"])
+    give_back()
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
