@@ -44,11 +44,11 @@ END_ID = 0
 RECORDS_PER_FILE = 4000
 MASK = 0xA282EAD8
 #: Pre-tokens whose ids are kept, and distinct pieces that are encoded at once.
-CACHE, PIECES = 200_000, 1 << 13
+CACHE, PIECES = 150_000, 1 << 12
 #: Pre-tokens that the library sees as one.
 TOGETHER = 8
 #: Text whose pieces are made distinct at once, and texts that are put together at once.
-SLICE, TEXTS = 1 << 21, 64
+SLICE, TEXTS = 1 << 20, 64
 
 # A space between two characters that are no white space always starts a token of this tokenizer, so
 # texts may be cut there.  Pieces are cut further here if all their characters are of a range whose
@@ -232,11 +232,16 @@ def give_back() -> None:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder_for(path: str) -> Encoder:
+    """The worker process's only encoder: a function of a module, so that tasks get it by name and no copy of the dict."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _encode(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        encoder = _ENCODERS[path]
+        encoder = encoder_for(path)
         end = b"" if end_id is None else np.array([end_id], encoder.type).tobytes()
         for b in text_slices(batches, "text", SLICE):
             ids = b.column("id").to_pylist()

@@ -64,3 +64,11 @@ def test_merges_over_a_space(tmp_path):
     encoder = token_output.Encoder(path)
     assert encoder._byte_level
     same_as_library(encoder, Tokenizer.from_file(path), ["a a b a ba ab", "b a", "a  b", *made_texts(20, 30)])
+
+
+def test_tasks_of_a_worker_share_an_encoder():
+    from pyspark import cloudpickle
+    run = cloudpickle.loads(cloudpickle.dumps(token_output._encode(token_output.tokenizer_path(), 0)))
+    token_output._ENCODERS.clear()
+    list(run(iter([pa.record_batch([pa.array([1]), pa.array(["a b"])], names=["id", "text"])])))
+    assert list(token_output._ENCODERS) == [token_output.tokenizer_path()]
