@@ -44,11 +44,11 @@ END_ID = 0
 RECORDS_PER_FILE = 4000
 MASK = 0xA282EAD8
 #: Pre-tokens whose ids are kept, and distinct pieces that are encoded at once.
-CACHE, PIECES = 150_000, 1 << 12
+CACHE, PIECES = 300_000, 1 << 13
 #: Pre-tokens that the library sees as one.
 TOGETHER = 8
 #: Text whose pieces are made distinct at once, and texts that are put together at once.
-SLICE, TEXTS = 1 << 20, 64
+SLICE, TEXTS = 1 << 21, 64
 
 # A space between two characters that are no white space always starts a token of this tokenizer, so
 # texts may be cut there.  Pieces are cut further here if all their characters are of a range whose
