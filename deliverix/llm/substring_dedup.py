@@ -21,6 +21,8 @@ Scale: every shuffle carries pieces (about one per 8 words), not words; the
 text moves by document once.  Counting is map-side combined; both sides of
 the joins on minimizers and pieces come from written tables, so adaptive
 execution can split a hot passage.  Nothing is gathered but the spans of one document.
+Each step ends in a written table, and its shuffle files go with it, so the disk
+holds the tables (pieces, repeats, paths, windows, spans) and one step's shuffle at a time.
 """
 
 from __future__ import annotations
@@ -165,6 +167,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spans = repeated_spans(documents, id_col, text_col, window, core)
     spans = spans.groupBy("doc", "th").agg(F.collect_set(F.shiftleft("start", 32) + F.col("words")).alias("spans"))  # of one document
+    spans = written(spans, "spans")  # the shuffles of repeats are gone before the texts are shuffled
     docs = keyed(documents, id_col, text_col)
     kind = docs.schema["id"].dataType.simpleString()
     return (docs.join(spans, ["doc", "th"], "left").select("id", "text", "spans")

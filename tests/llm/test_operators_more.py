@@ -3,13 +3,15 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from deliverix.llm import classifier, decontamination, line_dedup, mixing, token_output
-from deliverix.llm.shared import scratch_path
+from deliverix.llm import classifier, decontamination, line_dedup, mixing, substring_dedup, token_output
+from deliverix.llm.shared import CLEANUP, scratch_path, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -162,3 +164,33 @@ def test_tokens_of_one_id_are_spread_and_in_order(spark, make_docs):
     placed = spark.read.parquet(f"{path}/index").orderBy(token_output.shard_place(F.col("shard")), "offset").collect()
     ids = [r.id for r in placed]
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(ids) == len(rows)
+
+
+def shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p for d in dirs for p in Path(d).glob("*/shuffle_*")}
+
+
+def left_over(spark, before):
+    """Shuffle files that are still there; Spark removes them in the background."""
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    return left
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(CLEANUP, None)
+    out = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert left_over(spark, before) == set()
+    assert sorted(r["count"] for r in out.collect()) == [142] + [143] * 6
+    assert spark.conf.get(CLEANUP, None) == setting
+
+
+def test_substring_dedup_leaves_no_shuffle_files_behind_its_steps(spark, make_docs, odd_rows):
+    before = shuffle_files(spark)
+    out = substring_dedup.remove_repeats(make_docs(odd_rows))
+    assert left_over(spark, before) == set()  # the texts are shuffled when the result is read
+    assert out.count() == len(odd_rows)
