@@ -6,7 +6,7 @@ trains vectors and output together.
 
 Scale: features are made where the rows are.  The model is trained on the
 driver from at most ``SAMPLE`` labelled documents, chosen by the smallest hash
-of their id (a documented bound: about 50 MB of feature counts); all other
+of their id (a documented bound: about 30 MB of feature counts); all other
 documents are only scored, in one scan without a shuffle.  Since the output is
 linear in the mean vector, scoring needs one number per bucket, so the
 broadcast model is ``BUCKETS`` floats whatever the data.
@@ -14,6 +14,7 @@ broadcast model is ``BUCKETS`` floats whatever the data.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,6 +137,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
     return Model((vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts at one byte each, or at four if one of them needs more."""
+    return counts.astype("<u4" if len(counts) and counts.max() > 255 else "u1").tobytes()
+
+
+def unpacked(counts: pa.Buffer, n: int) -> np.ndarray:
+    """The ``n`` counts of ``packed``, over the same memory."""
+    return np.frombuffer(counts, "u1" if counts.size == n else "<u4") if n else np.zeros(0, np.uint8)
+
+
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in text_slices(batches, "text", SLICE):
         f, n = features(b.column("text"))
@@ -144,7 +155,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([
             b.column("label"), b.column("place"),
             pa.array([x[0].astype("<u2").tobytes() for x in each], pa.binary()),
-            pa.array([x[1].astype("<u4").tobytes() for x in each], pa.binary())], names=["label", "place", "buckets", "counts"])
+            pa.array([packed(x[1]) for x in each], pa.binary())], names=["label", "place", "buckets", "counts"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -167,9 +178,13 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             .groupBy("id", "label", "place").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text")).alias("first"))  # one text of each id
             .select("first.text", "label", "place")
             .mapInArrow(_count_features, "label int, place long, buckets binary, counts binary").toArrow())
-    columns = [rows.column(c) for c in ("place", "buckets", "counts", "label")]
-    found = sorted((p.as_py(), b.as_buffer().to_pybytes(), c.as_buffer().to_pybytes(), y.as_py()) for p, b, c, y in zip(*columns))
-    return train([(np.frombuffer(b, "<u2"), np.frombuffer(c, "<u4"), int(y > 0)) for _, b, c, y in found])
+    # nothing is copied on the driver: the arrays are views of the Arrow table, ordered by place and, where places are equal, by content
+    place, label = rows.column("place").to_pylist(), rows.column("label").to_pylist()
+    buckets, counts = [[x.as_buffer() for x in rows.column(c)] for c in ("buckets", "counts")]
+    times = Counter(place)
+    order = sorted(range(len(place)), key=lambda i: (place[i], buckets[i].to_pybytes(), counts[i].to_pybytes(), label[i]) if times[place[i]] > 1 else (place[i],))
+    views = [(np.frombuffer(buckets[i], "<u2"), unpacked(counts[i], buckets[i].size // 2), int(label[i] > 0)) for i in order]
+    return train(views)
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,8 @@ import time
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +196,16 @@ def test_substring_dedup_leaves_no_shuffle_files_behind_its_steps(spark, make_do
     out = substring_dedup.remove_repeats(make_docs(odd_rows))
     assert left_over(spark, before) == set()  # the texts are shuffled when the result is read
     assert out.count() == len(odd_rows)
+
+
+def test_classifier_sample_reaches_the_driver_packed(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "few words here"), (2, "again " * 300), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda rows: seen.extend(rows) or classifier.Model)
+    classifier.fit(docs, labels)
+    assert {(len(b) > 0, c.itemsize, y) for b, c, y in seen} == {(True, 1, 1), (True, 4, 0), (False, 1, 1)}
+    for text, y in (("few words here", 1), ("again " * 300, 0)):
+        want = np.unique(classifier.features(pa.array([text]))[0], return_counts=True)
+        (got,) = [(b, c) for b, c, label in seen if label == y and len(b)]
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
