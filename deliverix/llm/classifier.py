@@ -6,7 +6,7 @@ trains vectors and output together.
 
 Scale: features are made where the rows are.  The model is trained on the
 driver from at most ``SAMPLE`` labelled documents, chosen by the smallest hash
-of their id (a documented bound: about 30 MB of feature counts); all other
+of their id (a documented bound: about 40 MB of feature counts); all other
 documents are only scored, in one scan without a shuffle.  Since the output is
 linear in the mean vector, scoring needs one number per bucket, so the
 broadcast model is ``BUCKETS`` floats whatever the data.
