@@ -32,6 +32,7 @@ words, a fixed number, are broadcast instead, so hot words never enter the shuff
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deliverix.llm import token_tree
-from deliverix.llm.shared import NULL_ID, Words, expand, fold_of, id_key, signed, text_slices, written
+from deliverix.llm.shared import NULL_ID, Words, expand, fold_of, id_key, mix, signed, summed, text_slices, written
 
 DEPTH = 5
 MIN_DIVERGENCE = 8.0
 HOT = 1_000_000
 FREQUENT = 1 << 16
 BLANK = 32
+#: Bytes of the vocabulary whose words are spelled at once: about 100 bytes of arrays per byte.
+SPELLED = 1 << 20
 
 
 def _strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -58,12 +61,16 @@ def _strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(train, text) to (key, word, n): occurrences in training texts by word."""
+    return summed(_counted_words(batches))
+
+
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
     for b in text_slices(batches, "text"):
         w = Words(b.column("text"), lower=True)
         key, first, code = np.unique(w.hash, return_index=True, return_inverse=True)
         train = np.repeat(b.column("train").to_numpy(zero_copy_only=False).astype(np.float64), w.counts)
         n = np.bincount(code, weights=train, minlength=len(key)).astype(np.int64) if len(key) else np.zeros(0, np.int64)
-        yield pa.record_batch([pa.array(signed(key)), _strings(w.raw, w.start[first], w.end[first]), pa.array(n)], names=["key", "word", "n"])
+        yield key, pa.record_batch([pa.array(signed(key)), _strings(w.raw, w.start[first], w.end[first]), pa.array(n)], names=["key", "word", "n"])
 
 
 def symbols(words: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
@@ -90,7 +97,11 @@ def _entry(d: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
 
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) to (entry, n): how often each symbol follows each context."""
-    for b in batches:
+    return summed(_counted_contexts(batches))
+
+
+def _counted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    for b in token_tree.whole(batches, SPELLED):
         for at in range(0, b.num_rows, 100_000):
             part = b.slice(at, 100_000)
             symbol, contexts, longest, size = symbols(part.column("word"))
@@ -99,7 +110,7 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 has = longest >= d
                 entry, code = np.unique(_entry(d, contexts[d][has], symbol[has]), return_inverse=True)
                 total = np.bincount(code, weights=n[has].astype(np.float64), minlength=len(entry))
-                yield pa.record_batch([pa.array(entry), pa.array(total.astype(np.int64))], names=["entry", "n"])
+                yield entry, pa.record_batch([pa.array(entry), pa.array(total.astype(np.int64))], names=["entry", "n"])
 
 
 def _spellings(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +121,14 @@ def _spellings(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _count_spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word) to (key, c): in how many places of words each symbol stands behind its longest context."""
-    for b in batches:
+    return summed(_counted_spellings(batches))
+
+
+def _counted_spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    for b in token_tree.whole(batches, SPELLED):
         for at in range(0, b.num_rows, 100_000):
             entry, c = np.unique(_spellings(b.column("word").slice(at, 100_000))[0], return_counts=True)
-            yield pa.record_batch([pa.array(entry), pa.array(c)], names=["key", "c"])
+            yield entry, pa.record_batch([pa.array(entry), pa.array(c)], names=["key", "c"])
 
 
 def grow_tree(counts: DataFrame, min_divergence: float = MIN_DIVERGENCE) -> tuple[DataFrame, DataFrame]:
@@ -158,17 +173,32 @@ def spelling_probabilities(spellings: DataFrame, contexts: DataFrame, entries: D
     return out.select("key", "c", F.log10("p").alias("log_p"))
 
 
+class HotSpellings:
+    """The most frequent entries and their log10 probabilities."""
+
+    def __init__(self, keys: np.ndarray, log_p: np.ndarray):
+        self.keys, self.log_p = keys, log_p
+
+    @cached_property
+    def index(self) -> token_tree.Index:
+        """Made where it is used; scrambled, because entries share their leading bits."""
+        return token_tree.Index(mix(self.keys.view(np.uint64)))
+
+    def find(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.index.find(mix(entry.view(np.uint64)))
+
+
 def _spell(hot) -> callable:
     """(key, word, c) to (key, c, spell, rest): the log10 probability of the hot symbols, and the other symbols of each word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, log_p = hot.value
-        for b in batches:
+        known = hot.value
+        for b in token_tree.whole(batches, SPELLED):
             for at in range(0, b.num_rows, 100_000):
                 part = b.slice(at, 100_000)
                 entry, size = _spellings(part.column("word"))
-                k, has = token_tree.find(keys, entry)
+                k, has = known.find(entry)
                 values = np.zeros(len(entry))
-                values[has] = log_p[k[has]]
+                values[has] = known.log_p[k[has]]
                 first = np.cumsum(size) - size
                 off = np.concatenate([[0], np.cumsum(np.add.reduceat((~has).astype(np.int64), first))]) if len(size) else np.zeros(1)
                 yield pa.record_batch([
@@ -180,7 +210,7 @@ def _spell(hot) -> callable:
 def score_words(vocabulary: DataFrame, spellings: DataFrame, total: int, kinds: int, hot: int = HOT) -> DataFrame:
     """(key, c, log_p) of each word: its training count's share, and with the root's weight of new words its spelling."""
     top = most_frequent(spellings, hot).select("key", "log_p").orderBy("key").toArrow()  # hot rows at most
-    shared = vocabulary.sparkSession.sparkContext.broadcast((top.column("key").to_numpy(), top.column("log_p").to_numpy()))
+    shared = vocabulary.sparkSession.sparkContext.broadcast(HotSpellings(top.column("key").to_numpy(), top.column("log_p").to_numpy()))
     spelled = written(vocabulary.select("key", "word", "c").mapInArrow(_spell(shared), "key long, c long, spell double, rest array<long>"), "spelled-words")
     rest = spelled.where(F.size("rest") > 0).select(F.col("key").alias("word_key"), F.col("c").alias("word_c"), "spell", F.explode("rest").alias("key"))
     rest = (rest.join(spellings.select("key", "log_p"), "key").groupBy("word_key", "word_c", "spell").agg(F.sum("log_p").alias("more"))
@@ -200,6 +230,11 @@ class Frequent:
         order = np.argsort(keys)
         self.keys, self.c, self.log_p = keys[order], c[order], log_p[order]
 
+    @cached_property
+    def index(self) -> token_tree.Index:
+        """Made where it is used."""
+        return token_tree.Index(self.keys)
+
 
 def _sum_documents(model) -> callable:
     """(doc, th, text) to one row of sums over frequent words and contexts per text, one row per other distinct word,
@@ -209,7 +244,7 @@ def _sum_documents(model) -> callable:
         logs, known = np.log10(frequent.c + 0.5), (frequent.c > 0).astype(np.float64)
         for b in text_slices(batches, "text"):
             w, rows = Words(b.column("text"), lower=True), b.num_rows
-            k, hot = token_tree.find(frequent.keys, signed(w.hash))
+            k, hot = frequent.index.find(w.hash)
             gain, cold = tree.gains(w)
             doc, h = np.repeat(np.arange(rows), w.counts), signed(w.hash)
             hot_doc, k = doc[hot], k[hot]

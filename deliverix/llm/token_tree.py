@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deliverix.llm.shared import Words, mix, signed, text_slices, written
+from deliverix.llm.shared import Words, mix, signed, summed, text_slices, written
 
 DEPTH = 2
 MIN_COUNT = 256
@@ -128,13 +128,13 @@ def in_bitmap(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[at // BITS] >> (at % BITS)) & 1 == 1
 
 
-def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together to about SLICE bytes."""
+def whole(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``limit`` bytes."""
     kept, size = [], 0
     for b in batches:
         kept.append(b)
         size += b.nbytes
-        if size >= SLICE:
+        if size >= limit:
             yield pa.concat_batches(kept)
             kept, size = [], 0
     if kept:
@@ -143,15 +143,15 @@ def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count(shared, d: int):
     """Training texts to (ctx, x, n): how often symbols that may be frequent follow contexts of ``d`` tokens that may be."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
         words, contexts = shared.value
         for b in text_slices(whole(batches), "text", SLICE):
             _, token, before, there, _ = runs(Words(b.column("text"), lower=True))
             use = there[d - 1] & ((token == END) | in_bitmap(words, token)) & ((before[d - 1] == BEGIN) | in_bitmap(contexts, before[d - 1]))
             ctx, x = before[d - 1][use], token[use]
-            _, first, n = np.unique(run_key(ctx, x), return_index=True, return_counts=True)
-            yield pa.record_batch([pa.array(signed(ctx[first])), pa.array(signed(x[first])), pa.array(n)], names=["ctx", "x", "n"])
-    return run
+            key, first, n = np.unique(run_key(ctx, x), return_index=True, return_counts=True)
+            yield key, pa.record_batch([pa.array(signed(ctx[first])), pa.array(signed(x[first])), pa.array(n)], names=["ctx", "x", "n"])
+    return lambda batches: summed(counts(batches))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
