@@ -24,9 +24,9 @@ from the vocabulary.  The spelling tree is a table that keeps every context whic
 the one divergence test, and its probabilities are joined to the distinct
 (context, symbol) pairs of the vocabulary; the ``HOT`` pairs that most words
 have, a fixed number, are broadcast (16 bytes a pair), the others of a word
-are joined.  Words are scored once each, where the vocabulary is; documents meet
-those scores by a shuffle join on word keys.  The ``FREQUENT`` most frequent
-words, a fixed number, are broadcast instead, so hot words never enter the shuffle.
+are joined.  Words are scored once each, where the vocabulary is.  The ``FREQUENT`` most
+frequent words, a fixed number, are broadcast; what is not meets the documents by
+parts (module ``cold_scores``).
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deliverix.llm import token_tree
+from deliverix.llm import cold_scores, token_tree
 from deliverix.llm.shared import NULL_ID, Words, expand, fold_of, id_key, mix, signed, summed, text_slices, written
 
 DEPTH = 5
@@ -236,48 +236,6 @@ class Frequent:
         return token_tree.Index(self.keys)
 
 
-def _sum_documents(model) -> callable:
-    """(doc, th, text) to one row of sums over frequent words and contexts per text, one row per other distinct word,
-    and rows of tokens whose contexts are not among the broadcast ones (``level`` above 0)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, tree = model.value
-        logs, known = np.log10(frequent.c + 0.5), (frequent.c > 0).astype(np.float64)
-        for b in text_slices(batches, "text"):
-            w, rows = Words(b.column("text"), lower=True), b.num_rows
-            k, hot = frequent.index.find(w.hash)
-            gain, cold = tree.gains(w)
-            doc, h = np.repeat(np.arange(rows), w.counts), signed(w.hash)
-            hot_doc, k = doc[hot], k[hot]
-
-            def total(x: np.ndarray) -> np.ndarray:
-                return np.bincount(hot_doc, weights=x[k], minlength=rows) if len(x) else np.zeros(rows)
-
-            doc, h = doc[~hot], h[~hot]
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (np.diff(h) != 0) | (np.diff(doc) != 0)
-            first = np.flatnonzero(new)
-            tf = np.diff(np.append(first, len(h)))
-            zeros = np.zeros(len(first))
-            take = pa.array(np.concatenate([np.arange(rows), doc[first]]))
-            th = b.column("th").to_numpy()
-            yield pa.record_batch([
-                b.column("doc").take(take), b.column("th").take(take),
-                pa.array(np.concatenate([th, h[first]])), pa.array(np.concatenate([np.zeros(rows), tf]).astype(np.int32)),
-                pa.array(np.concatenate([w.counts, zeros]).astype(np.int64)), pa.array(np.concatenate([total(known), zeros]).astype(np.int64)),
-                pa.array(np.concatenate([total(logs), zeros])), pa.array(np.concatenate([total(frequent.log_p) + gain, zeros])),
-                pa.array(np.concatenate([np.ones(rows), zeros]).astype(np.int32)), pa.nulls(len(take), token_tree.COLD)],
-                names=["doc", "th", "key", "tf", "n", "known", "logs", "log_p", "texts", "cold"])
-            if len(cold[0]):
-                at = pa.array(cold[0])
-                none, zero = pa.array(np.zeros(len(at), np.int64)), pa.array(np.zeros(len(at)))
-                yield pa.record_batch([
-                    b.column("doc").take(at), b.column("th").take(at), none, none.cast(pa.int32()), none, none, zero, zero, none.cast(pa.int32()), cold[1]],
-                    names=["doc", "th", "key", "tf", "n", "known", "logs", "log_p", "texts", "cold"])
-    return run
-
-
 def most_frequent(words: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` rows of the largest ``c``, ties by key.
 
@@ -308,8 +266,7 @@ def score(documents: DataFrame, train, id_col: str = "doc_id", text_col: str = "
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = documents.schema[id_col].dataType.simpleString()
-    docs = documents.select(id_key(F.col(id_col)).alias("doc"), F.xxhash64(text).alias("th"),
-                            F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
+    docs = documents.select(id_key(F.col(id_col)).alias("doc"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
     ends = docs.where("train").count()
     vocabulary = written(docs.select("train", "text").mapInArrow(_count_words, "key long, word string, n long")
                          .groupBy("key", "word").agg(F.sum("n").alias("c")), "vocabulary")
@@ -328,28 +285,7 @@ def score(documents: DataFrame, train, id_col: str = "doc_id", text_col: str = "
     tree = token_tree.grow(docs.where("train").select("text"), scored, ends, end, min_divergence, min_count, min_pair)
     hot_tree = tree.hot(hot_contexts)
     model = spark.sparkContext.broadcast((top, hot_tree))
-    sums = docs.mapInArrow(_sum_documents(model), "doc long, th long, key long, tf int, n long, known long, logs double, log_p double, texts int, "
-                           f"cold {token_tree.COLD_DDL}")
-    cold = None
-    if hot_tree.some_cold:  # tokens whose contexts were not broadcast meet them by joins
-        sums = written(sums, "document-sums")
-        cold = tree.cold_gains(sums.where("cold IS NOT NULL").select("doc", "th", "cold.*"))
-        sums = sums.where("cold IS NULL")
-    sums = sums.drop("cold")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    s, v = sums.alias("s"), scored.withColumnRenamed("log_p", "word_log_p").alias("v")
-    each = s.join(v, F.col("s.key") == F.col("v.key"), "left").select(
-        "doc", "th", "texts", "n",
-        (F.col("known") + F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"),
-        (F.col("logs") + F.col("tf") * F.log10(c + 0.5)).alias("logs"),
-        (F.col("log_p") + F.col("tf") * F.coalesce("word_log_p", F.lit(0.0))).alias("log_p"))
-    if cold is not None:
-        each = each.unionByName(cold.select("doc", "th", F.lit(0).alias("texts"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("known"),
-                                            F.lit(0.0).alias("logs"), F.col("gain").alias("log_p")))
-    by_doc = each.groupBy("doc", "th").agg(*[F.sum(x).alias(x) for x in ("texts", "n", "known", "logs", "log_p")])
-    one = by_doc.select(  # equal rows of one id share their sums
-        "doc", F.explode(F.sequence(F.lit(1), F.col("texts").cast("int"))).alias("copy"),
-        *[(F.col(x) / F.col("texts")).alias(x) for x in ("n", "known", "logs", "log_p")])
+    one = cold_scores.sums_of_texts(docs.select("doc", "text"), model, tree, scored, total)
     n = F.col("n").cast("long") + 1
     return one.select(
         F.nullif(F.col("doc"), F.lit(NULL_ID)).cast(kind).alias(id_col),

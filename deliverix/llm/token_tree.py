@@ -21,7 +21,7 @@ bitmaps of fixed size (a false hit only costs a row, counts decide later), sums
 equal (context, symbol) rows, and the shuffle brings the sums together; the counts of
 contexts are those of the shorter runs, so rare symbols need not be sent.  The
 tree is tables; its most frequent contexts, a fixed number of entries, are broadcast
-for scoring, tokens in others are joined with them.
+for scoring, tokens in others are looked up by parts (module ``cold_scores``).
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deliverix.llm.shared import Words, mix, signed, summed, text_slices, written
@@ -41,7 +41,7 @@ DEPTH = 2
 MIN_COUNT = 256
 MIN_PAIR = 16
 PRIOR = 4.0
-#: Entries that are broadcast for scoring, those of the most frequent contexts; tokens in other contexts are joined.
+#: Entries that are broadcast for scoring, those of the most frequent contexts; tokens in other contexts are looked up by parts.
 HOT = 1 << 20
 BEGIN, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 #: Text whose runs are counted at once: about 150 bytes of arrays per byte.
@@ -49,9 +49,6 @@ SLICE = 1 << 21
 #: Longs of a bitmap, of ``BITS`` bits each (2 MB).
 LONGS, BITS = 1 << 18, 62
 
-COLD = pa.struct([("gain", pa.float64()), ("level", pa.int32()), *((f"{k}{d}", pa.int64()) for d in range(1, DEPTH + 1) for k in "ce")])
-COLD_DDL = "struct<gain:double,level:int," + ",".join(f"{k}{d}:bigint" for d in range(1, DEPTH + 1) for k in "ce") + ">"
-
 
 def find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``x`` in the sorted ``known``, and whether they are there."""
@@ -169,38 +166,47 @@ ENTRY = "key long, down long, ctx long, up long, x long, n long, total long, roo
 
 @dataclass
 class TokenTree:
-    """Tables of the retained contexts (ctx, total, back, entries) and of their entries (key, ctx, total, gain)."""
+    """Tables of the retained contexts (ctx, up, level, total, back, entries) and of their entries (key, ctx, total, gain)."""
 
     contexts: DataFrame
     entries: DataFrame
 
     def hot(self, limit: int) -> HotTree:
         """The contexts of the highest counts with ``limit`` entries or fewer, and a bitmap of the others."""
-        size = F.floor(F.log2("total") * 16).cast("int")
         least, n = None, 0
-        for b in sorted(self.contexts.groupBy(size.alias("size")).agg(F.sum(F.col("entries") + 1).alias("n")).collect(), reverse=True):  # some hundred rows
+        for b in sorted(self.contexts.groupBy(_size().alias("size")).agg(F.sum(F.col("entries") + 1).alias("n")).collect(), reverse=True):  # some hundred rows
             n += b["n"]
             if n > limit:
                 break
             least = b["size"]
-        is_hot = F.lit(False) if least is None else size >= least
-        c = self.contexts.where(is_hot).select("ctx", "back").orderBy("ctx").toArrow()
-        e = self.entries.where(is_hot).select("key", "gain").orderBy("key").toArrow()
-        rest = self.contexts.where(~is_hot).select(F.col("ctx").alias("key"))
-        return HotTree(c.column("ctx").to_numpy(), c.column("back").to_numpy(), e.column("key").to_numpy(), e.column("gain").to_numpy(), bitmap(rest))
-
-    def cold_gains(self, tokens: DataFrame) -> DataFrame:
-        """(doc, th, gain) summed from the tokens whose contexts are not all broadcast, by joins with the tables."""
-        out = tokens
-        for d in range(1, DEPTH + 1):
-            c = self.contexts.select(F.col("ctx").alias(f"c{d}"), F.col("back").alias(f"b{d}"))
-            e = self.entries.select(F.col("key").alias(f"e{d}"), F.col("gain").alias(f"g{d}"))
-            out = out.join(c, f"c{d}", "left").join(e, f"e{d}", "left")
-        gain = F.col("gain")
-        for d in range(1, DEPTH + 1):  # from the shortest context up: each tells its entries and leaves the others to its suffix
-            here = F.coalesce(F.col(f"g{d}"), F.col(f"b{d}") + gain)
-            gain = F.when((F.col("level") < d) & F.col(f"b{d}").isNotNull(), here).otherwise(gain)
-        return out.select("doc", "th", gain.alias("gain")).groupBy("doc", "th").agg(F.sum("gain").alias("gain"))
+        c = self.contexts.where(_is_hot(least)).select("ctx", "back").orderBy("ctx").toArrow()
+        e = self.entries.where(_is_hot(least)).select("key", "gain").orderBy("key").toArrow()
+        rest = self.contexts.where(~_is_hot(least)).select(F.col("ctx").alias("key"))
+        return HotTree(c.column("ctx").to_numpy(), c.column("back").to_numpy(), e.column("key").to_numpy(), e.column("gain").to_numpy(), bitmap(rest), least)
+
+    def places(self, least: int | None) -> DataFrame:
+        """(ctx, place, back) of the contexts that are not broadcast; place: the shortest of its suffixes, or itself, that is not."""
+        cold = self.contexts.where(~_is_hot(least))
+        out, shorter = None, None
+        for d in range(1, DEPTH + 1):  # a suffix occurs as often at least: none is broadcast whose suffix is not
+            here = cold.where(F.col("level") == d)
+            if shorter is None:
+                here = here.select("ctx", F.col("ctx").alias("place"), "back")
+            else:
+                upper = shorter.select(F.col("ctx").alias("up"), F.col("place").alias("up_place"))
+                here = here.join(upper, "up", "left").select("ctx", F.coalesce("up_place", "ctx").alias("place"), "back")
+            shorter = here
+            out = here if out is None else out.unionByName(here)
+        return written(out, "context-places")
+
+
+def _size() -> Column:
+    return F.floor(F.log2("total") * 16).cast("int")
+
+
+def _is_hot(least: int | None) -> Column:
+    """Whether a context, or an entry's, is broadcast."""
+    return F.lit(False) if least is None else _size() >= least
 
 
 @dataclass
@@ -210,6 +216,7 @@ class HotTree:
     key: np.ndarray
     gain: np.ndarray
     others: np.ndarray
+    least: int | None
 
     @property
     def some_cold(self) -> bool:
@@ -220,9 +227,11 @@ class HotTree:
         """Made where they are used: they are larger than what is sent."""
         return Index(self.ctx), Index(self.key)
 
-    def gains(self, w: Words) -> tuple[np.ndarray, tuple[np.ndarray, pa.Array | None]]:
-        """What contexts add to the root's log10 probability of each text, and of the tokens with contexts
-        that are not here their texts and what the joins need (they are left out of the sums)."""
+    def gains(self, w: Words) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+        """What contexts add to the root's log10 probability of each text.
+
+        Tokens whose next longer context is not here are left out of the sums: for each number of
+        contexts found, such tokens, what they gain so far, their longer contexts (0: none) and their texts."""
         doc, token, before, there, keys = runs(w)
         contexts, known_runs = self.indexes
         gain = np.zeros(len(doc))
@@ -234,18 +243,14 @@ class HotTree:
             level[open_] = d
             e, known = known_runs.find(keys[d - 1][open_])
             gain[open_] = np.where(known, self.gain[e] if len(self.gain) else 0.0, self.back[k] + gain[open_])
-        cold = np.zeros(len(doc), bool)
+        cold, rest = np.zeros(len(doc), bool), []
         if self.some_cold:
-            for d in range(1, DEPTH + 1):
-                cold |= there[d - 1] & (level < d) & in_bitmap(self.others, before[d - 1])
-        rows = np.flatnonzero(cold)
-        sums = np.bincount(doc[~cold], weights=gain[~cold], minlength=len(w.at) - 1)
-        if not len(rows):
-            return sums, (rows, None)
-        none = np.zeros(len(rows), np.int64)
-        lists = [pa.array(np.where(there[d - 1][rows], signed(x[d - 1][rows]), none)) for d in range(1, DEPTH + 1) for x in (before, keys)]
-        packed = pa.StructArray.from_arrays([pa.array(gain[rows]), pa.array(level[rows]), *lists], fields=list(COLD))
-        return sums, (doc[rows], packed)
+            other = [there[d] & in_bitmap(self.others, before[d]) for d in range(DEPTH)]
+            for d in range(DEPTH):
+                rows = np.flatnonzero((level == d) & other[d])
+                cold[rows] = True
+                rest.append([token[rows], gain[rows], *[np.where(other[k][rows], before[k][rows], np.uint64(0)) for k in range(d, DEPTH)], doc[rows]])
+        return np.bincount(doc[~cold], weights=gain[~cold], minlength=len(w.at) - 1), rest
 
 
 def grow(train: DataFrame, words: DataFrame, ends: int, end: float, min_divergence: float, min_count: int = MIN_COUNT, min_pair: int = MIN_PAIR) -> TokenTree:
@@ -302,7 +307,8 @@ def grow(train: DataFrame, words: DataFrame, ends: int, end: float, min_divergen
         e = e.withColumn("p", (F.col("n") + F.col("rest") * F.col("below")) / (F.col("total") + PRIOR))
         upper = written(e.select("key", "ctx", "total", "p", F.log10(F.col("p") / F.col("root")).alias("gain")), "token-entries")
         scored.append(upper.select("key", "ctx", "total", "gain"))
+    kept = [c.select("ctx", "up", F.lit(d).alias("level"), "total", "back", "entries") for d, c in enumerate(kept, 1)]
     every, contexts = scored[0], kept[0]
     for e, c in zip(scored[1:], kept[1:]):
         every, contexts = every.unionByName(e), contexts.unionByName(c)
-    return TokenTree(contexts.select("ctx", "total", "back", "entries"), every)
+    return TokenTree(contexts, every)
