@@ -263,7 +263,7 @@ def sums_of_texts(docs: DataFrame, model, tree: TokenTree, words: DataFrame, tok
     out = None
     for r in range(rounds):
         asked = docs.where(F.pmod(F.xxhash64("doc", "text"), F.lit(rounds)) == r).mapInArrow(ask(model, parts), MESSAGE)
-        answered = asked.unionByName(messages).repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, MESSAGE)
+        answered = asked.unionByName(messages).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind").mapInArrow(answer, MESSAGE)
         sums = written(answered.groupBy("block").applyInArrow(_texts, SCORES), "document-sums")
         out = sums if out is None else out.unionByName(sums)
     return out
