@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deliverix.llm.shared import Words, signed, text_slices, written
-from deliverix.llm.token_tree import DEPTH, Index, TokenTree, run_key
+from deliverix.llm.token_tree import DEPTH, HotTree, Index, TokenTree, run_key
 
 #: Rows of the model in a part, and tokens of the training texts per part, about.
 PART_ROWS, PART_TOKENS = 1 << 17, 1 << 22
@@ -123,7 +123,7 @@ class _Block:
             for p, a, b in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
                 rows.append((p, self.number, kind, b - a, 0, _packed([c[a:b] for c in columns])))
         sums = _packed([np.concatenate(x).astype(t) for x, t in zip(zip(*self.sums), COLUMNS[TEXTS])])
-        rows.append((self.number & (parts - 1), self.number, TEXTS, self.texts, int(signed(check)[0]), sums))
+        rows.append(((self.number + (self.number >> 32)) & (parts - 1), self.number, TEXTS, self.texts, int(signed(check)[0]), sums))
         return _messages(rows)
 
 
@@ -252,12 +252,11 @@ def _texts(rows: pa.Table) -> pa.Table:
     return pa.table({"doc": doc, "n": count, "known": known, "logs": logs, "log_p": log_p})
 
 
-def sums_of_texts(docs: DataFrame, model, tree: TokenTree, words: DataFrame, tokens: int) -> DataFrame:
+def sums_of_texts(docs: DataFrame, model, hot: HotTree, tree: TokenTree, words: DataFrame, tokens: int) -> DataFrame:
     """(doc, text) to (doc, n, known, logs, log_p) of each row: its words, those known, and sums over words and tokens.
 
-    ``model``: the broadcast frequent words and contexts; ``words``: (key, c, log_p) of all words; ``tokens``: how many were learnt from.
+    ``model``: the frequent words and ``hot``, broadcast; ``words``: (key, c, log_p) of all words; ``tokens``: how many were learnt from.
     """
-    hot = model.value[1]
     messages, parts = model_parts(tree, words, tokens, hot.least)
     rounds = ROUNDS if hot.some_cold else 1
     out = None

@@ -285,7 +285,7 @@ def score(documents: DataFrame, train, id_col: str = "doc_id", text_col: str = "
     tree = token_tree.grow(docs.where("train").select("text"), scored, ends, end, min_divergence, min_count, min_pair)
     hot_tree = tree.hot(hot_contexts)
     model = spark.sparkContext.broadcast((top, hot_tree))
-    one = cold_scores.sums_of_texts(docs.select("doc", "text"), model, tree, scored, total)
+    one = cold_scores.sums_of_texts(docs.select("doc", "text"), model, hot_tree, tree, scored, total)
     n = F.col("n").cast("long") + 1
     return one.select(
         F.nullif(F.col("doc"), F.lit(NULL_ID)).cast(kind).alias(id_col),
